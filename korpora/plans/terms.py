@@ -11,7 +11,7 @@ from korpora.session import table
 SENTENCES_SQL = r"""
 docs AS (SELECT doc_id, lang, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents),
 parts AS (SELECT doc_id, lang, string_split(regexp_replace(t, '([.!?])[ \t\n\x0b\f\r]+([A-ZÄÖÜ\[(])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS s FROM docs),
-kept AS (SELECT doc_id, lang, list_filter(list_transform(s, x -> trim(x)), x -> length(x) > 15) AS s FROM parts),
+kept AS (SELECT doc_id, lang, list_filter(list_transform(s, lambda x: trim(x)), lambda x: length(x) > 15) AS s FROM parts),
 sentences AS (SELECT doc_id, lang, unnest(range(len(s)))::INT AS idx, unnest(s) AS sentence FROM kept)"""
 
 
