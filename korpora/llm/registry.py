@@ -7,20 +7,47 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import token_counts
+from korpora.llm import language_id, lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from korpora.llm.common import remainder
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.predicted(_table(spark, d, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.predicted(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.deduplicated(_table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm_scoring.scored(_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"), remainder(5) == 1)
+
+
+def op9_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages")
+    return url_filters.judged(pages, url_filters.mined(pages, _table(spark, d, "labels")))
+
+
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = quality_rules.judge(_table(spark, d, "documents"))
+    return rows.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "fail_bits")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": url_filters.SQL, "op10_quality_rules": quality_rules.SQL}
