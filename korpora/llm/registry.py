@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import language_id, lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from korpora.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
 from korpora.llm.common import remainder
 
 
@@ -23,14 +23,27 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, d, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.predicted(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+def op5_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return substring_dedup.deduplicated(_table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, contaminated, items: all items that every document holds."""
+    return decontamination.matches(_table(spark, d, "documents"), _table(spark, d, "benchmark")).select("doc_id", "contaminated", "items")
+
+
 def op8_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     return lm_scoring.scored(_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"), remainder(5) == 1)
 
