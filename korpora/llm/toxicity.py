@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-Words are lower-cased and framed by spaces; their byte n-grams (3 to 6, hashed to ``BUCKETS`` rows) form the bag of a passage of ``PASSAGE`` words. A passage's
+Words are lower-cased and framed by spaces; their byte n-grams (3 to 6, hashed to ``BUCKETS`` rows) form the bag of a passage of ``PASSAGE`` words, each word once. A passage's
 vector is the mean of its grams' embeddings; a linear softmax over two classes sits on it. Embeddings and softmax are
 trained jointly in numpy with Adagrad. A document is as toxic as its most toxic passage, so one insult counts in a long text, and training works on that
 passage: each epoch takes the passage that the model finds most toxic, of toxic documents as a positive and of others as a negative.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ SIZES = (3, 4, 5, 6)
 BITS = 18
 BUCKETS = 1 << BITS
 PASSAGE = 8
+#: A smaller bag is averaged as if it had so many grams, so that a short passage isn't judged by one of them.
+LEAST = 100
 DIM = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,7 +41,9 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     words = text.decode("utf-8", "replace").lower().encode("utf-8", "replace").split()
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
-    b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    bags = [list(dict.fromkeys(words[i : i + PASSAGE])) for i in range(0, len(words), PASSAGE)]
+    passage = np.repeat(np.arange(len(bags), dtype=np.int32), [len(x) for x in bags])
+    b = np.frombuffer(b" " + b" ".join(chain.from_iterable(bags)) + b" ", np.uint8)
     space = b == 32
     word = np.cumsum(space) - 1  # of the gram that starts here
     inner = ~space
@@ -55,8 +60,8 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         if n in SIZES:
             at = np.flatnonzero(clear)
             ids.append(((h[at] * MIX) >> np.uint64(64 - BITS)).astype(np.int32))
-            owners.append((word[at] // PASSAGE).astype(np.int32))
-    return np.concatenate(ids), np.concatenate(owners), (len(words) - 1) // PASSAGE + 1
+            owners.append(passage[word[at]])
+    return np.concatenate(ids), np.concatenate(owners), len(bags)
 
 
 @dataclass
@@ -69,7 +74,7 @@ class Model:
         if not n:
             return self.bias
         total, count = np.bincount(p, self.gram[i], n), np.bincount(p, minlength=n)
-        return float((total / np.maximum(count, 1)).max() + self.bias)
+        return float((total / np.maximum(count, LEAST)).max() + self.bias)
 
 
 def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.5, seed: int = 5) -> Model:
@@ -91,7 +96,7 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.
     def means(k: int, score: np.ndarray) -> np.ndarray:
         i, ends = bags[k]
         sums = np.concatenate([[0.0], np.cumsum(score[i], dtype=np.float64)])
-        return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), 1)
+        return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(ends), LEAST)
 
     for epoch in range(epochs):
         score = emb @ (soft[:, 1] - soft[:, 0])
@@ -112,14 +117,14 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.
             rows = [bags[int(k)][0][bags[int(k)][1][int(j)] : bags[int(k)][1][int(j) + 1]] for k, j, _, _ in part]
             size = np.array([len(r) for r in rows])
             ids, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
-            vec = np.stack([np.bincount(owner, emb[ids, d], len(rows)) for d in range(DIM)], 1) / np.maximum(size, 1)[:, None]
+            vec = np.stack([np.bincount(owner, emb[ids, d], len(rows)) for d in range(DIM)], 1) / np.maximum(size, LEAST)[:, None]
             z = vec @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             c = np.array([int(x[2]) for x in part])
             w = np.array([x[3] * len(picks) / (2 * weight[int(x[2])]) for x in part])
             err = (p - np.eye(2)[c]) * w[:, None] / len(part)
-            back_vec = (err @ soft.T) / np.maximum(size, 1)[:, None]
+            back_vec = (err @ soft.T) / np.maximum(size, LEAST)[:, None]
             gs, gb = vec.T @ err, err.sum(0)
             g_soft += gs**2
             soft -= rate * gs / np.sqrt(g_soft)
