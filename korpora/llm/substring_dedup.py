@@ -22,7 +22,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpora.llm.common import buckets, chunks, mapped, pack, raw, unpack, words
@@ -36,6 +36,11 @@ LONGEST = 512
 REMEMBERED = 100_000
 
 
+def text_hash() -> Column:
+    """32 bits of the text, to tell apart rows that share an id."""
+    return F.xxhash64(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+
 def fingerprints(w: list[bytes]) -> np.ndarray:
     """n x 2 unsigned 64-bit numbers, one row a word."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, w)), ">u8").astype(np.uint64).reshape(-1, 2)
@@ -111,18 +116,18 @@ def sent(documents: DataFrame, n_buckets: int, k: int, m: int) -> DataFrame:
             rows = []
             for bucket, x in out.items():
                 key, doc, own, s, n, again, payload = zip(*x, strict=True)
-                rows.append((bucket, pack(np.array(key, np.uint64), np.array(doc, np.int64), np.array(own, np.int64), np.array(s, np.int32), np.array(n, np.int32), np.array(again, np.uint8), b"\n".join(payload))))
+                rows.append((bucket, pack((np.array(key, np.uint64) >> np.uint64(32)).astype(np.uint32), np.array(doc, np.int64), np.array(own, np.uint32), np.array(s, np.int32), np.array(n, np.int32), np.array(again, np.uint8), b"\n".join(payload), level=6)))
             if known:
                 doc, s, own, n = (np.array(x, np.int64) for x in zip(*known, strict=True))
-                rows.append((-1, pack(doc, own, s.astype(np.int32), n.astype(np.int32))))
+                rows.append((-1, pack(doc, own.astype(np.uint32), s.astype(np.int32), n.astype(np.int32))))
             yield {"bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]}
 
-    return mapped(raw(documents, F.xxhash64(F.col("text").cast("binary")).alias("own")), work, "bucket int, blob binary")
+    return mapped(raw(documents, text_hash().alias("own")), work, "bucket int, blob binary")
 
 
 def repeats_of(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     """Repeated windows of a bucket as runs (document, text's hash, start, windows)."""
-    parts = [unpack(b, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint8, None) for b in blobs]
+    parts = [unpack(b, np.uint32, np.int64, np.uint32, np.int32, np.int32, np.uint8, None) for b in blobs]
     key, doc, own, start, n, again = (np.concatenate([p[i] for p in parts]) for i in range(6))
     payload = [x for p in parts for x in p[6].split(b"\n")]
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -148,7 +153,7 @@ def repeats_of(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
 
 
 def repeats(documents: DataFrame, k: int = 20, m: int = 3) -> DataFrame:
-    """doc_id (LAST for null), own (xxhash64 of the text), start, windows: runs of windows that also start earlier. Runs may overlap."""
+    """doc_id (LAST for null), own (32 bits of the text's hash), start, windows: runs of windows that also start earlier. Runs may overlap."""
     packed = sent(documents, buckets(documents.sparkSession), k, m)
     names = ("doc_id", "own", "start", "windows")
 
@@ -157,7 +162,7 @@ def repeats(documents: DataFrame, k: int = 20, m: int = 3) -> DataFrame:
         for bucket, group in groupby(rows, key=lambda r: r[0]):
             if bucket < 0:
                 for _, blob in group:
-                    yield dict(zip(names, unpack(blob, np.int64, np.int64, np.int32, np.int32), strict=True))
+                    yield dict(zip(names, unpack(blob, np.int64, np.uint32, np.int32, np.int32), strict=True))
             else:
                 yield dict(zip(names, repeats_of([x for _, x in group], k), strict=True))
 
@@ -171,7 +176,7 @@ def deduplicated(documents: DataFrame, k: int = 20, m: int = 3, keep: tuple[str,
     runs = repeats(documents, k, m)
     ids = F.coalesce(F.col("doc_id"), F.lit(int(LAST)))
     by_doc = runs.groupBy(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
-    own = documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep).withColumns({"_id": ids.cast("long"), "_own": F.xxhash64("text")})
+    own = documents.select("doc_id", F.col("text").cast("binary").alias("text"), *keep).withColumns({"_id": ids.cast("long"), "_own": text_hash()})
     joined = own.join(by_doc, ["_id", "_own"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
