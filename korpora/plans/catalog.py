@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.plans import terms
+from korpora.plans import corpus, terms
 
-MODULES = (terms,)
+MODULES = (terms, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
