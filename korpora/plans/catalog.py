@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.plans import corpus, terms
+from korpora.plans import corpus, segments, terms
 
-MODULES = (terms, corpus)
+MODULES = (terms, corpus, segments)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
