@@ -8,13 +8,14 @@ looked up again (best fit). Every piece gets a rank among the pieces of its leng
 of runs of ranks, so a length that a third of all pieces have is spread over the tasks.
 
 Tokens: words apart by white space are encoded on their own, which gives the ids of the whole text, since the tokenizer drops white space and
-nothing it does reaches across it; distinct words are encoded once a task. Null and wordless texts are one piece, the end id alone. Null ids and repeated rows are packed each.
+nothing it does reaches across it; words are encoded once a worker, as long as it remembers them. Null and wordless texts are one piece, the end id alone. Null ids and repeated rows are packed each.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +28,78 @@ from korpora.llm.token_counts import tokenizer
 
 #: Stands between words that are encoded together; as a word it is one token.
 BETWEEN = "\x01"
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Letters below are their own composed forms.
+LATIN_END = chr(0x250)
+_plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level vocabularies write bytes as letters: printable ones as they are, the others from 256 on.
+BYTE_LETTERS = {b: chr(b) for b in _plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _plain)}
 
 
 class WordEncoder:
-    """Ids of a word as little-endian 32-bit numbers, remembered."""
+    """Ids of words as little-endian 32-bit numbers, remembered in two generations: words not met for a whole generation are forgotten."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.mark = self.ids(BETWEEN)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.letters = Tokenizer(self.tokenizer.model)  # words that need no more than the merges
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ending[i] = token.endswith("</w>")
+        self.stops = {c: np.array(self.ids(chr(c)), "<u4").tobytes() for c in b",."}
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no single token for the mark between words")
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, new: list[bytes]) -> None:
+    def words(self, text: bytes | None) -> list[bytes]:
+        """Words, A-Z in lower case as the tokenizer has them; not where a special string might come of it."""
+        return words(text, lower=b"<|" not in (text or b""))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Encodes the words that aren't known. A comma or full stop after a letter is a token of its own."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        todo, ended = set(), []
+        for w in new - self.known.keys():
+            if w in self.before:
+                self.known[w] = self.before[w]
+            elif w[-1] in self.stops and w[-2:-1].isalpha():
+                ended.append(w)
+                if w[:-1] not in self.known:
+                    todo.add(w[:-1])
+            else:
+                todo.add(w)
+        self.encode_new(list(todo))
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.stops[w[-1]]
+
+    def encode_new(self, new: list[bytes]) -> None:
+        """Small Latin letters go straight to the merges, as the tokenizer's other steps leave them alone; a word's last token is marked as such."""
         texts = [w.decode("utf-8", "replace") for w in new]
+        easy = [i for i, t in enumerate(texts) if t.isalpha() and t == t.lower() and max(t) < LATIN_END]
+        groups = [easy[a : a + 256] for a in range(0, len(easy), 256)]
+        joined = [" ".join([texts[i] if texts[i].isascii() else new[i].decode("latin-1").translate(BYTE_LETTERS) for i in g]) for g in groups]
+        for g, e in zip(groups, self.letters.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for i, end in zip(g, (4 * (np.flatnonzero(self.ending[ids]) + 1)).tolist(), strict=True):
+                self.known[new[i]] = data[at:end]
+                at = end
+        rest = sorted(set(range(len(new))) - set(easy))
+        if rest:
+            self.encode_rest([new[i] for i in rest], [texts[i] for i in rest])
+
+    def encode_rest(self, new: list[bytes], texts: list[str]) -> None:
         plain = [i for i, t in enumerate(texts) if BETWEEN not in t and "<|" not in t]
         groups = [plain[a : a + 256] for a in range(0, len(plain), 256)]
-        joined = [f" {BETWEEN} ".join(texts[i] for i in g) for g in groups]
+        joined = [f" {BETWEEN} ".join([texts[i] for i in g]) for g in groups]
         for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
@@ -64,18 +116,22 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, w))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
+
+
 def pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and a piece's task and its rank among the task's pieces of its length."""
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in chunks(batches, 1 << 20):
-            texts = [words(t) for t in b.column("text").to_pylist()]
-            if len(encoder.known) > REMEMBERED:
-                encoder.known.clear()
-            encoder.learn(list(set().union(*texts) - encoder.known.keys()))
+            texts = [encoder.words(t) for t in b.column("text").to_pylist()]
+            encoder.learn(set().union(*texts))
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank")}
             for doc, w in zip(b.column("doc_id").to_pylist(), texts, strict=True):
                 ids = encoder.encode(w) + end
