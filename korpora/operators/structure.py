@@ -37,7 +37,7 @@ def clause_depth(tokens: DataFrame, most: int = 64) -> DataFrame:
 def verb_final_spans(tokens: DataFrame) -> DataFrame:
     """Per sentence: the longest span from a clause opener to the last verb before the clause ends (. ; or a comma after three tokens), and how many span more than two."""
     t = tokens.select(*KEYS, "i", "text", "pos", "dep")
-    openers = t.filter((F.col("pos") == "SCONJ") | F.col("dep").isin("rc", "cp", "oc")).select(*KEYS, F.col("i").alias("open"))
+    openers = t.filter((F.col("pos") == "SCONJ") | ((F.col("dep") == "rc") & F.col("pos").isin("PRON", "DET"))).select(*KEYS, F.col("i").alias("open"))
     after = openers.join(t, KEYS).filter("i > open")
     stop = F.min(F.when(F.col("text").isin(".", ";") | ((F.col("text") == ",") & (F.col("i") > F.col("open") + 3)), F.col("i")))
     ends = after.groupBy(*KEYS, "open").agg(stop.alias("stop"))

@@ -89,7 +89,7 @@ def glossary_matches(sentences: DataFrame, glossary: list[tuple[str, str]], most
     entries = F.array(*[F.struct(F.lit(d).alias("de"), F.lit(e).alias("en")) for d, e in glossary])
     low = F.lower("sentence")
     any_of = "|".join(re.escape(d.lower()) for d, _ in glossary)
-    fits = (lambda g: low.rlike(F.concat(F.lit(r"(?U)\b\Q"), F.lower(g["de"]), F.lit(r"\E\b")))) if whole_words else (lambda g: low.contains(F.lower(g["de"])))
+    fits = (lambda g: F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), F.lower(g["de"]), F.lit(r"\E\b")))) if whole_words else (lambda g: low.contains(F.lower(g["de"])))
     hits = F.filter(entries, fits)
     ordered = F.slice(F.transform(F.array_sort(F.transform(hits, lambda g: F.struct((-F.length(g["de"])).alias("n"), g["de"].alias("de"), g["en"].alias("en")))), lambda g: F.struct(g["de"].alias("de"), g["en"].alias("en"))), 1, most)
     return sentences.filter(low.rlike(any_of)).select("doc_id", "idx", F.posexplode(ordered).alias("rank", "g")).select("doc_id", "idx", "g.de", "g.en", (F.col("rank") + 1).alias("rank"))
