@@ -1,9 +1,10 @@
 """Benchmark decontamination by BM25 with block-max WAND.
 
 Test items are the indexed documents: an inverted index of their words with BM25 impacts, each item's divided by its score for its own text, so that one threshold fits all. Postings are cut into
-blocks of ``BLOCK`` items with the block's greatest impact. Every passage of every text (``passage`` words, half overlapping) is a query. Upper bounds come first: a
-word's greatest impact, summed over a passage, leaves only passages that might reach the threshold; for these WAND walks the postings, picks the pivot by list bounds, checks it by block bounds, and skips blocks that
-can't reach. All items at or above the threshold are retrieved, not the best few.
+blocks of ``BLOCK`` items with the block's greatest impact. Every passage of every text (``passage`` words, half overlapping) is a query. Upper bounds come first, for all passages of a batch at
+once: the commonest lists, as many as can't reach a part of the threshold in any item, are only bounded (by block, then by item); the other lists are walked and summed by passage and item, and a passage goes on if
+some item's sum and these bounds reach the threshold. For these WAND walks all lists, picks the pivot by list bounds, checks it by block bounds, and skips blocks that
+can't reach. Nothing at or above the threshold is lost, and all such items are retrieved, not the best few.
 
 Verification then asks the whole text around the passage: an item is found if at least ``share`` of the distinct ``gram``-word sequences of its question (all
 sentences but the last; the whole item if it has one sentence) are there, and likewise of its answer (the last sentence).
@@ -17,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,28 @@ class Index:
     block: list[np.ndarray]  # greatest impact of each block
     bound: np.ndarray  # of a term; the last place is for words that no item has
     parts: list[tuple[frozenset, frozenset]]  # grams of question and answer
+    walked: np.ndarray  # of a term, whether the batch filter walks its list
+    rest: np.ndarray  # of an item, the sum of the lists that aren't walked
+    block_rest: np.ndarray  # of a block, the greatest
+    starts: np.ndarray  # all postings in one array: a term's begin here
+    flat_items: np.ndarray
+    flat_impacts: np.ndarray
+
+    def hopeful(self, terms: np.ndarray, first: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages that might reach the threshold. terms: of each word of a batch; first: the first of the two passages that hold it (the second is the next; -1: only the next)."""
+        own = np.flatnonzero(self.walked[terms])
+        passage = np.concatenate([first[own], first[own] + 1])
+        key = np.unique((passage + 1) * len(self.walked) + np.tile(terms[own], 2))
+        passage, term = key // len(self.walked) - 1, key % len(self.walked)
+        size = self.starts[term + 1] - self.starts[term]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[term], size)
+        items = self.flat_items[at]
+        pair, inverse = np.unique(np.repeat(passage + 1, size) * len(self.rest) + items, return_inverse=True)
+        total = np.bincount(inverse, self.flat_impacts[at], len(pair))
+        item = pair % len(self.rest)
+        reach = total + self.block_rest[item // BLOCK] >= threshold - 1e-9
+        reach[reach] = (total + self.rest[item])[reach] >= threshold - 1e-9
+        return np.unique(pair[reach] // len(self.rest) - 1)
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items with a score of at least the threshold; block-max WAND over the postings of the distinct terms."""
@@ -90,7 +113,7 @@ def grams(w: list[bytes], n: int) -> frozenset:
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def index(items: list[tuple[int, bytes]], gram: int) -> Index:
+def index(items: list[tuple[int, bytes]], gram: int, threshold: float = 0.4) -> Index:
     if len(items) > MAX_ITEMS:
         raise ValueError(f"{len(items)} items; the index is broadcast and holds {MAX_ITEMS} at most: split the items")
     split = [(i, w, t) for i, t in items if (w := words(t, lower=True))]
@@ -117,7 +140,22 @@ def index(items: list[tuple[int, bytes]], gram: int) -> Index:
         question, answer = (b"".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (t, b"")
         parts.append((grams(words(question, lower=True), gram), grams(words(answer, lower=True), gram)))
     bound = np.array([v.max() for v in impacts] + [0.0])
-    return Index([i for i, _, _ in split], number, places, impacts, [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)) for v in impacts], bound, parts)
+    walked = np.ones(len(bound), bool)
+    rest = np.zeros(max(1, len(split)))
+    for t in sorted(range(len(places)), key=lambda t: -len(places[t])):
+        more = rest.copy()
+        more[places[t]] += impacts[t]
+        if more.max() > 0.6 * threshold:
+            break
+        rest, walked[t] = more, False
+    walked[-1] = False
+    by_block = np.maximum.reduceat(rest, np.arange(0, len(rest), BLOCK))
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in places]), [sum(map(len, places))]]).astype(np.int64)
+    flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    return Index(
+        [i for i, _, _ in split], number, places, impacts, [np.maximum.reduceat(v, np.arange(0, len(v), BLOCK)) for v in impacts], bound, parts,
+        walked, rest, by_block, starts, flat(places, np.int64), flat(impacts, float),
+    )
 
 
 def verified(w: list[bytes], parts: tuple[frozenset, frozenset], gram: int, share: float) -> bool:
@@ -131,35 +169,44 @@ def verified(w: list[bytes], parts: tuple[frozenset, frozenset], gram: int, shar
     return True
 
 
-def found(w: list[bytes], idx: Index, passage: int, threshold: float, gram: int, share: float) -> list[int]:
-    """Numbers of the items that the words hold."""
-    if not w:
-        return []
-    terms = np.fromiter(map(idx.number.get, w, repeat(len(idx.number))), np.int64, len(w))
-    sums = np.concatenate([[0.0], np.cumsum(idx.bound[terms])])
-    starts = np.arange(0, max(1, len(w) - passage // 2), passage // 2)
-    ends = np.minimum(starts + passage, len(w))
-    out: dict[int, bool] = {}
-    none = len(idx.number)
-    for s, e in zip(*(x[sums[ends] - sums[starts] >= threshold].tolist() for x in (starts, ends)), strict=True):
-        own = terms[s:e]
+def found(texts: list[list[bytes]], idx: Index, passage: int, threshold: float, gram: int, share: float) -> list[list[int]]:
+    """For each text's words the numbers of the items that they hold."""
+    none, half = len(idx.number), passage // 2
+    sizes = np.array([len(w) for w in texts], np.int64)
+    total = int(sizes.sum())
+    if not total or not none:
+        return [[] for _ in texts]
+    terms = np.fromiter(chain.from_iterable(map(idx.number.get, w, repeat(none)) for w in texts), np.int64, total)
+    begin = np.cumsum(sizes) - sizes
+    inside = np.arange(total) - np.repeat(begin, sizes)
+    # passage p of a text holds its words [p * half, p * half + passage); texts' passages are numbered one after another, with one spare before each text
+    passages = sizes // half + 2
+    base = np.cumsum(passages) - passages + 1
+    first = np.repeat(base, sizes) + inside // half - 1
+    out: list[dict[int, bool]] = [{} for _ in texts]
+    hopeful = idx.hopeful(terms, first, threshold)
+    owner = np.searchsorted(base - 1, hopeful, side="right") - 1
+    for p, d in zip((hopeful - base[owner]).tolist(), owner.tolist(), strict=True):
+        w, s = texts[d], max(0, p * half)
+        e = min(len(w), p * half + passage)
+        own = terms[begin[d] + s : begin[d] + e]
         for item, _ in idx.retrieve(own[own != none].tolist(), threshold):
-            if not out.get(item):
+            if not out[d].get(item):
                 size = passage + sum(map(len, idx.parts[item]))
-                out[item] = verified(w[max(0, s - size) : e + size], idx.parts[item], gram, share)
-    return sorted(k for k, v in out.items() if v)
+                out[d][item] = verified(w[max(0, s - size) : e + size], idx.parts[item], gram, share)
+    return [sorted(k for k, v in o.items() if v) for o in out]
 
 
-def matches(documents: DataFrame, benchmark: DataFrame, passage: int = 64, threshold: float = 0.35, gram: int = 3, share: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, passage: int = 64, threshold: float = 0.4, gram: int = 3, share: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, items (ids of the items found), contaminated, of every document."""
     rows = benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text")).limit(MAX_ITEMS + 1).collect()
     passage = max([passage, *(len(words(r.text)) for r in rows)])  # a passage has room for any item
-    shared = documents.sparkSession.sparkContext.broadcast(index(sorted((r.item_id if r.item_id is not None else -1, bytes(r.text)) for r in rows), gram))
+    shared = documents.sparkSession.sparkContext.broadcast(index(sorted((r.item_id if r.item_id is not None else -1, bytes(r.text)) for r in rows), gram, threshold))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         idx = shared.value
         for b in chunks(batches):
-            hits = [[idx.ids[k] for k in found(words(t, lower=True), idx, passage, threshold, gram, share)] for t in b.column("text").to_pylist()]
+            hits = [[idx.ids[k] for k in own] for own in found([words(t, lower=True) for t in b.column("text").to_pylist()], idx, passage, threshold, gram, share)]
             own = {c: b.column(c).cast(pa.string()) if c == "text" else b.column(c) for c in ("doc_id", *keep)}
             yield own | {"items": hits, "contaminated": [bool(x) for x in hits]}
 

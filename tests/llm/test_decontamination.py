@@ -16,7 +16,9 @@ def test_wand_is_exhaustive_search():
         score = np.zeros(150)
         for t in terms:
             score[idx.items[t]] += idx.impacts[t]
-        for limit in (0.2, 0.5, 0.9):
+        for limit in (0.4, 0.5, 0.9):
+            if (score >= limit).any():
+                assert idx.hopeful(np.array(terms), np.full(len(terms), 4), limit).tolist() == [4, 5]
             got = idx.retrieve(terms, limit)
             assert sorted(k for k, _ in got) == np.flatnonzero(score >= limit).tolist() or np.isclose(score, limit).any()
 
