@@ -10,12 +10,13 @@ Verification then asks the whole text around the passage: an item is found if at
 sentences but the last; the whole item if it has one sentence) are there, and likewise of its answer (the last sentence).
 
 The index is broadcast; it may have ``MAX_ITEMS`` items at most and ``index`` refuses more, to be split by the caller. Null or wordless items are
-never found, null or empty texts hold nothing. Null ids and repeated rows are judged each. Letters A-Z are compared in lower case.
+never found, null or empty texts hold nothing. Null ids and repeated rows are judged each. Words are compared with A-Z in lower case and ASCII punctuation as space.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpora.llm.common import chunks, mapped, raw, words
+from korpora.llm.common import LOWER, chunks, mapped, raw
 
 K1, B = 1.2, 0.75
+#: A-Z in lower case, ASCII punctuation as space: a copied item is found whatever became of its punctuation.
+PLAIN = bytes(32 if chr(b) in string.punctuation else b for b in LOWER)
 BLOCK = 8
 MAX_ITEMS = 200_000
 
@@ -109,6 +112,10 @@ class Index:
         return found
 
 
+def terms_of(text: bytes | None) -> list[bytes]:
+    return text.translate(PLAIN).split() if text else []
+
+
 def grams(w: list[bytes], n: int) -> frozenset:
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
@@ -116,7 +123,7 @@ def grams(w: list[bytes], n: int) -> frozenset:
 def index(items: list[tuple[int, bytes]], gram: int, threshold: float = 0.4) -> Index:
     if len(items) > MAX_ITEMS:
         raise ValueError(f"{len(items)} items; the index is broadcast and holds {MAX_ITEMS} at most: split the items")
-    split = [(i, w, t) for i, t in items if (w := words(t, lower=True))]
+    split = [(i, w, t) for i, t in items if (w := terms_of(t))]
     mean = sum(len(w) for _, w, _ in split) / max(1, len(split))
     post: dict[bytes, list[tuple[int, int]]] = {}
     for k, (_, w, _) in enumerate(split):
@@ -136,9 +143,9 @@ def index(items: list[tuple[int, bytes]], gram: int, threshold: float = 0.4) ->
     parts = []
     for _, _, t in split:
         sentences = re.findall(rb"[^.!?]+[.!?]*", t.translate(None, b"\r"))
-        sentences = [x for x in sentences if words(x)]
+        sentences = [x for x in sentences if terms_of(x)]
         question, answer = (b"".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (t, b"")
-        parts.append((grams(words(question, lower=True), gram), grams(words(answer, lower=True), gram)))
+        parts.append((grams(terms_of(question), gram), grams(terms_of(answer), gram)))
     bound = np.array([v.max() for v in impacts] + [0.0])
     walked = np.ones(len(bound), bool)
     rest = np.zeros(max(1, len(split)))
@@ -200,13 +207,13 @@ def found(texts: list[list[bytes]], idx: Index, passage: int, threshold: float,
 def matches(documents: DataFrame, benchmark: DataFrame, passage: int = 64, threshold: float = 0.4, gram: int = 3, share: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, items (ids of the items found), contaminated, of every document."""
     rows = benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text")).limit(MAX_ITEMS + 1).collect()
-    passage = max([passage, *(len(words(r.text)) for r in rows)])  # a passage has room for any item
+    passage = max([passage, *(len(terms_of(bytes(r.text))) for r in rows)])  # a passage has room for any item
     shared = documents.sparkSession.sparkContext.broadcast(index(sorted((r.item_id if r.item_id is not None else -1, bytes(r.text)) for r in rows), gram, threshold))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         idx = shared.value
         for b in chunks(batches):
-            hits = [[idx.ids[k] for k in own] for own in found([words(t, lower=True) for t in b.column("text").to_pylist()], idx, passage, threshold, gram, share)]
+            hits = [[idx.ids[k] for k in own] for own in found([terms_of(t) for t in b.column("text").to_pylist()], idx, passage, threshold, gram, share)]
             own = {c: b.column(c).cast(pa.string()) if c == "text" else b.column(c) for c in ("doc_id", *keep)}
             yield own | {"items": hits, "contaminated": [bool(x) for x in hits]}
 
