@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpora.functions.lexicons import CALQUE_PATTERNS
 from korpora.functions.metrics import matching_ratio
 from korpora.operators.corpus import hash_order
 
@@ -23,7 +24,7 @@ def edit_words(text: Column) -> Column:
 NOMINAL = r"(?i)\bthe \w+(tion|ment|ance|ence) of\b"
 GENITIVE = r"(?i)\b\w+ of the \w+"
 PASSIVE = r"(?i)\b(is|are|was|were|been|being) \w+ed\b"
-CALQUES = (r"(?i)\bin dependence (of|on)\b", r"(?i)\bfor the purpose of\b", r"(?i)\bby means of\b")
+CALQUES = tuple(f"(?i){p}" for p in CALQUE_PATTERNS)
 
 
 def inversions(a: Column, b: Column) -> Column:

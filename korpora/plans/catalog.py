@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.plans import corpus, segments, terms
+from korpora.plans import corpus, evaluation, segments, terms
 
-MODULES = (terms, corpus, segments)
+MODULES = (terms, corpus, segments, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

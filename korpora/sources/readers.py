@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from korpora.functions.lexicons import SUBJECT_DOMAINS
 from korpora.operators.corpus import strip
 
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -69,13 +70,10 @@ def patents(spark: SparkSession, path: str, ipc_prefix: str = "", needed: tuple[
     return rows if most is None else rows.limit(most)
 
 
-#: Subject to domain: the first key that the subject contains.
-DOMAINS = (("MEDIC", "medical"), ("CHEM", "chemistry"), ("ELECTR", "electrical"), ("MECHAN", "mechanical"), ("LAW", "legal"), ("AUTOM", "automotive"))
-
-
 def domain_of(subject):
+    """The domain of the first key, in the map's order, that the subject contains."""
     out = None
-    for key, name in DOMAINS:
+    for key, name in SUBJECT_DOMAINS:
         hit = F.upper(subject).contains(key)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.coalesce(out, F.lit("general"))

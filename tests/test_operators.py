@@ -138,7 +138,7 @@ def test_halving():
 
 
 def test_edit_types(spark):
-    rows = [(1, "the rotor is moved by the shaft and was turned", "the shaft moves the rotor and turns it"), (2, "a round housing part", "a round casing part"), (3, "short", "short text that says much more now"), (4, "the movement of the arm", "moving the arm"), (5, "by means of a screw", "with a screw")]
+    rows = [(1, "the rotor is moved by the shaft and was turned", "the shaft moves the rotor and turns it"), (2, "a round housing part", "a round casing part"), (3, "short", "short text that says much more now"), (4, "the movement of the arm", "moving the arm"), (5, "the bolt finds use in a screw", "the bolt is used in a screw")]
     got = {r.id: r for r in E.edit_types(spark.createDataFrame(rows, "id int, mt string, corrected string")).collect()}
     assert "passive_to_active" in got[1].edit_types
     assert got[2].primary_type == "terminology_swap" and got[3].primary_type == "addition"

@@ -42,7 +42,7 @@ def test_parallel_text(spark, tmp_path):
 
 
 def test_term_files(spark, tmp_path):
-    tbx = """<martif><text><body><termEntry id="1"><descrip type="subjectField">Medicine</descrip><langSet xml:lang="de"><tig><term>Herz</term></tig></langSet><langSet xml:lang="en-GB"><tig><term>heart</term></tig><tig><term>cor</term></tig></langSet></termEntry>
+    tbx = """<martif><text><body><termEntry id="1"><descrip type="subjectField">Medical devices</descrip><langSet xml:lang="de"><tig><term>Herz</term></tig></langSet><langSet xml:lang="en-GB"><tig><term>heart</term></tig><tig><term>cor</term></tig></langSet></termEntry>
 <termEntry id="2"><langSet xml:lang="de"><tig><term>Rad</term></tig></langSet><langSet xml:lang="fr"><tig><term>roue</term></tig></langSet></termEntry></body></text></martif>"""
     rows = R.term_base(spark, write(tmp_path / "i.tbx", tbx)).collect()
     assert sorted(map(tuple, rows)) == [("Herz", "cor", "medical"), ("Herz", "heart", "medical")]
