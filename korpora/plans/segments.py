@@ -69,12 +69,12 @@ def system_compare(spark, d):
 
 def review(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.substring("text", 1, 80).alias("translation"))
-    confirmed = docs.filter("index % 6 = 0").select("index", F.when(F.col("index") % 12 == 0, "").otherwise(F.upper("translation")).alias("confirmed_text"))
+    confirmed = docs.filter("index % 6 = 0").select("index", F.when(F.col("index") % 12 == 0, "").otherwise(F.lower("translation")).alias("confirmed_text"))
     return T.review_rows(docs, V.ratings(spark, d), confirmed)
 
 
 REVIEW = f"""{V.RATINGS}, review AS (SELECT d.doc_id AS "index", substr(d.text, 1, 80) AS translation, coalesce(rating, 'minor') AS rating, {V.BUCKET} AS triage, d.doc_id % 6 = 0 AS confirmed,
-  CASE WHEN d.doc_id % 6 = 0 AND d.doc_id % 12 <> 0 THEN upper(substr(d.text, 1, 80)) ELSE substr(d.text, 1, 80) END AS final FROM documents d LEFT JOIN ratings r ON r."index" = d.doc_id)"""
+  CASE WHEN d.doc_id % 6 = 0 AND d.doc_id % 12 <> 0 THEN lower(substr(d.text, 1, 80)) ELSE substr(d.text, 1, 80) END AS final FROM documents d LEFT JOIN ratings r ON r."index" = d.doc_id)"""
 
 
 def review_queue(spark, d):

@@ -2,6 +2,7 @@
 
 import glob
 import math
+import os
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from korpora.plans import catalog
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 def norm(v):
