@@ -29,9 +29,13 @@ from korpora.llm.common import chunks, mapped, raw, remainder
 SIZES = (3, 4, 5, 6)
 BITS = 18
 BUCKETS = 1 << BITS
-PASSAGE = 8
+PASSAGE = 4
+#: Passages of a toxic text that are taken as positives, the second with half the weight of the first.
+TOP = 2
+#: Grams of fewer texts stay zero: they would only tell single texts apart.
+SEEN = 4
 #: A smaller bag is averaged as if it had so many grams, so that a short passage isn't judged by one of them.
-LEAST = 100
+LEAST = 60
 DIM = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +92,11 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.
     y = np.array(toxic)
     back = np.arange(len(texts)) % 4 == 3
     train = [k for k in range(len(texts)) if not back[k] and len(bags[k][1]) > 1]
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    held_by = np.zeros(BUCKETS, np.int32)
+    for k in train:
+        held_by[np.unique(bags[k][0])] += 1
+    common = held_by >= SEEN
+    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32) * common[:, None]
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-4, np.float32), np.full(soft.shape, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
@@ -107,7 +115,8 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.
             if epoch == 0 and y[k]:
                 picks += [(k, j, 1, 1 / min(n, 30)) for j in rng.permutation(n)[:30]]
             else:
-                picks.append((k, best, int(y[k]), 1.0))
+                top = np.argsort(-means(k, score))[: TOP if y[k] else 1] if epoch else [best]
+                picks += [(k, int(j), int(y[k]), 1 / (1 + r)) for r, j in enumerate(top)]
             if not y[k]:
                 picks += [(k, int(j), 0, 1.0) for j in rng.integers(n, size=3)]
         weight = {c: sum(w for *_, z, w in picks if z == c) or 1.0 for c in (0, 1)}
@@ -133,7 +142,7 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.
             used, local = np.unique(ids, return_inverse=True)
             ge = np.stack([np.bincount(local, back_vec[owner, d], len(used)) for d in range(DIM)], 1)
             g_emb[used] += (ge**2).mean(1)
-            emb[used] -= (rate * ge / np.sqrt(g_emb[used])[:, None]).astype(np.float32)
+            emb[used] -= (rate * ge / np.sqrt(g_emb[used])[:, None] * common[used, None]).astype(np.float32)
     model = Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     held = [(model.logits(texts[k]), int(y[k])) for k in range(len(texts)) if back[k]]
     model.bias -= cut(held)
@@ -141,14 +150,14 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = 12, rate: float = 0.
 
 
 def cut(held: list[tuple[float, int]]) -> float:
-    """The threshold with the fewest errors on texts kept back, a clean one flagged counting threefold; midway between its neighbours."""
+    """The threshold with the fewest errors on texts kept back, a clean one flagged counting twice; midway between its neighbours."""
     if len({y for _, y in held}) < 2:
         return 0.0
     held = sorted(held)
-    cost = sum(3 for _, y in held if not y)
+    cost = sum(2 for _, y in held if not y)
     best, at = cost, held[0][0] - 1.0
     for k, (z, y) in enumerate(held):
-        cost += 1 if y else -3
+        cost += 1 if y else -2
         if cost < best:
             best, at = cost, (z + held[k + 1][0]) / 2 if k + 1 < len(held) else z + 1.0
     return at
