@@ -153,3 +153,23 @@ def provided(rows: DataFrame, provider: StubProvider, size: int = 20) -> DataFra
                 yield part
 
     return rows.select("doc_id", "idx", "sentence").mapInPandas(work, "doc_id long, idx int, sentence string, translation string, rating string, confidence string")
+
+
+def few_shot(examples: DataFrame, most: int = 200) -> DataFrame:
+    """One row: examples as a numbered text block in order of ``rank``; texts are cut to ``most`` characters. Columns rank, source, translation, rating, explanation."""
+    cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, most)
+    line = F.concat(F.lit("Source: "), cut("source"), F.lit("\nTranslation: "), cut("translation"), F.lit("\nRating: "), F.col("rating"), F.when(cut("explanation") != "", F.concat(F.lit("\nWhy: "), cut("explanation"))).otherwise(""))
+    parts = examples.agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("p"))
+    return parts.select(F.array_join(F.transform("p", lambda x: F.concat(F.lit("Example "), x["rank"].cast("string"), F.lit(":\n"), x["line"])), "\n\n").alias("block"))
+
+
+def layered_prompt(core: str, domain: str = "", glossary: list[tuple[str, str]] = (), custom: str = "", examples: str = "") -> str:
+    """A prompt from its layers; empty ones leave nothing behind."""
+    terms = "\n".join(f"{de} = {en}" for de, en in glossary)
+    layers = (core, domain, f"Use these terms:\n{terms}" if terms else "", custom, examples)
+    return "\n\n".join(x.strip() for x in layers if x and x.strip())
+
+
+def cost(rows: DataFrame, text: str, per_million: float = 20.0) -> DataFrame:
+    """One row: characters to be translated and their price."""
+    return rows.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).withColumn("cost", F.col("chars") / 1e6 * per_million)

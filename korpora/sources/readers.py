@@ -172,3 +172,8 @@ def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> Dat
                 yield from pd.read_sql_query(query, c, chunksize=10_000)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def catalog(spark: SparkSession) -> list[tuple[str, list[tuple[str, str]]]]:
+    """Tables and views of the session with their columns and types, by name."""
+    return [(t.name, [(c.name, c.dataType) for c in spark.catalog.listColumns(t.name)]) for t in sorted(spark.catalog.listTables(), key=lambda t: t.name)]

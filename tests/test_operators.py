@@ -189,3 +189,26 @@ def test_mutations(spark):
     assert "mt" in C.ensure_column(t, "mt").columns
     assert C.delete_and_insert(t, F.col("de") == "a", new.limit(1)).count() == 2
     assert C.within_budget(spark.createDataFrame([(1, "abc"), (2, "de"), (3, "f")], "i int, t string"), "t", ["i"], 5).count() == 2
+
+
+def test_prompts(spark):
+    rows = spark.createDataFrame([(2, 0, "B satz", None, "low", 0.1), (1, 1, "C", "Split.", "high", 0.5), (1, 0, "A", "x", "low", 0.2)], "batch int, local int, sentence string, hint string, risk_level string, risk_score double")
+    got = {r.batch: r.prompt for r in B.prompt(rows, ["batch"]).collect()}
+    assert got[1].split("\n")[0] == "[1] A" and "[2] C\n   {STRUCTURAL NOTE (risk=high, score=0.50): Split.}" in got[1] and got[2] == "[1] B satz"
+    ex = spark.createDataFrame([(2, "b" * 300, "t", "good", None), (1, "a", "t", "minor", "why")], "rank int, source string, translation string, rating string, explanation string")
+    block = B.few_shot(ex).head().block
+    assert block.startswith("Example 1:\nSource: a") and "b" * 201 not in block and "Why: why" in block
+    assert B.layered_prompt("core", "", [("Nut", "groove")]) == "core\n\nUse these terms:\nNut = groove"
+    assert B.cost(ex, "source").head().chars == 301
+
+
+def test_provider(spark):
+    s = spark.createDataFrame([(1, i, f"Satz {i}") for i in range(45)], "doc_id long, idx int, sentence string")
+    assert B.provided(s, B.StubProvider()).filter("translation LIKE '<en> %' AND rating IS NOT NULL").count() == 45
+
+    class Broken(B.StubProvider):
+        def evaluate(self, pairs):
+            raise RuntimeError("down")
+
+    out = B.provided(s, Broken()).select("rating", "confidence").distinct().collect()
+    assert [tuple(r) for r in out] == [("minor", "low")]

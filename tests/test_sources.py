@@ -99,3 +99,9 @@ def test_writers(spark, tmp_path):
     W.json_lines(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 40
     assert W.report(df).filter("index = 3").orderBy("k").head().line == "[3] GREEN"
+
+
+def test_catalog(spark):
+    spark.range(3).createOrReplaceTempView("some_ids")
+    assert ("some_ids", [("id", "bigint")]) in R.catalog(spark)
+    spark.catalog.dropTempView("some_ids")
