@@ -10,6 +10,8 @@ from korpora.operators import corpus as C
 from korpora.operators import evaluation as E
 from korpora.operators import terms as T
 from korpora.plans import views as V
+from korpora.plans.corpus import QUERIES as CORPUS
+from korpora.plans.corpus import SPLIT
 from korpora.plans.terms import SENTENCES_SQL
 from korpora.session import table
 
@@ -143,6 +145,7 @@ def term_hints(spark, d):
     return s.select("doc_id", X.term_hint(pairs).alias("hint"))
 
 
+COOCCURRENCE = CORPUS["cooccurrence_terms"][1]
 HASH = "({0} * 2654435761 + 42) % 4294967296"
 QUERIES = {
     "sentence_split_protected": (sentence_split_protected, split_sql(W.ABBREVIATIONS)),
@@ -166,6 +169,7 @@ SELECT base, sum(n)::BIGINT AS frequency, array_to_string(list_sort(list(DISTINC
     "conditional_counts": (conditional_counts, "SELECT count(*) AS total, count(*) FILTER (n_chars > 1000) AS long, count(*) FILTER (contains(text, '#')) AS marked, count(DISTINCT source) AS sources, count(*) FILTER (lang IS NULL) AS no_lang FROM documents"),
     "listed_terms": (listed_terms, "SELECT item_id, part FROM (SELECT item_id, trim(unnest(string_split(replace(replace(substr(text, 1, 60), ' ', '/'), '/', ','), ','))) AS part FROM benchmark) WHERE part <> ''"),
     "term_hints": (term_hints, f"""WITH g(k, de, en) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(V.GLOSSARY))}) SELECT doc_id, coalesce(' || terms: ' || string_agg(de || '=' || en, '; ' ORDER BY k), '') AS hint FROM (SELECT * FROM documents WHERE lang = 'de') LEFT JOIN g ON contains(lower(text), de) GROUP BY doc_id"""),
-    "reliabilities": (reliabilities, None),
-    "split_carved": (split_carved, None),
+    "reliabilities": (reliabilities, f"SELECT CASE WHEN consistency > 0.8 THEN 5 ELSE 3 END AS reliability, count(*) AS n FROM ({COOCCURRENCE}) GROUP BY 1"),
+    "split_carved": (split_carved, f"""WITH {SPLIT}, a AS (SELECT doc_id, CASE WHEN k <= floor(n * 0.9) THEN 'train' WHEN k <= floor(n * 0.9) + floor(n * 0.05) THEN 'val' ELSE 'test' END AS split FROM r), c AS (SELECT count(*) FILTER (split = 'val') AS v, count(*) FILTER (split = 'train') AS t FROM a),
+m AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS k FROM a) SELECT CASE WHEN split = 'train' AND k <= 100 AND v < 100 AND t > 100 THEN 'val' ELSE split END AS split, count(*) AS n FROM m, c GROUP BY 1"""),
 }
