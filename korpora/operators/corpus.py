@@ -74,20 +74,41 @@ def split_by_rank(rows: DataFrame, key: str, shares: tuple[float, float] = (0.8,
     return ranked.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")).drop("_o", "_bin", "_before", "_r", "_n")
 
 
+def binned(rows: DataFrame, value: str, bins: int | None = None) -> DataFrame:
+    """Adds ``_bin``: ranges of a number with about as many rows each, so that an order over all rows is an order of bins and one within each."""
+    n = bins or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.approxQuantile(value, [k / n for k in range(1, n)], 0.1 / n)))
+    inside = sum((F.when(F.col(value) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return rows.withColumn("_bin", inside)
+
+
+def ranked(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """Adds ``_r``, the rank of a row by value and key among all rows: its rank in its bin, shifted by the sizes of the bins before."""
+    b = binned(rows, value)
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = b.groupBy("_bin").agg(F.count("*").alias("_n")).select("_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = b.join(F.broadcast(sizes), "_bin").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy(value, key)))
+    return out.drop("_bin", "_before")
+
+
 def tertile_sample(rows: DataFrame, score: str, key: str, sizes: tuple[int, int, int], seed: int = 42) -> DataFrame:
     """A sample by thirds of the order by score: so many of the low, middle and high third, by hash."""
-    n = rows.count()
-    third = n // 3
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(score, key)))
+    third = rows.count() // 3
     tier = F.when(F.col("_r") <= third, 0).when(F.col("_r") <= 2 * third, 1).otherwise(2)
-    picked = ranked.withColumn("tier", tier).withColumn("_k", F.row_number().over(Window.partitionBy("tier").orderBy(hash_order(F.col(key), seed), key)))
-    return picked.filter(F.col("_k") <= F.element_at(F.array(*map(F.lit, sizes)), F.col("tier") + 1)).drop("_r", "_k")
-
-
-def within_budget(rows: DataFrame, text: str, order: list, budget: int) -> DataFrame:
-    """Rows in order for as long as their characters fit; the running sum is exact."""
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("chars_so_far", F.sum(F.length(text)).over(running)).filter(F.col("chars_so_far") <= budget)
+    tiers = ranked(rows, score, key).withColumn("tier", tier).drop("_r")
+    parts = [tiers.filter(F.col("tier") == k).orderBy(hash_order(F.col(key), seed), key).limit(n) for k, n in enumerate(sizes)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def within_budget(rows: DataFrame, text: str, priority: str, key: str, budget: int) -> DataFrame:
+    """Rows by priority and key for as long as their characters fit; the running sum is exact. Bins that begin beyond the budget are left out before anything is sorted."""
+    sized = binned(rows.withColumn("_c", F.length(text)), key)
+    bins = [priority, "_bin"]
+    before = Window.orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy(*bins).agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).filter(F.col("_before") <= budget).drop("_s")
+    running = Window.partitionBy(*bins).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = sized.join(F.broadcast(sums), bins).withColumn("chars_so_far", F.col("_before") + F.sum("_c").over(running)).filter(F.col("chars_so_far") <= budget)
+    return out.drop("_c", "_bin", "_before")
 
 
 def first_wins(rows: DataFrame, keys: list[str], *order) -> DataFrame:

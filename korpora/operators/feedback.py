@@ -77,15 +77,20 @@ def disagreements(rows: DataFrame, key: str, most: int = 20) -> DataFrame:
 def recurring_patterns(edits: DataFrame, key: str, least: int = 3, examples: int = 15) -> DataFrame:
     """Per edit type: count, caught (estimate not good). catch_rate_ref counts within the first examples only, catch_rate over all."""
     caught = F.col("qe_rating") != "good"
-    ranked = edits.withColumn("_k", F.row_number().over(Window.partitionBy("edit_type").orderBy(key)))
-    out = ranked.groupBy("edit_type").agg(F.count("*").alias("count"), F.count_if(caught & (F.col("_k") <= examples)).alias("caught_in_examples"), F.count_if(caught).alias("caught")).filter(F.col("count") >= least)
+    # a filter on the rank lets each task keep its first rows only; a window that feeds an aggregate would bring whole types to one task
+    first = edits.withColumn("_k", F.row_number().over(Window.partitionBy("edit_type").orderBy(key))).filter(F.col("_k") <= examples)
+    first = first.groupBy("edit_type").agg(F.count_if(caught).alias("caught_in_examples"))
+    full = edits.groupBy("edit_type").agg(F.count("*").alias("count"), F.count_if(caught).alias("caught")).filter(F.col("count") >= least)
+    out = full.join(first, "edit_type").select("edit_type", "count", "caught_in_examples", "caught")
     out = out.withColumn("catch_rate_ref", 100.0 * F.col("caught_in_examples") / F.col("count")).withColumn("catch_rate", 100.0 * F.col("caught") / F.col("count"))
     return out.withColumn("status", F.when(F.col("catch_rate_ref") < 60, "NEEDS RULE").otherwise("ok")).withColumn("actionable", 100 - F.col("catch_rate_ref") >= 40)
 
 
 def stratified(rows: DataFrame, key: str, targets: dict[str, int], total: int, seed: int = 42) -> DataFrame:
     """Up to the target of each rating by hash order, filled up from the rest to the total."""
-    ranked = rows.withColumn("_o", hash_order(F.col(key), seed)).withColumn("_k", F.row_number().over(Window.partitionBy("rating").orderBy("_o", key)))
+    shuffled = rows.withColumn("_o", hash_order(F.col(key), seed))
     target = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("rating")), F.lit(0))
-    picked = ranked.withColumn("picked", F.col("_k") <= target)
-    return picked.orderBy(F.desc("picked"), "_o", key).limit(total).drop("_o", "_k")
+    first = shuffled.withColumn("_k", F.row_number().over(Window.partitionBy("rating").orderBy("_o", key))).filter(F.col("_k") <= max(targets.values()))
+    picked = first.filter(F.col("_k") <= target).drop("_k").withColumn("picked", F.lit(True))
+    rest = shuffled.join(F.broadcast(picked.select(key)), key, "left_anti").orderBy("_o", key).limit(total).withColumn("picked", F.lit(False))
+    return picked.unionByName(rest).orderBy(F.desc("picked"), "_o", key).limit(total).drop("_o")

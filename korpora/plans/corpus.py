@@ -185,7 +185,8 @@ def value_counts_top20(spark, d):
 
 
 def char_budget(spark, d):
-    return C.within_budget(table(spark, d, "benchmark").select("item_id", "text"), "text", [(F.col("item_id") % 3), "item_id"], 3000).select("item_id", "chars_so_far")
+    rows = table(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 3).alias("priority"))
+    return C.within_budget(rows, "text", "priority", "item_id", 3000).select("item_id", "chars_so_far")
 
 
 def eval_sample_tertiles(spark, d):

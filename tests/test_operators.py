@@ -188,7 +188,7 @@ def test_mutations(spark):
     assert C.insert_or_ignore(t, new, ["de", "en", "source"]).count() == 2
     assert "mt" in C.ensure_column(t, "mt").columns
     assert C.delete_and_insert(t, F.col("de") == "a", new.limit(1)).count() == 2
-    assert C.within_budget(spark.createDataFrame([(1, "abc"), (2, "de"), (3, "f")], "i int, t string"), "t", ["i"], 5).count() == 2
+    assert C.within_budget(spark.createDataFrame([(1, "abc", 0), (2, "de", 0), (3, "f", 0)], "i int, t string, p int"), "t", "p", "i", 5).count() == 2
 
 
 def test_prompts(spark):
