@@ -4,7 +4,7 @@ A text's set holds the hashes of its distinct word shingles. For two sets of giv
 into bands such that linked sets lie in one band or in neighbours; for each band the universe of hashes is dealt into segments. If H differences are dealt into
 more than H segments, some segment is the same in both sets: the hash of a segment is a signature. Per band the cheaper of two allocations is taken:
 
-* segments only: more segments than H + 1, of which a probing set leaves out its least selective ones (fewest elements) and keeps H + 1 at least;
+* segments only: m segments, an eighth more than H + 1; linked sets then have m - H signatures in common, and sets that share fewer are dropped;
 * one-deletion neighbourhoods, where segments would get few elements: half as many segments, each indexed whole and with each single
   element left out, since among (H + 2) / 2 segments one has at most one difference.
 
@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpora.llm.common import buckets, chunks, mapped, pack, raw, stored, unpack, words
@@ -36,7 +36,7 @@ from korpora.llm.components import components
 
 MIX, MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Sets of a block in verification.
-BLOCK = 256
+BLOCK = 512
 #: Shingles of a matrix product at a time.
 COLUMNS = 1 << 14
 #: A segment of fewer elements on average is too common; one-deletion neighbourhoods take over.
@@ -98,13 +98,14 @@ class Scheme:
         return Band(low, high, allowed, allowed + 1 + -(-(allowed + 1) // 8), False)
 
 
-def signatures(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of many sets at once: (signature, set, probing). tokens: all elements; owner: the set of each."""
+def signatures(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of many sets at once: (signature, set, probing, how many a linked set shares in this band at least). tokens: all elements; owner: the set of each."""
     out = []
     own = np.searchsorted(scheme.starts, sizes, side="right") - 1
     segments = np.array([b.segments for b in scheme.bands], np.int64)
     deletions = np.array([b.deletions for b in scheme.bands])
     allowed = np.array([b.allowed for b in scheme.bands], np.int64)
+    least = np.where(deletions, 1, segments - allowed)
     for step in (0, 1):
         band = own + step
         m = segments[band]
@@ -115,20 +116,14 @@ def signatures(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, scheme:
         add = mixed(x + MUL)
         total = np.zeros(first[-1], np.uint64)
         np.add.at(total, seg, add)
-        fill = np.bincount(seg, minlength=first[-1]).astype(np.int64)
         holder = np.repeat(np.arange(len(m)), m)
         place = (np.arange(first[-1]) - first[:-1][holder]).astype(np.uint64)
         label = salt[holder] + place * MIX
-        probing = np.zeros(first[-1], bool)
-        if step == 0:
-            # the least filled segments beyond H + 1 are left out
-            order = np.lexsort((place, -fill, holder))
-            rank = np.arange(first[-1]) - first[:-1][holder[order]]
-            probing[order] = deletions[band][holder[order]] | (rank <= allowed[band][holder[order]])
-        out.append((mixed(total ^ label), holder, probing))
+        probing = np.full(first[-1], step == 0)
+        out.append((mixed(total ^ label), holder, probing, least[band][holder]))
         gone = np.flatnonzero(deletions[band][owner])
         if len(gone):
-            out.append((mixed((total[seg[gone]] - add[gone]) ^ label[seg[gone]]), owner[gone], np.full(len(gone), step == 0)))
+            out.append((mixed((total[seg[gone]] - add[gone]) ^ label[seg[gone]]), owner[gone], np.full(len(gone), step == 0), np.ones(len(gone), np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -169,24 +164,26 @@ def indexed(documents: DataFrame, k: int, percent: int, n_buckets: int) -> DataF
             if not sets:
                 continue
             sizes = np.array([len(s) for _, s in sets], np.int64)
-            sig, holder, probing = signatures(np.concatenate([s for _, s in sets]), np.repeat(np.arange(len(sets)), sizes), sizes, Scheme(percent, int(sizes.max())))
+            sig, holder, probing, least = signatures(np.concatenate([s for _, s in sets]), np.repeat(np.arange(len(sets)), sizes), sizes, Scheme(percent, int(sizes.max())))
             nodes = np.array([x for x, _ in sets], np.int64)[holder]
             place = (sig % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((nodes, place))
-            sig, nodes, probing, place = sig[order], nodes[order], probing[order], place[order]
+            sig, nodes, place = sig[order], nodes[order], place[order]
+            flags = (2 * least + probing)[order].astype(np.uint32)
+            cut = np.ascontiguousarray(sig.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5])
             own, at = np.unique(place, return_index=True)
             ends = [*at[1:].tolist(), len(place)]
-            blobs = [pack(sig[a:z], np.array([base], np.int64), (nodes[a:z] - base).astype(np.int32), probing[a:z]) for a, z in zip(at.tolist(), ends, strict=True)]
+            blobs = [pack(cut[a:z], np.array([base], np.int64), (nodes[a:z] - base).astype(np.int32), flags[a:z]) for a, z in zip(at.tolist(), ends, strict=True)]
             yield columns(len(own), bucket=own.tolist(), deal=own.tolist(), blob=blobs)
 
     return mapped(raw(documents), work, ROW)
 
 
-FOUND = "doc_id long, node long, n long, h1 long, h2 long, signature long, centre long"
+FOUND = "doc_id long, node long, n long, h1 long, h2 long, signature long, least int"
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """Documents pass through; of the signatures, those that two nodes or more share, with the least node as centre."""
+    """Documents pass through; of the signatures, those that two nodes or more share, one of them probing."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("doc_id", "node", "n", "h1", "h2")
@@ -204,23 +201,26 @@ def grouped(rows: DataFrame) -> DataFrame:
         for bucket, group in groupby(streamed(), key=lambda r: r[0]):
             if bucket < 0:
                 for _, b in group:
-                    yield {c: b.column(c) for c in names} | {"signature": none(len(b)), "centre": none(len(b))}
+                    yield {c: b.column(c) for c in names} | {"signature": none(len(b)), "least": none(len(b))}
                 continue
-            parts = [unpack(blob, np.uint64, np.int64, np.int32, np.bool_) for _, blob in group]
-            sig = np.concatenate([p[0] for p in parts])
+            parts = [unpack(blob, np.uint8, np.int64, np.int32, np.uint32) for _, blob in group]
+            # 40 bits within a bucket: sets that meet by chance are told apart in verification
+            wide = np.zeros((sum(len(p[2]) for p in parts), 8), np.uint8)
+            wide[:, 3:] = np.concatenate([p[0] for p in parts]).reshape(-1, 5)
+            sig = wide.reshape(-1).view(">u8").astype(np.uint64) << np.uint64(24) | np.uint64(bucket)
             node = np.concatenate([p[1][0] + p[2].astype(np.int64) for p in parts])
-            probing = np.concatenate([p[3] for p in parts])
+            flags = np.concatenate([p[3] for p in parts])
             order = np.lexsort((node, sig))
-            sig, node, probing = sig[order], node[order], probing[order]
+            sig, node, flags = sig[order], node[order], flags[order]
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             end = np.concatenate([start[1:], [len(sig)]])
-            live = (node[start] != node[end - 1]) & np.logical_or.reduceat(probing, start)
+            live = (node[start] != node[end - 1]) & np.logical_or.reduceat(flags & 1, start)
             size = end - start
             keep = np.repeat(live, size)
-            sig, node, centre = sig[keep], node[keep], np.repeat(node[start], size)[keep]
+            sig, node, least = sig[keep], node[keep], (flags[keep] >> 1).astype(np.int32)
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])[: len(sig)]
             n = int(new.sum())
-            yield {"node": node[new], "signature": signed(sig[new]), "centre": centre[new]} | {c: none(n) for c in ("doc_id", "n", "h1", "h2")}
+            yield {"node": node[new], "signature": signed(sig[new]), "least": least[new]} | {c: none(n) for c in ("doc_id", "n", "h1", "h2")}
 
     return mapped(rows.repartition("deal").sortWithinPartitions("bucket"), work, FOUND)
 
@@ -262,6 +262,7 @@ def compared(tasks: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between the two sides of a task that join classes (column ``class``) not joined yet. Rows: task, side, node, class, set."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "node"]).drop_duplicates(["side", "node"])  # repeated rows of a text are fetched each
         left, right = rows[rows.side == 0], rows[rows.side == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -287,26 +288,44 @@ def compared(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.groupBy("task").applyInPandas(work, "a long, b long")
 
 
-def candidates(documents: DataFrame, found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(node, family, block, elements) of every node that shares a signature, and (node, f, g): families that share one, with the nodes in question."""
-    groups = found.filter("signature IS NOT NULL").select("signature", "node", "centre")
-    nearest = groups.groupBy("node").agg(F.min("centre").alias("centre"))
-    up = nearest.select(F.col("node").alias("centre"), F.col("centre").alias("above"))
-    family = nearest.join(up, "centre", "left").select("node", F.coalesce(F.least("centre", "above"), "centre").alias("family"))
-    counted = family.groupBy("family").agg(F.count("*").alias("members"))
-    family = stored(
-        family.join(counted, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")),
-        "join-families",
-    )
+def mixed_signatures(joined: DataFrame) -> DataFrame:
+    """Signatures (signature, f) that nodes of several families have, with the least family."""
+    return joined.groupBy("signature").agg(F.min("family").alias("_f"), F.max("family").alias("_g")).filter("_f <> _g").select("signature", "_f")
+
+
+def likely(groups: DataFrame) -> DataFrame:
+    """(signature, node, least, centre) of nodes that share as many signatures as a link needs at least, the least such node of a signature as its centre.
+
+    In a band of m segments linked sets have m - H in common, so a set that shares fewer with all others together has no link there.
+    """
+    enough = groups.groupBy("node", "least").agg(F.count("*").alias("n")).filter("n >= least").select("node", "least")
+    left = stored(groups.join(enough, ["node", "least"]), "join-likely")
+    centres = left.groupBy("signature").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).filter("centre <> _last").select("signature", "centre")
+    left = stored(left.join(centres, "signature"), "join-shared")
+    enough = left.groupBy("node", "least").agg(F.count("*").alias("n")).filter("n >= least").select("node", "least")
+    return stored(left.join(enough, ["node", "least"]), "join-groups")
+
+
+def candidates(documents: DataFrame, found: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Families (node, family, block, blocks) of the nodes that share a signature; (node, f, g): families that share one, with the nodes in question; and the nodes'
+    sets (node, family, block, led, elements), led: blocks of the family whose centre the node is."""
+    groups = likely(found.filter("signature IS NOT NULL").select("signature", "node", "least"))
+    # the centre with which a node shares most signatures: chance meets once or twice, near copies many times
+    met = groups.groupBy("node", "centre").agg(F.count("*").alias("n"))
+    family = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select("node", (-F.col("m.c")).alias("family"))
+    family = stored(family, "join-nearest")
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    family = stored(family.join(sizes, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-families")
     joined = groups.join(family.select("node", "family"), "node")
-    many = joined.groupBy("signature").agg(F.min("family").alias("f"), F.max("family").alias("g")).filter("f <> g").select("signature")
-    across = joined.join(many, "signature")
+    across = joined.join(mixed_signatures(joined), "signature")
     lists = across.groupBy("signature").agg(F.array_sort(F.collect_set("family")).alias("families"))
     pairs = lists.select("signature", F.explode(F.expr("flatten(transform(families, (x, i) -> transform(slice(families, i + 2, size(families)), y -> struct(x AS f, y AS g))))")).alias("p")).select("signature", "p.f", "p.g")
-    crossing = across.join(pairs, "signature").filter("family = f OR family = g").select("node", "f", "g").distinct()
-    rows = found.filter("signature IS NULL AND n > 0")
-    one = rows.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("h1").alias("h1"))
-    wanted = stored(one.join(family, "node"), "join-wanted")
+    meetings = across.join(pairs, "signature").filter("family = f OR family = g").groupBy("node", "least", "f", "g").agg(F.count("*").alias("n"))
+    crossing = meetings.filter("n >= least").select("node", "f", "g").distinct()
+    rows = found.filter("signature IS NULL AND n > 0 AND doc_id IS NOT NULL")
+    one = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("h1").alias("h1"))
+    led = family.groupBy(F.col("family").alias("node")).agg(F.first("blocks").alias("led"))
+    wanted = stored(one.join(family, "node").join(led, "node", "left"), "join-wanted")
     texts = raw(documents).filter("doc_id IS NOT NULL")
     few = wanted.count() <= BROADCAST_IDS
     fetched = texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
@@ -317,39 +336,38 @@ def candidates(documents: DataFrame, found: DataFrame, k: int) -> tuple[DataFram
             h = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1 for s in sets], np.uint64).view(np.int64)
             own = np.flatnonzero(h == b.column("h1").to_numpy())
             part = b.take(pa.array(own))
-            yield {c: part.column(c) for c in ("node", "family", "block", "blocks")} | {"elements": [sets[i].tobytes() for i in own]}
+            yield {c: part.column(c) for c in ("node", "family", "block", "led")} | {"elements": [sets[i].tobytes() for i in own]}
 
-    # a repeated row is fetched twice
-    sets = mapped(fetched, work, "node long, family long, block int, blocks int, elements binary").dropDuplicates(["node"])
-    return stored(sets, "join-sets"), stored(crossing, "join-crossing")
+    sets = mapped(fetched, work, "node long, family long, block int, led int, elements binary")
+    return family, stored(crossing, "join-crossing"), stored(sets, "join-sets")
+
+
+def task(kind: str, *columns: str) -> Column:
+    return F.xxhash64(F.lit(kind), *columns)
 
 
 def links(documents: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): enough links between nodes to give every component."""
-    sets, crossing = candidates(documents, found, k)
-    task = lambda *c: F.xxhash64(*(F.lit(x) if isinstance(x, str) and x[:1] == "=" else F.col(x) for x in c))
-    out = ("task", "side", "node", "class", "elements")
-    own = F.col("node").alias("class")
-    blocks = sets.select("family", "block").distinct()
-    centres = sets.select("node", "elements").join(blocks.withColumnRenamed("family", "node"), "node")
-    first = sets.select(task("=star", "family", "block").alias("task"), F.lit(1).alias("side"), "node", own, "elements")
-    first = first.unionAll(centres.select(task("=star", "node", "block").alias("task"), F.lit(0).alias("side"), "node", own, "elements").select(*out))
-    star = stored(compared(first, percent).filter("a <> b"), "join-stars")
+    """(a, b): enough links between nodes to give every component. Tasks are laid out on node numbers; the sets join them last."""
+    family, crossing, sets = candidates(documents, found, k)
+    member = F.array(F.struct(task("star", "family", "block").alias("task"), F.lit(1).alias("side")))
+    centre = F.transform(F.sequence(F.lit(0), F.col("led") - 1), lambda b: F.struct(F.xxhash64(F.lit("star"), F.col("node"), b.cast("int")).alias("task"), F.lit(0).alias("side")))
+    first = sets.select("node", F.col("node").alias("class"), "elements", F.explode(F.when(F.col("led").isNull(), member).otherwise(F.concat(member, centre))).alias("t"))
+    star = stored(compared(first.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"), "join-stars")
     # what failed against the centre meets the whole family
-    member = sets.join(star.select(F.col("b").alias("node"), F.col("a").alias("class")), "node", "left").withColumn("failed", F.col("class").isNull() & (F.col("node") != F.col("family"))).withColumn("class", F.coalesce("class", "node"))
-    member = stored(member.select("node", "family", "block", "blocks", "class", "failed", "elements"), "join-members")
-    failing = member.filter("failed").select("family", F.col("block").alias("left_block")).distinct()
-    per_family = failing.groupBy("family").agg(F.collect_list("left_block").alias("lefts"))
-    left = member.filter("failed").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(task("=family", "family", "block", "other").alias("task"), F.lit(0).alias("side"), "node", "class", "elements")
-    right = member.join(per_family, "family").withColumn("left_block", F.explode("lefts")).select(task("=family", "family", "left_block", "block").alias("task"), F.lit(1).alias("side"), "node", "class", "elements")
-    blocks_of = member.select("node", "family", "class", "block", "elements").join(crossing, "node")
-    sides = blocks_of.withColumn("side", F.when(F.col("family") == F.col("f"), 0).otherwise(1))
-    there = sides.groupBy("f", "g", "side").agg(F.collect_set("block").alias("own_blocks"))
-    opposite = there.select("f", "g", (1 - F.col("side")).alias("side"), F.col("own_blocks").alias("others"))
-    cross = sides.join(opposite, ["f", "g", "side"]).withColumn("other", F.explode("others"))
-    cross = cross.select(F.xxhash64(F.lit("=cross"), "f", "g", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))).alias("task"), "side", "node", "class", "elements")
-    rest = compared(left.unionAll(right).unionAll(cross), percent).filter("a <> b")
-    return star.unionAll(rest)
+    joined = family.join(star.select(F.col("b").alias("node"), F.col("a").alias("class")).distinct(), "node", "left")
+    state = stored(joined.select("node", "family", "block", "blocks", F.coalesce("class", "node").alias("class"), (F.col("class").isNull() & (F.col("node") != F.col("family"))).alias("failed")), "join-states")
+    lefts = state.filter("failed").select("family", F.col("block").alias("left_block")).distinct()
+    left = state.filter("failed").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "class", task("family", "family", "block", "other").alias("task"), F.lit(0).alias("side"))
+    right = state.join(lefts, "family").select("node", "class", task("family", "family", "left_block", "block").alias("task"), F.lit(1).alias("side"))
+    sides = state.select("node", "family", "class", "block").join(crossing, "node").withColumn("side", F.when(F.col("family") == F.col("f"), 0).otherwise(1))
+    opposite = sides.select("f", "g", (1 - F.col("side")).alias("side"), F.col("block").alias("other")).distinct()
+    ends = [F.when(F.col("side") == s, F.col("block")).otherwise(F.col("other")) for s in (0, 1)]
+    cross = sides.join(opposite, ["f", "g", "side"]).select("node", "class", F.xxhash64(F.lit("cross"), "f", "g", *ends).alias("task"), "side")
+    tasks = left.unionAll(right).unionAll(cross).groupBy("node", "class").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+    tasks = stored(tasks, "join-tasks")
+    few = tasks.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).head()[0] <= 2 * BROADCAST_IDS
+    rows = sets.select("node", "elements").join(F.broadcast(tasks) if few else tasks, "node").select("node", "class", "elements", F.explode("tasks").alias("t"))
+    return star.unionAll(compared(rows.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"))
 
 
 def classes(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -359,7 +377,19 @@ def classes(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     full = rows.filter("n > 0")
     same = full.groupBy("h1", "h2").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high")
     equal = full.join(same, ["h1", "h2"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    labels = components(links(documents, found, k, percent).unionAll(equal))
+    # stored, since the links that a task returns depend on the order of its rows and are read more than once
+    labels = components(stored(links(documents, found, k, percent).unionAll(equal), "join-links"))
     labelled = stored(rows.join(labels.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "join-labels")
     least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT rid, y FROM reach JOIN e ON x = other),
+low AS (SELECT reach.rid, min(d.doc_id) AS component_id FROM reach JOIN d ON d.rid = other GROUP BY reach.rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN low USING (rid) LEFT JOIN n USING (rid)"""

@@ -74,13 +74,16 @@ def test_pigeonhole_misses_no_pair():
                 other.append(np.unique(np.concatenate([base[: max(0, n - gone)], r.integers(0, 2**63, new).astype(np.uint64)])))
             other = [np.unique(x) for x in other if len(x)]
             sizes = np.array([len(x) for x in other])
-            sig, holder, probing = J.signatures(np.concatenate(other), np.repeat(np.arange(len(other)), sizes), sizes, scheme)
+            sig, holder, probing, least = J.signatures(np.concatenate(other), np.repeat(np.arange(len(other)), sizes), sizes, scheme)
             link = J.linked(other, other, percent)
             by = [set(sig[holder == i].tolist()) for i in range(len(other))]
             probes = [set(sig[(holder == i) & probing].tolist()) for i in range(len(other))]
             for i, j in zip(*np.nonzero(link), strict=True):
                 if i < j and not np.array_equal(other[i], other[j]):
                     assert probes[i] & by[j] or probes[j] & by[i], (percent, n, sizes[i], sizes[j])
+                    common = np.isin(sig, list(by[i] & by[j]))
+                    for x in (i, j):
+                        assert any((common & (holder == x) & (least == k)).sum() >= k for k in set(least[holder == x].tolist()))
 
 
 def test_components(spark):
