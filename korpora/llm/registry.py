@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": url_filters.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op3_jaccard_join": jaccard_join.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_url_filters": url_filters.SQL, "op10_quality_rules": quality_rules.SQL}

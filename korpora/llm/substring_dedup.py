@@ -203,3 +203,11 @@ def deduplicated(documents: DataFrame, k: int = 20, m: int = 3, keep: tuple[str,
 
     types = ", ".join(f"{c} {t}" for c, t in documents.select("doc_id", *keep).dtypes)
     return mapped(joined.select("doc_id", *keep, "text", "runs"), work, f"{types}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, rank() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS p FROM r),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) a WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = a.rid AND gone.p = a.p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
