@@ -318,9 +318,10 @@ def candidates(documents: DataFrame, found: DataFrame, k: int) -> tuple[DataFram
     family = stored(family.join(sizes, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-families")
     joined = groups.join(family.select("node", "family"), "node")
     across = joined.join(mixed_signatures(joined), "signature")
-    lists = across.groupBy("signature").agg(F.array_sort(F.collect_set("family")).alias("families"))
-    pairs = lists.select("signature", F.explode(F.expr("flatten(transform(families, (x, i) -> transform(slice(families, i + 2, size(families)), y -> struct(x AS f, y AS g))))")).alias("p")).select("signature", "p.f", "p.g")
-    meetings = across.join(pairs, "signature").filter("family = f OR family = g").groupBy("node", "least", "f", "g").agg(F.count("*").alias("n"))
+    # signatures with the same families share one list of pairs
+    lists = across.groupBy("signature").agg(F.array_sort(F.collect_set("family")).alias("families")).withColumn("list", F.xxhash64("families"))
+    pairs = lists.select("list", "families").distinct().select("list", F.explode(F.expr("flatten(transform(families, (x, i) -> transform(slice(families, i + 2, size(families)), y -> struct(x AS f, y AS g))))")).alias("p")).select("list", "p.f", "p.g")
+    meetings = across.join(lists.select("signature", "list"), "signature").join(pairs, "list").filter("family = f OR family = g").groupBy("node", "least", "f", "g").agg(F.count("*").alias("n"))
     crossing = meetings.filter("n >= least").select("node", "f", "g").distinct()
     rows = found.filter("signature IS NULL AND n > 0 AND doc_id IS NOT NULL")
     one = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("h1").alias("h1"))
