@@ -213,8 +213,8 @@ def json_answers(spark, d):
 
 
 def numbered_answers(spark, d):
-    """Numbered answers taken apart and padded."""
-    rows = V.sentences(spark, d).filter("idx < 8").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("a"))
+    """Numbered answers of whole documents taken apart and padded."""
+    rows = V.sentences(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("a"))
     text = F.array_join(F.transform("a", lambda x: F.concat(F.lit("["), (x["idx"] + 1).cast("string"), F.lit("] "), x["sentence"])), "\n")
     return B.parsed_numbered(rows.select("doc_id", text.alias("response"), (F.size("a") + 1).alias("expected")), "doc_id")
 
