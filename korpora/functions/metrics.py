@@ -16,18 +16,13 @@ def tokens(text: Column) -> Column:
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays, row by row of the table, inside the JVM."""
-    first = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda _, j: j + 1)), lambda x: x.cast("int"))
-
-    def row(previous: Column, x: Column) -> Column:
-        start = F.array(F.get(previous, 0) + 1)
-        return F.aggregate(
-            F.transform(b, lambda y, j: F.struct(j.alias("j"), (y == x).alias("same"))),
-            start,
-            lambda acc, e: F.array_append(acc, F.least(F.get(acc, e["j"]) + 1, F.get(previous, e["j"] + 1) + 1, F.get(previous, e["j"]) + F.when(e["same"], 0).otherwise(1)).cast("int")),
-        )
-
-    return F.element_at(F.aggregate(a, first, row), -1)
+    """Levenshtein distance of two arrays inside the JVM: each distinct word becomes one character, so the distance of the strings is that of the arrays."""
+
+    def coded(words: Column, distinct: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(distinct, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
+
+    both = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("w")))
+    return F.transform(both, lambda x: F.levenshtein(coded(x["a"], x["w"]), coded(x["b"], x["w"])))[0]
 
 
 def ter(hypothesis: Column, reference: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from korpora.functions.lexicons import CALQUE_PATTERNS
 from korpora.functions.metrics import matching_ratio
@@ -27,12 +31,20 @@ PASSIVE = r"(?i)\b(is|are|was|were|been|being) \w+ed\b"
 CALQUES = tuple(f"(?i){p}" for p in CALQUE_PATTERNS)
 
 
-def inversions(a: Column, b: Column) -> Column:
-    """Number of pairs of common words that stand in another order; positions are last occurrences."""
-    common = F.array_sort(F.array_intersect(a, b))
-    last = lambda arr, w: F.size(arr) - F.array_position(F.reverse(arr), w)
-    places = F.transform(common, lambda w: F.struct(last(a, w).alias("x"), last(b, w).alias("y")))
-    return F.aggregate(places, F.lit(0), lambda n, p: n + F.size(F.filter(places, lambda q: (p["x"] < q["x"]) & (p["y"] > q["y"]))))
+@F.pandas_udf(IntegerType())
+def inversions(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Number of pairs of common words that stand in another order; positions are last occurrences. Built-in functions would need all pairs of words."""
+
+    def count(x, y) -> int:
+        at, seen, n = {w: i for i, w in enumerate(y)}, [], 0
+        last = {w: i for i, w in enumerate(x) if w in at}
+        for w in sorted(last, key=last.get):
+            k = bisect(seen, at[w])
+            n += len(seen) - k
+            seen.insert(k, at[w])
+        return n
+
+    return pd.Series([count(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def edit_types(rows: DataFrame) -> DataFrame:

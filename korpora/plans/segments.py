@@ -188,7 +188,7 @@ def text_search(spark, d):
 
 
 def edit_types(spark, d):
-    p = V.translated(spark, d).filter("length(ref) <= 1500").select("id", "mt", F.col("ref").alias("corrected"))
+    p = V.translated(spark, d).select("id", "mt", F.col("ref").alias("corrected"))
     return E.edit_types(p).select("id", "primary_type", F.size("edit_types").alias("n_types"))
 
 
