@@ -9,24 +9,25 @@ can't reach. Nothing at or above the threshold is lost, and all such items are r
 Verification then asks the whole text around the passage: an item is found if at least ``share`` of the distinct ``gram``-word sequences of its question (all
 sentences but the last; the whole item if it has one sentence) are there, and likewise of its answer (the last sentence).
 
-The index is broadcast; it may have ``MAX_ITEMS`` items at most and ``index`` refuses more, to be split by the caller. Null or wordless items are
-never found, null or empty texts hold nothing. Null ids and repeated rows are judged each. Words are compared with A-Z in lower case and ASCII punctuation as space.
+An index is broadcast and has ``MAX_ITEMS`` items at most; ``matches`` cuts a larger benchmark into shards and passes over the texts once for each, one index at a time,
+with impacts from counts over all items, so the items found are those of one index. Null or wordless items are never found, null or empty texts hold nothing. Null ids and repeated rows are judged each. Words are compared with A-Z in lower case and ASCII punctuation as space.
 """
 
 from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, repeat
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import batched, chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpora.llm.common import LOWER, chunks, mapped, raw
+from korpora.llm.common import LOWER, chunks, dropped, mapped, raw, stored
 
 K1, B = 1.2, 0.75
 #: A-Z in lower case, ASCII punctuation as space: a copied item is found whatever became of its punctuation.
@@ -120,11 +121,31 @@ def grams(w: list[bytes], n: int) -> frozenset:
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def index(items: list[tuple[int, bytes]], gram: int, threshold: float = 0.4) -> Index:
+@dataclass
+class Counts:
+    """Of all items that have words."""
+
+    items: int = 0
+    words: int = 0
+    longest: int = 0
+    holding: Counter = field(default_factory=Counter)  # word -> number of items
+
+
+def counted(texts: Iterable[bytes]) -> Counts:
+    c = Counts()
+    for w in filter(None, map(terms_of, texts)):
+        c.items, c.words, c.longest = c.items + 1, c.words + len(w), max(c.longest, len(w))
+        c.holding.update(set(w))
+    return c
+
+
+def index(items: list[tuple[int, bytes]], gram: int, threshold: float = 0.4, counts: Counts | None = None) -> Index:
+    """counts: of all items, if these are a part of them."""
     if len(items) > MAX_ITEMS:
         raise ValueError(f"{len(items)} items; the index is broadcast and holds {MAX_ITEMS} at most: split the items")
     split = [(i, w, t) for i, t in items if (w := terms_of(t))]
-    mean = sum(len(w) for _, w, _ in split) / max(1, len(split))
+    counts = counts or counted(t for _, t in items)
+    mean = counts.words / max(1, counts.items)
     post: dict[bytes, list[tuple[int, int]]] = {}
     for k, (_, w, _) in enumerate(split):
         for x in sorted(set(w)):
@@ -132,10 +153,10 @@ def index(items: list[tuple[int, bytes]], gram: int, threshold: float = 0.4) ->
     length = np.array([len(w) for _, w, _ in split], float)
     number = {w: j for j, w in enumerate(post)}
     places, impacts = [], []
-    for p in post.values():
+    for x, p in post.items():
         at, tf = np.array([k for k, _ in p], np.int64), np.array([c for _, c in p], float)
         places.append(at)
-        impacts.append(np.log1p((len(split) - len(p) + 0.5) / (len(p) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean)))
+        impacts.append(np.log1p((counts.items - counts.holding[x] + 0.5) / (counts.holding[x] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / mean)))
     own = np.zeros(len(split))
     for at, v in zip(places, impacts, strict=True):
         own[at] += v
@@ -206,9 +227,19 @@ def found(texts: list[list[bytes]], idx: Index, passage: int, threshold: float,
 
 def matches(documents: DataFrame, benchmark: DataFrame, passage: int = 64, threshold: float = 0.4, gram: int = 3, share: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, items (ids of the items found), contaminated, of every document."""
-    rows = benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text")).limit(MAX_ITEMS + 1).collect()
-    passage = max([passage, *(len(terms_of(bytes(r.text))) for r in rows)])  # a passage has room for any item
-    shared = documents.sparkSession.sparkContext.broadcast(index(sorted((r.item_id if r.item_id is not None else -1, bytes(r.text)) for r in rows), gram, threshold))
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.col("text").cast("binary").alias("text"))
+    rows = items.limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
+        del rows
+        return sharded(documents, items, passage, threshold, gram, share, keep)
+    own = sorted((r.item_id, bytes(r.text)) for r in rows)
+    counts = counted(t for _, t in own)
+    return searched(documents, index(own, gram, threshold, counts), max(passage, counts.longest), threshold, gram, share, keep)  # a passage has room for any item
+
+
+def searched(documents: DataFrame, items: Index, passage: int, threshold: float, gram: int, share: float, keep: tuple[str, ...]) -> DataFrame:
+    """``matches`` for the items of one index."""
+    shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         idx = shared.value
@@ -219,3 +250,22 @@ def matches(documents: DataFrame, benchmark: DataFrame, passage: int = 64, thres
 
     types = "".join(f", {c} {t}" for c, t in documents.select(*keep).dtypes) if keep else ""
     return mapped(raw(documents, *(c for c in keep if c != "text")), work, f"doc_id long{types}, items array<long>, contaminated boolean")
+
+
+def sharded(documents: DataFrame, items: DataFrame, passage: int, threshold: float, gram: int, share: float, keep: tuple[str, ...]) -> DataFrame:
+    """``matches`` for more items than one index holds: a pass for each shard stores its finds, and the documents take up those of all shards by id and text."""
+    ordered = stored(items.orderBy("item_id", "text"), "decontamination-items")
+    rows = ordered.orderBy("item_id", "text")
+    counts = counted(bytes(r.text) for r in rows.toLocalIterator())
+    passage = max(passage, counts.longest)
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    finds = None
+    for part in batched(((r.item_id, bytes(r.text)) for r in rows.toLocalIterator()), MAX_ITEMS):
+        got = searched(documents, index(list(part), gram, threshold, counts), passage, threshold, gram, share, ("text",)).filter("contaminated")
+        got = stored(got.select(F.col("doc_id").alias("_id"), digest.alias("_digest"), "items").dropDuplicates(["_id", "_digest"]), "decontamination-finds")
+        finds = got if finds is None else finds.unionByName(got)
+    dropped(ordered)
+    finds = finds.groupBy("_id", "_digest").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
+    rows = documents.select(F.col("doc_id").cast("long"), *keep, digest.alias("_own"))
+    found_in = F.coalesce("items", F.array().cast("array<long>"))
+    return rows.join(finds, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left").select("doc_id", *keep, found_in.alias("items"), (F.size(found_in) > 0).alias("contaminated"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from korpora.llm import decontamination as D
 
@@ -41,3 +42,18 @@ def test_planted_and_clean(spark, docs, odd, none):
         rows = D.matches(df, bench).collect()
         assert len(rows) == df.count() and not any(r.contaminated for r in rows)
     assert D.matches(documents, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_shards_find_what_one_index_finds(spark, odd, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    documents, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    bench = bench.unionByName(bench.limit(3).selectExpr("CAST(NULL AS long) AS item_id", "text"), allowMissingColumns=True).select("item_id", "text")
+    rows = odd.select("doc_id", "text", "lang").unionByName(documents.select("doc_id", "text", "lang"))
+    held = bench.selectExpr("CAST(NULL AS long) AS doc_id", "text", "'en' AS lang")
+    rows = rows.unionByName(held).unionByName(held.groupBy("doc_id", "lang").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text")))
+    whole = D.matches(rows, bench, keep=("text", "lang"))
+    want = sorted(map(str, whole.collect()))
+    monkeypatch.setattr(D, "MAX_ITEMS", 15)
+    parts = D.matches(rows, bench, keep=("text", "lang"))
+    assert bench.count() > 2 * 15 and parts.columns == whole.columns
+    assert sum("contaminated=True" in x for x in want) > 40 and sorted(map(str, parts.collect())) == want
