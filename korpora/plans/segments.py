@@ -67,8 +67,8 @@ def system_compare(spark, d):
     return out.withColumn("avg_d", F.round("avg_d", 6)).withColumn("avg_a", F.round("avg_a", 6))
 
 
-def review(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.substring("text", 1, 80).alias("translation"))
+def review(spark, d, translation: str = "substring(text, 1, 80)") -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.expr(translation).alias("translation"))
     confirmed = docs.filter("index % 6 = 0").select("index", F.when(F.col("index") % 12 == 0, "").otherwise(F.lower("translation")).alias("confirmed_text"))
     return T.review_rows(docs, V.ratings(spark, d), confirmed)
 
@@ -223,7 +223,7 @@ def report_rows(spark, d):
     """Segments of a rendered report, read back: a running count of headers is the segment."""
     from pyspark.sql import Window
 
-    lines = review(spark, d).select("index", F.explode(F.array(F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), F.upper("triage")), F.concat(F.lit("EN: "), F.col("final")))).alias("line"))
+    lines = review(spark, d, "text").select("index", F.explode(F.array(F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), F.upper("triage")), F.concat(F.lit("EN: "), F.col("final")))).alias("line"))
     lines = lines.withColumn("k", F.when(F.col("line").startswith("["), 0).otherwise(1))
     seg = F.count_if(F.col("k") == 0).over(Window.partitionBy(F.floor(F.col("index") / 100)).orderBy("index", "k"))
     part = lines.withColumn("block", F.floor(F.col("index") / 100)).withColumn("seg", seg)

@@ -26,3 +26,9 @@ def test_metrics_score_every_pair(spark, tmp_path):
         got = {r.id // 1000: r for r in q[name](spark, str(tmp_path)).collect()}
         assert set(got) == {0, 1, 2}
     assert [got[k].ter for k in (0, 1, 2)] == [2 / 8, 2 / 6, 2 / 5]
+
+
+def test_report_rows_hold_whole_texts(spark):
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted(len("EN: ") + len(r.text.lower() if r.doc_id % 6 == 0 and r.doc_id % 12 else r.text) for r in rows)
+    assert sorted(r.chars for r in catalog.queries()["report_rows"](spark, DIR).collect()) == want
