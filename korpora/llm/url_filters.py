@@ -5,7 +5,7 @@ FP-growth mines the frequent token combinations; rules whose consequent is the b
 and support. An inverted index from token to rules, dealt into hash buckets, finds the rules of a url: a rule matches
 when as many of the url's tokens point to it as it has tokens. Explicit (host, path) rules come before the mined ones.
 
-The mined rules are collected: a basket holds at most ``MAX_TOKENS`` tokens, so at most MAX_TOKENS / min_support tokens are frequent,
+Urls are matched by all their tokens. The mined rules are collected: a basket that is mined holds at most ``MAX_TOKENS`` tokens, so at most MAX_TOKENS / min_support tokens are frequent,
 whatever the number of pages. Null urls and urls without ``://`` have empty host and path and no tokens; they are allowed. Without labels
 no rule is mined. Repeated rows give a row each; only page_id and url are read.
 """
@@ -52,7 +52,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def tokens() -> Column:
-    """Distinct tokens of a parsed url; numbers count as one token."""
+    """All distinct tokens of a parsed url; numbers count as one token."""
     tagged = lambda tag, parts: F.transform(parts, lambda x: F.concat(F.lit(tag), x))
     present = lambda parts: F.filter(parts, lambda x: x != "")
     query = F.regexp_extract("_rest", r"^[^?#]*\?([^#]*)", 1)
@@ -63,15 +63,14 @@ def tokens() -> Column:
         tagged("q:", present(F.transform(F.split(query, "&"), lambda q: F.substring_index(q, "=", 1)))),
         tagged("s:", present(F.array(F.when(F.col("_rest") != "", F.substring_index("url", "://", 1)).otherwise("")))),
     )
-    return F.slice(F.array_distinct(found), 1, MAX_TOKENS)
+    return F.array_distinct(found)
 
 
 def mined(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.5, max_tokens: int = 3) -> list[tuple[list[str], float, float]]:
     """(tokens, confidence, support) of the rules for the blocked class (quality 0), most confident first."""
     low = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("low"))
-    baskets = (
-        parsed(pages.select("page_id", "url")).filter("_rest <> ''").join(low, "page_id").select(F.when(F.col("low"), F.array_append(tokens(), F.lit(BLOCKED))).otherwise(tokens()).alias("items"))
-    )
+    basket = F.slice(tokens(), 1, MAX_TOKENS)
+    baskets = parsed(pages.select("page_id", "url")).filter("_rest <> ''").join(low, "page_id").select(F.when(F.col("low"), F.array_append(basket, F.lit(BLOCKED))).otherwise(basket).alias("items"))
     n = baskets.count()
     if not n:
         return []

@@ -24,3 +24,9 @@ def test_mining_finds_a_planted_combination(spark):
     bad = {r.page_id for r in U.judged(pages, rules, ()).filter("verdict = 'block'").collect()}
     assert bad == {i for i in range(400) if i % 5 == 0 and i % 2}
     assert U.mined(pages, labels.limit(0)) == []
+
+
+def test_tokens_of_long_urls_match(spark):
+    query = "&".join(f"k{i}=1" for i in range(100))
+    pages = spark.createDataFrame([(1, f"http://h/a?{query}"), (2, f"ftp://h/a?{query}")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in U.judged(pages, [(["q:k99", "s:ftp"], 0.9, 0.1)], ()).collect()} == {1: "allow", 2: "block"}
