@@ -18,8 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the current policy rejects."""
-    return quality_rules.apply_policy(quality_rules.ledger(docs, *COLUMNS)).filter("kept").select(*COLUMNS)
+    """Without the documents that the pipeline's policy rejects."""
+    return quality_rules.apply_policy(quality_rules.ledger(docs, *COLUMNS), quality_rules.PIPELINE).filter("kept").select(*COLUMNS)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -86,7 +86,9 @@ RULES = (
 BASE = ("few_words", "repeated_windows")
 #: Version of a policy: the rules it holds.
 POLICIES = {1: BASE, 2: (*BASE, "many_words", "short_words", "long_words", "symbols", "repeated_lines", "capitals", "exclamation")}
-CURRENT = 2
+#: The pipeline drops no document for being long.
+POLICIES[3] = tuple(n for n in POLICIES[2] if n != "many_words")
+CURRENT, PIPELINE = 2, 3
 
 
 def mask(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:

@@ -34,3 +34,10 @@ def test_odd_rows(spark, odd, none):
 
 def test_run(spark):
     assert C.run(spark, DIR).count() > 100
+
+
+def test_long_clean_documents_stay(spark):
+    text = "\n".join(" ".join(f"word{i}x{j}" for j in range(10)) for i in range(10_001))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(text.split()) > 100_000
+    assert [r.text for r in C.good(spark, docs, DIR).collect()] == [text]
