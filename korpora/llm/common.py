@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A-Z only; other letters keep their case.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Sorts after every id.
+LAST = np.iinfo(np.int64).max
 #: Bytes of text that are worked on at a time.
 CHUNK_BYTES = 4 << 20
 
@@ -30,6 +33,11 @@ def remainder(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def text_hash() -> Column:
+    """64 bits of the text, to tell apart rows that share an id."""
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
 def raw(documents: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text as bytes and the named columns; others, clashing names included, are left behind."""
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *columns)
@@ -50,8 +58,12 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/korpora-shared"
+    """The folder that the cluster names; a local one only where all of Spark is one process, as in tests."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: the executors need a folder that all of them share")
+    return f"{tempfile.gettempdir()}/korpora-shared"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -69,6 +81,25 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Keep:
+    """``stored`` that remembers its tables, so that they can go together once nothing reads them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return self.own(stored(df, name))
+
+    def own(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def drop(self) -> None:
+        for table in self.tables:
+            dropped(table)
+        self.tables.clear()
+
+
 def buckets(spark: SparkSession) -> int:
     """Buckets of a packed shuffle: they follow the session's partitions, and so the input."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

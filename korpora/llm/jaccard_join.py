@@ -13,8 +13,8 @@ them, their centre, which yields families. Verification is exact, on whole shing
 members against all of the family, in blocks; and families that share a signature, in blocks. A block pair is one matrix product
 over the shingles that both blocks hold, and returns only links that join two classes. So a group of n copies costs n comparisons, never n * n rows. No candidate is capped or dropped.
 
-A null id can't be fetched again: such rows are classed by equal sets only, among themselves and with others. Texts without words have an empty set and stand alone. Rows with
-one id and different texts are judged each by their text.
+A set is fetched again for verification by id and text hash, so null ids and ids with several texts are judged each by their text. Null and empty texts and those without words have an empty set
+and stand alone. Repeated rows are one set and give a row each. An empty table gives no rows. Only doc_id and text are read; other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpora.llm.common import buckets, chunks, mapped, pack, raw, stored, unpack, words
+from korpora.llm.common import LAST, Keep, buckets, chunks, mapped, pack, raw, stored, text_hash, unpack, words
 from korpora.llm.components import components
 
 MIX, MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -41,6 +41,8 @@ BLOCK = 512
 COLUMNS = 1 << 14
 #: A segment of fewer elements on average is too common; one-deletion neighbourhoods take over.
 LEAST_FILL = 3.6
+#: A set with too many empty segments is dealt anew, so many times in all.
+ROUNDS = 8
 #: Ids to fetch texts for: up to so many are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -91,44 +93,69 @@ class Scheme:
 
     def band(self, low: int, high: int) -> Band:
         # linked: shared >= percent / (100 + percent) * (both sizes together)
-        allowed = max(s - 2 * -(-self.percent * s // (100 + self.percent)) for s in (2 * high - 1, 2 * high))
-        fill = low / (allowed + 1)
-        if fill < LEAST_FILL and allowed <= 12:
+        allowed = max(0, *(s - 2 * -(-self.percent * s // (100 + self.percent)) for s in (2 * high - 1, 2 * high)))
+        if low / (allowed + 1) < LEAST_FILL and allowed <= 12:
             return Band(low, high, allowed, (allowed + 2) // 2, True)
-        return Band(low, high, allowed, allowed + 1 + -(-(allowed + 1) // 8), False)
+        m = allowed + 1 + -(-(allowed + 1) // 8)
+        while m < 4 * allowed and m - allowed < 2 * m * np.exp(-low / m):  # room for the empty segments
+            m += 1
+        return Band(low, high, allowed, m, False)
 
 
 def signatures(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of many sets at once: (signature, set, probing, how many a linked set shares in this band at least). tokens: all elements; owner: the set of each."""
+    """Signatures of many sets at once: (signature, set, probing, how many a linked set shares in this band at least). tokens: all elements; owner: the set of each.
+
+    Bands without an allowed difference have none. Empty segments have none either, as all sets would share them: of the segments that two linked sets
+    have in common (m - H; of those with a difference at most, m - H // 2) only as many can be empty (small) as the set with fewer of them has. A set that has
+    enough of them to hide a link is weak: it is dealt anew, with another salt, where it meets the sets that were weak with it. What is weak in all ``ROUNDS`` deals keeps its empty ones.
+    """
     out = []
     own = np.searchsorted(scheme.starts, sizes, side="right") - 1
     segments = np.array([b.segments for b in scheme.bands], np.int64)
     deletions = np.array([b.deletions for b in scheme.bands])
     allowed = np.array([b.allowed for b in scheme.bands], np.int64)
-    least = np.where(deletions, 1, segments - allowed)
+    common = np.where(deletions, segments - allowed // 2, segments - allowed)
     for step in (0, 1):
-        band = own + step
-        m = segments[band]
-        first = np.concatenate([[0], np.cumsum(m)])
-        salt = mixed(band.astype(np.uint64) + np.uint64(1))
-        x = mixed(tokens ^ salt[owner])
-        seg = first[:-1][owner] + (x % m[owner].astype(np.uint64)).astype(np.int64)
-        add = mixed(x + MUL)
-        total = np.zeros(first[-1], np.uint64)
-        np.add.at(total, seg, add)
-        holder = np.repeat(np.arange(len(m)), m)
-        place = (np.arange(first[-1]) - first[:-1][holder]).astype(np.uint64)
-        label = salt[holder] + place * MIX
-        probing = np.full(first[-1], step == 0)
-        out.append((mixed(total ^ label), holder, probing, least[band][holder]))
-        gone = np.flatnonzero(deletions[band][owner])
-        if len(gone):
-            out.append((mixed((total[seg[gone]] - add[gone]) ^ label[seg[gone]]), owner[gone], np.full(len(gone), step == 0), np.ones(len(gone), np.int64)))
+        sets = np.flatnonzero(allowed[own + step] > 0)
+        for deal in range(ROUNDS):
+            if not len(sets):
+                break
+            number = np.full(len(sizes), -1)
+            number[sets] = np.arange(len(sets))
+            own_tokens = number[owner] >= 0
+            t, holder = tokens[own_tokens], number[owner[own_tokens]]
+            band = own[sets] + step
+            m = segments[band]
+            first = np.concatenate([[0], np.cumsum(m)])
+            salt = mixed(band.astype(np.uint64) + np.uint64(1 + (deal << 32)))
+            x = mixed(t ^ salt[holder])
+            seg = first[:-1][holder] + (x % m[holder].astype(np.uint64)).astype(np.int64)
+            add = mixed(x + MUL)
+            total = np.zeros(first[-1], np.uint64)
+            np.add.at(total, seg, add)
+            count = np.bincount(seg, minlength=first[-1])
+            place = np.arange(first[-1]) - np.repeat(first[:-1], m)
+            by = np.repeat(np.arange(len(m)), m)
+            label = salt[by] + place.astype(np.uint64) * MIX
+            poor = np.add.reduceat(count <= deletions[band][by], first[:-1], dtype=np.int64)
+            weak = poor >= common[band]
+            least = np.where(weak | deletions[band], 1, common[band] - poor)
+            every = weak & (deal == ROUNDS - 1)
+            some = np.flatnonzero((count > 0) | every[by])
+            out.append((mixed(total[some] ^ label[some]), sets[by[some]], np.full(len(some), step == 0), least[by[some]]))
+            gone = np.flatnonzero(deletions[band][holder] & ((count[seg] > 1) | every[holder]))
+            if len(gone):
+                out.append((mixed((total[seg[gone]] - add[gone]) ^ label[seg[gone]]), sets[holder[gone]], np.full(len(gone), step == 0), np.ones(len(gone), np.int64)))
+            sets = sets[weak]
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ROW = "bucket int, deal long, blob binary, doc_id long, node long, n long, h1 long, h2 long"
-EMPTY = dict.fromkeys(("bucket", "deal", "blob", "doc_id", "node", "n", "h1", "h2"))
+#: What is known of a document: its id, its text's hash, its set's number (equal sets of a batch have one), size and 128-bit hash.
+NAMES = ("doc_id", "own", "node", "n", "h1", "h2")
+ROW = f"bucket int, deal long, blob binary, {', '.join(f'{c} long' for c in NAMES)}"
+EMPTY = dict.fromkeys(("bucket", "deal", "blob", *NAMES))
 
 
 def columns(count: int, **given) -> dict:
@@ -150,7 +177,7 @@ def indexed(documents: DataFrame, k: int, percent: int, n_buckets: int) -> DataF
             batch += 1
             node_of: dict[tuple[int, int], int] = {}
             sets, rows = [], []
-            for i, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+            for i, (doc, own, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "own", "text")), strict=True)):
                 s = shingles(text, k)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 h1, h2 = (int(x) for x in np.array([h & (1 << 64) - 1, h >> 64], np.uint64).view(np.int64))
@@ -158,13 +185,15 @@ def indexed(documents: DataFrame, k: int, percent: int, n_buckets: int) -> DataF
                 if len(s) and key not in node_of:
                     node_of[key] = base + i
                     sets.append((base + i, s))
-                rows.append((doc, node_of.get(key, base + i), len(s), h1, h2))
-            doc, node, n, h1, h2 = (list(x) for x in zip(*rows, strict=True))
-            yield columns(len(rows), bucket=[-1] * len(rows), deal=node, doc_id=doc, node=node, n=n, h1=h1, h2=h2)
+                rows.append((doc, own, node_of.get(key, base + i), len(s), h1, h2))
+            known = dict(zip(NAMES, map(list, zip(*rows, strict=True)), strict=True))
+            yield columns(len(rows), bucket=[-1] * len(rows), deal=known["node"], **known)
             if not sets:
                 continue
             sizes = np.array([len(s) for _, s in sets], np.int64)
             sig, holder, probing, least = signatures(np.concatenate([s for _, s in sets]), np.repeat(np.arange(len(sets)), sizes), sizes, Scheme(percent, int(sizes.max())))
+            if not len(sig):
+                continue
             nodes = np.array([x for x, _ in sets], np.int64)[holder]
             place = (sig % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((nodes, place))
@@ -176,17 +205,16 @@ def indexed(documents: DataFrame, k: int, percent: int, n_buckets: int) -> DataF
             blobs = [pack(cut[a:z], np.array([base], np.int64), (nodes[a:z] - base).astype(np.int32), flags[a:z]) for a, z in zip(at.tolist(), ends, strict=True)]
             yield columns(len(own), bucket=own.tolist(), deal=own.tolist(), blob=blobs)
 
-    return mapped(raw(documents), work, ROW)
+    return mapped(raw(documents, text_hash().alias("own")), work, ROW)
 
 
-FOUND = "doc_id long, node long, n long, h1 long, h2 long, signature long, least int"
+FOUND = f"{', '.join(f'{c} long' for c in NAMES)}, signature long, least int"
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """Documents pass through; of the signatures, those that two nodes or more share, one of them probing."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = ("doc_id", "node", "n", "h1", "h2")
         none = lambda n: [None] * n
 
         def streamed():
@@ -201,7 +229,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         for bucket, group in groupby(streamed(), key=lambda r: r[0]):
             if bucket < 0:
                 for _, b in group:
-                    yield {c: b.column(c) for c in names} | {"signature": none(len(b)), "least": none(len(b))}
+                    yield {c: b.column(c) for c in NAMES} | {"signature": none(len(b)), "least": none(len(b))}
                 continue
             parts = [unpack(blob, np.uint8, np.int64, np.int32, np.uint32) for _, blob in group]
             # 40 bits within a bucket: sets that meet by chance are told apart in verification
@@ -220,7 +248,7 @@ def grouped(rows: DataFrame) -> DataFrame:
             sig, node, least = sig[keep], node[keep], (flags[keep] >> 1).astype(np.int32)
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])[: len(sig)]
             n = int(new.sum())
-            yield {"node": node[new], "signature": signed(sig[new]), "least": least[new]} | {c: none(n) for c in ("doc_id", "n", "h1", "h2")}
+            yield {"node": node[new], "signature": signed(sig[new]), "least": least[new]} | {c: none(n) for c in NAMES if c != "node"}
 
     return mapped(rows.repartition("deal").sortWithinPartitions("bucket"), work, FOUND)
 
@@ -288,48 +316,57 @@ def compared(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.groupBy("task").applyInPandas(work, "a long, b long")
 
 
-def mixed_signatures(joined: DataFrame) -> DataFrame:
-    """Signatures (signature, f) that nodes of several families have, with the least family."""
-    return joined.groupBy("signature").agg(F.min("family").alias("_f"), F.max("family").alias("_g")).filter("_f <> _g").select("signature", "_f")
-
-
-def likely(groups: DataFrame) -> DataFrame:
+def likely(groups: DataFrame, keep: Keep) -> DataFrame:
     """(signature, node, least, centre) of nodes that share as many signatures as a link needs at least, the least such node of a signature as its centre.
 
     In a band of m segments linked sets have m - H in common, so a set that shares fewer with all others together has no link there.
     """
     enough = groups.groupBy("node", "least").agg(F.count("*").alias("n")).filter("n >= least").select("node", "least")
-    left = stored(groups.join(enough, ["node", "least"]), "join-likely")
+    left = keep(groups.join(enough, ["node", "least"]), "join-likely")
     centres = left.groupBy("signature").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).filter("centre <> _last").select("signature", "centre")
-    left = stored(left.join(centres, "signature"), "join-shared")
+    left = keep(left.join(centres, "signature"), "join-shared")
     enough = left.groupBy("node", "least").agg(F.count("*").alias("n")).filter("n >= least").select("node", "least")
-    return stored(left.join(enough, ["node", "least"]), "join-groups")
+    return keep(left.join(enough, ["node", "least"]), "join-groups")
+
 
+def meeting(joined: DataFrame, keep: Keep) -> DataFrame:
+    """(node, f, g): nodes that share with the nodes of another family as many signatures as a link needs; f < g, one of them the node's.
 
-def candidates(documents: DataFrame, found: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    Families are compared first: a pair of them stays if each has, under some ``least``, so many signatures that the other has too. Only for such pairs
+    the nodes are asked.
+    """
+    held = joined.groupBy("signature").agg(F.min("family").alias("_f"), F.max("family").alias("_g")).filter("_f <> _g").select("signature")
+    across = keep(joined.join(held, "signature").select("signature", "node", "least", "family"), "join-across")
+    has = across.select("signature", "family", "least").distinct()
+    other = across.select("signature", F.col("family").alias("other")).distinct()
+    met = has.join(other, "signature").filter("family <> other").groupBy("family", "other", "least").agg(F.count("*").alias("n")).filter("n >= least")
+    ways = met.select(F.least("family", "other").alias("f"), F.greatest("family", "other").alias("g"), (F.col("family") < F.col("other")).alias("up")).distinct()
+    pairs = keep(ways.groupBy("f", "g").agg(F.count("*").alias("n")).filter("n = 2").select("f", "g"), "join-pairs")
+    both = pairs.select(F.col("f").alias("family"), F.col("g").alias("other")).unionAll(pairs.select(F.col("g").alias("family"), F.col("f").alias("other")))
+    asked = other.withColumnRenamed("other", "family").join(both, "family").join(other, ["signature", "other"])
+    nodes = across.join(asked, ["signature", "family"]).groupBy("node", "least", "family", "other").agg(F.count("*").alias("n")).filter("n >= least")
+    return nodes.select("node", F.least("family", "other").alias("f"), F.greatest("family", "other").alias("g")).distinct()
+
+
+def candidates(documents: DataFrame, found: DataFrame, k: int, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Families (node, family, block, blocks) of the nodes that share a signature; (node, f, g): families that share one, with the nodes in question; and the nodes'
     sets (node, family, block, led, elements), led: blocks of the family whose centre the node is."""
-    groups = likely(found.filter("signature IS NOT NULL").select("signature", "node", "least"))
+    groups = likely(found.filter("signature IS NOT NULL").select("signature", "node", "least"), keep)
     # the centre with which a node shares most signatures: chance meets once or twice, near copies many times
     met = groups.groupBy("node", "centre").agg(F.count("*").alias("n"))
     family = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select("node", (-F.col("m.c")).alias("family"))
-    family = stored(family, "join-nearest")
+    family = keep(family, "join-nearest")
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    family = stored(family.join(sizes, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-families")
-    joined = groups.join(family.select("node", "family"), "node")
-    across = joined.join(mixed_signatures(joined), "signature")
-    # signatures with the same families share one list of pairs
-    lists = across.groupBy("signature").agg(F.array_sort(F.collect_set("family")).alias("families")).withColumn("list", F.xxhash64("families"))
-    pairs = lists.select("list", "families").distinct().select("list", F.explode(F.expr("flatten(transform(families, (x, i) -> transform(slice(families, i + 2, size(families)), y -> struct(x AS f, y AS g))))")).alias("p")).select("list", "p.f", "p.g")
-    meetings = across.join(lists.select("signature", "list"), "signature").join(pairs, "list").filter("family = f OR family = g").groupBy("node", "least", "f", "g").agg(F.count("*").alias("n"))
-    crossing = meetings.filter("n >= least").select("node", "f", "g").distinct()
-    rows = found.filter("signature IS NULL AND n > 0 AND doc_id IS NOT NULL")
-    one = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("h1").alias("h1"))
+    family = keep(family.join(sizes, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-families")
+    crossing = meeting(groups.join(family.select("node", "family"), "node"), keep)
+    # one row that holds the set: by id and text, as ids may be null or repeated
+    rows = found.filter("signature IS NULL AND n > 0").select("node", "h1", F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("_id"), F.col("own").alias("_own")).alias("row"))
+    one = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("h1").alias("h1")).select("node", "h1", "row.*")
     led = family.groupBy(F.col("family").alias("node")).agg(F.first("blocks").alias("led"))
-    wanted = stored(one.join(family, "node").join(led, "node", "left"), "join-wanted")
-    texts = raw(documents).filter("doc_id IS NOT NULL")
+    wanted = keep(one.join(family, "node").join(led, "node", "left"), "join-wanted")
+    texts = raw(documents, text_hash().alias("_own")).withColumn("_id", F.coalesce("doc_id", F.lit(int(LAST)))).drop("doc_id")
     few = wanted.count() <= BROADCAST_IDS
-    fetched = texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    fetched = texts.join(F.broadcast(wanted) if few else wanted, ["_id", "_own"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in chunks(batches):
@@ -340,23 +377,23 @@ def candidates(documents: DataFrame, found: DataFrame, k: int) -> tuple[DataFram
             yield {c: part.column(c) for c in ("node", "family", "block", "led")} | {"elements": [sets[i].tobytes() for i in own]}
 
     sets = mapped(fetched, work, "node long, family long, block int, led int, elements binary")
-    return family, stored(crossing, "join-crossing"), stored(sets, "join-sets")
+    return family, keep(crossing, "join-crossing"), keep(sets, "join-sets")
 
 
 def task(kind: str, *columns: str) -> Column:
     return F.xxhash64(F.lit(kind), *columns)
 
 
-def links(documents: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+def links(documents: DataFrame, found: DataFrame, k: int, percent: int, keep: Keep) -> DataFrame:
     """(a, b): enough links between nodes to give every component. Tasks are laid out on node numbers; the sets join them last."""
-    family, crossing, sets = candidates(documents, found, k)
+    family, crossing, sets = candidates(documents, found, k, keep)
     member = F.array(F.struct(task("star", "family", "block").alias("task"), F.lit(1).alias("side")))
     centre = F.transform(F.sequence(F.lit(0), F.col("led") - 1), lambda b: F.struct(F.xxhash64(F.lit("star"), F.col("node"), b.cast("int")).alias("task"), F.lit(0).alias("side")))
     first = sets.select("node", F.col("node").alias("class"), "elements", F.explode(F.when(F.col("led").isNull(), member).otherwise(F.concat(member, centre))).alias("t"))
-    star = stored(compared(first.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"), "join-stars")
+    star = keep(compared(first.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"), "join-stars")
     # what failed against the centre meets the whole family
     joined = family.join(star.select(F.col("b").alias("node"), F.col("a").alias("class")).distinct(), "node", "left")
-    state = stored(joined.select("node", "family", "block", "blocks", F.coalesce("class", "node").alias("class"), (F.col("class").isNull() & (F.col("node") != F.col("family"))).alias("failed")), "join-states")
+    state = keep(joined.select("node", "family", "block", "blocks", F.coalesce("class", "node").alias("class"), (F.col("class").isNull() & (F.col("node") != F.col("family"))).alias("failed")), "join-states")
     lefts = state.filter("failed").select("family", F.col("block").alias("left_block")).distinct()
     left = state.filter("failed").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "class", task("family", "family", "block", "other").alias("task"), F.lit(0).alias("side"))
     right = state.join(lefts, "family").select("node", "class", task("family", "family", "left_block", "block").alias("task"), F.lit(1).alias("side"))
@@ -365,24 +402,29 @@ def links(documents: DataFrame, found: DataFrame, k: int, percent: int) -> DataF
     ends = [F.when(F.col("side") == s, F.col("block")).otherwise(F.col("other")) for s in (0, 1)]
     cross = sides.join(opposite, ["f", "g", "side"]).select("node", "class", F.xxhash64(F.lit("cross"), "f", "g", *ends).alias("task"), "side")
     tasks = left.unionAll(right).unionAll(cross).groupBy("node", "class").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
-    tasks = stored(tasks, "join-tasks")
+    tasks = keep(tasks, "join-tasks")
     few = tasks.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).head()[0] <= 2 * BROADCAST_IDS
     rows = sets.select("node", "elements").join(F.broadcast(tasks) if few else tasks, "node").select("node", "class", "elements", F.explode("tasks").alias("t"))
     return star.unionAll(compared(rows.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"))
 
 
 def classes(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    found = stored(grouped(indexed(documents, k, percent, buckets(documents.sparkSession))), "join-signatures")
-    rows = found.filter("signature IS NULL").select("doc_id", "node", "n", "h1", "h2")
+    """doc_id, n_shingles, component_id of every document, own (its text's hash), and first: of its class no row has a smaller id and text hash."""
+    keep = Keep()
+    found = keep(grouped(indexed(documents, k, percent, buckets(documents.sparkSession))), "join-signatures")
+    rows = found.filter("signature IS NULL").select(*NAMES)
     full = rows.filter("n > 0")
     same = full.groupBy("h1", "h2").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high")
     equal = full.join(same, ["h1", "h2"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     # stored, since the links that a task returns depend on the order of its rows and are read more than once
-    labels = components(stored(links(documents, found, k, percent).unionAll(equal), "join-links"))
-    labelled = stored(rows.join(labels.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")), "join-labels")
-    least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    labels = keep.own(components(keep(links(documents, found, k, percent, keep).unionAll(equal), "join-links")))
+    label = F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")
+    labelled = stored(rows.join(labels.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("doc_id", "own", "n", label), "join-labels")
+    keep.drop()
+    place = F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("id"), "own")
+    least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(place).alias("_first"))
+    first = F.coalesce(place == F.col("_first"), F.lit(True))
+    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "own", first.alias("first"))
 
 
 SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

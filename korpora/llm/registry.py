@@ -24,7 +24,7 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_join.classes(_table(spark, d, "documents"))
+    return jaccard_join.classes(_table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:

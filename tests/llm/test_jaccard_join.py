@@ -38,7 +38,7 @@ def brute(rows, k, percent):
 
 
 def got(df, k, percent):
-    return sorted(str(tuple(r)) for r in J.classes(df, k, percent).collect())
+    return sorted(str(tuple(r)) for r in J.classes(df, k, percent).drop("own", "first").collect())
 
 
 def test_documents(docs, odd, none):
@@ -90,3 +90,21 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 50), (60, 100), (60, 70), (7, 7)]
     out = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {(i, 0) for i in range(1, 31)} | {(60, 50), (70, 50), (100, 50)}
+
+
+def test_null_and_repeated_ids_are_linked_by_their_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda n: " ".join([*base[:-1], f"x{n}"])
+    rows = [(None, near(0)), (None, near(1)), (7, near(2)), (7, "another text of its own"), (7, near(3)), (3, " ".join(base)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, 4, 85) == brute(rows, 4, 85)
+    first = [r for r in J.classes(df).collect() if r["first"]]
+    assert sorted(str((r.doc_id, r.component_id)) for r in first) == ["(3, 3)", "(7, 7)", "(None, None)"]
+
+
+def test_short_texts_share_no_signature(spark):
+    """Sets of few shingles are linked to equal ones only, and empty segments are no signatures: unrelated stubs don't meet."""
+    stubs = spark.range(20_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 1 + id % 14), i -> concat('w', id * 14 + i))) AS text")
+    for k, percent in ((4, 85), (5, 80)):
+        signatures = J.grouped(J.indexed(stubs, k, percent, 16)).filter("signature IS NOT NULL")
+        assert signatures.groupBy("signature").count().agg({"count": "max"}).head()[0] is None
