@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpora.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
-from korpora.llm.common import stored
+from korpora.llm.common import LAST, stored, text_hash
 
 
 #: The columns of documents; a table's other columns are left behind by the first stage.
@@ -22,21 +22,19 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(docs, *COLUMNS), quality_rules.PIPELINE).filter("kept").select(*COLUMNS)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Anti-join; ids are broadcast only if they are few enough."""
-    few = ids.count() <= jaccard_join.BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id; of rows that repeat an id and a text, one. Rows without id stay."""
-    rows = jaccard_join.classes(docs, k=5, percent=80)
-    gone = stored(rows.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    kept = without(docs, gone)
-    again = stored(docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "pipeline-repeated")
+    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id (and text hash, should an id have several texts); of rows that repeat an id and a text, one."""
+    rows = stored(jaccard_join.classes(docs, k=5, percent=80), "pipeline-classes")
+    place = [F.coalesce("doc_id", F.lit(int(LAST))).alias("_id"), "own"]
+    repeated = rows.filter("first").groupBy(*place).agg(F.count("*").alias("_n")).filter("_n > 1")
+    again = stored(repeated.select("_id", "own"), "pipeline-repeated")
+    gone = stored(rows.filter("NOT first").select(*place).distinct().unionAll(again), "pipeline-copies")
+    few = gone.count() <= jaccard_join.BROADCAST_IDS
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(int(LAST))), "own": text_hash()})
+    kept = keyed.join(F.broadcast(gone) if few else gone, ["_id", "own"], "left_anti").select(*COLUMNS)
     if again.isEmpty():
         return kept
-    return without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(keyed.join(again, ["_id", "own"], "left_semi").dropDuplicates(["_id", "own"]).select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
