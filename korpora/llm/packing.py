@@ -13,6 +13,7 @@ nothing it does reaches across it; words are encoded once a worker, as long as i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +30,10 @@ from korpora.llm.token_counts import tokenizer
 #: Stands between words that are encoded together; as a word it is one token.
 BETWEEN = "\x01"
 REMEMBERED = 400_000
-#: Letters below are their own composed forms.
-LATIN_END = chr(0x250)
+#: Words that are encoded in one call.
+GROUP = 1024
+#: Small Latin letters: below U+0250 they are their own composed forms.
+SMALL = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()) + "]+")
 _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: How byte-level vocabularies write bytes as letters: printable ones as they are, the others from 256 on.
 BYTE_LETTERS = {b: chr(b) for b in _plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _plain)}
@@ -67,7 +70,7 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
         todo, ended = set(), []
-        for w in new - self.known.keys():
+        for w in new.difference(self.known):  # asks for each new word; "-" would walk all known ones
             if w in self.before:
                 self.known[w] = self.before[w]
             elif w[-1] in self.stops and w[-2:-1].isalpha():
@@ -82,9 +85,9 @@ class WordEncoder:
 
     def encode_new(self, new: list[bytes]) -> None:
         """Small Latin letters go straight to the merges, as the tokenizer's other steps leave them alone; a word's last token is marked as such."""
-        texts = [w.decode("utf-8", "replace") for w in new]
-        easy = [i for i, t in enumerate(texts) if t.isalpha() and t == t.lower() and max(t) < LATIN_END]
-        groups = [easy[a : a + 256] for a in range(0, len(easy), 256)]
+        texts = b"\n".join(new).decode("utf-8", "replace").split("\n") if new else []
+        easy = [i for i, t in enumerate(texts) if SMALL.fullmatch(t)]
+        groups = [easy[a : a + GROUP] for a in range(0, len(easy), GROUP)]
         joined = [" ".join([texts[i] if texts[i].isascii() else new[i].decode("latin-1").translate(BYTE_LETTERS) for i in g]) for g in groups]
         for g, e in zip(groups, self.letters.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -98,7 +101,7 @@ class WordEncoder:
 
     def encode_rest(self, new: list[bytes], texts: list[str]) -> None:
         plain = [i for i, t in enumerate(texts) if BETWEEN not in t and "<|" not in t]
-        groups = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+        groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
         joined = [f" {BETWEEN} ".join([texts[i] for i in g]) for g in groups]
         for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -129,7 +132,7 @@ def pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0) -> D
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder = encoder_of(path)
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in chunks(batches, 1 << 20):
+        for b in chunks(batches):
             texts = [encoder.words(t) for t in b.column("text").to_pylist()]
             encoder.learn(set().union(*texts))
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank")}
