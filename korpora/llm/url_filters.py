@@ -5,9 +5,9 @@ FP-growth mines the frequent token combinations; rules whose consequent is the b
 and support. An inverted index from token to rules, dealt into hash buckets, finds the rules of a url: a rule matches
 when as many of the url's tokens point to it as it has tokens. Explicit (host, path) rules come before the mined ones.
 
-Urls are matched by all their tokens. The mined rules are collected: a basket that is mined holds at most ``MAX_TOKENS`` tokens, so at most MAX_TOKENS / min_support tokens are frequent,
-whatever the number of pages. Null urls and urls without ``://`` have empty host and path and no tokens; they are allowed. Without labels
-no rule is mined. Repeated rows give a row each; only page_id and url are read.
+Urls are mined and matched by all their tokens. The mined rules are collected: a frequent token stands in min_support of the baskets, so there are at most as many as an average basket has tokens, over
+min_support, whatever the number of pages. Null urls and urls without ``://`` have empty host and path and no tokens; they are allowed. Without labels of the
+blocked class no rule is mined. Repeated rows count and give a row each, an empty table none; only page_id and url are read, other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_TOKENS = 64
 BLOCKED = "class=block"
 BUCKETS = 256
 
@@ -66,15 +65,22 @@ def tokens() -> Column:
     return F.array_distinct(found)
 
 
-def mined(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.5, max_tokens: int = 3) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the rules for the blocked class (quality 0), most confident first."""
+def mined(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_count: int = 3, min_lift: float = 2.0, max_tokens: int = 3) -> list[tuple[list[str], float, float]]:
+    """(tokens, confidence, support) of the rules of at most ``max_tokens`` tokens for the blocked class (quality 0), most confident first.
+
+    Confidence is judged against the share of blocked urls among the labelled ones: ``min_lift`` times it or, where that is much, half way from it to 1.
+    """
     low = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("low"))
-    basket = F.slice(tokens(), 1, MAX_TOKENS)
-    baskets = parsed(pages.select("page_id", "url")).filter("_rest <> ''").join(low, "page_id").select(F.when(F.col("low"), F.array_append(basket, F.lit(BLOCKED))).otherwise(basket).alias("items"))
-    n = baskets.count()
-    if not n:
+    baskets = parsed(pages.select("page_id", "url")).filter("_rest <> ''").join(low, "page_id").select("low", F.when(F.col("low"), F.array_append(tokens(), F.lit(BLOCKED))).otherwise(tokens()).alias("items"))
+    n, blocked = baskets.agg(F.count("*"), F.count_if("low")).head()
+    if not blocked:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, min_count / n))
+    often = baskets.filter("low").select(F.explode("items").alias("t")).groupBy("t").count().filter(F.col("count") >= support * n * (1 - 1e-9))
+    frequent = [r.t for r in often.collect()]  # a rule's tokens each stand in so many blocked urls: nothing else can be in one
+    baskets = baskets.select(F.filter("items", lambda t: t.isin(frequent)).alias("items"))
+    least = min(min_lift * blocked / n, (1 + blocked / n) / 2) * (1 - 1e-9)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least).fit(baskets)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.size("antecedent") <= max_tokens))
     found = [(sorted(r.antecedent), r.confidence, r.support) for r in rules.select("antecedent", "confidence", "support").collect()]
     return sorted(found, key=lambda r: (-r[1], -r[2], r[0]))
@@ -116,11 +122,11 @@ t AS (SELECT rid, page_id, list_distinct(
   || CASE WHEN rest <> '' THEN ['s:' || string_split(url, '://')[1]] ELSE [] END) AS ts FROM p),
 low AS (SELECT doc_id AS page_id, min(quality) = 0 AS low FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT t.rid, low, ts FROM t JOIN low USING (page_id) WHERE len(ts) > 0),
-n AS (SELECT ceil(greatest(0.002, 5 / greatest(count(*), 1)) * count(*) - 1e-9) AS least FROM lab),
+n AS (SELECT ceil(greatest(0.002, 3 / greatest(count(*), 1)) * count(*) - 1e-9) AS least, count(*) AS n, count(*) FILTER (low) AS lows FROM lab),
 one AS (SELECT rid, unnest(ts) AS a FROM t), lone AS (SELECT rid, low, unnest(ts) AS a FROM lab),
 sets AS (SELECT rid, low, [a] AS s FROM lone UNION ALL SELECT x.rid, x.low, [x.a, y.a] FROM lone x JOIN lone y ON x.rid = y.rid AND x.a < y.a
   UNION ALL SELECT x.rid, x.low, [x.a, y.a, z.a] FROM lone x JOIN lone y ON x.rid = y.rid AND x.a < y.a JOIN lone z ON x.rid = z.rid AND y.a < z.a),
-rules AS (SELECT s FROM sets GROUP BY s HAVING count(*) FILTER (low) >= (SELECT least FROM n) AND count(*) FILTER (low) >= 0.5 * count(*)),
+rules AS (SELECT s FROM sets, n GROUP BY s, least, n, lows HAVING count(*) FILTER (low) >= least AND 2 * n * count(*) FILTER (low) >= least(4 * lows, n + lows) * count(*)),
 r AS (SELECT row_number() OVER () AS k, s FROM rules), ri AS (SELECT k, len(s) AS m, unnest(s) AS a FROM r),
 hit AS (SELECT DISTINCT rid FROM (SELECT rid, k FROM one JOIN ri USING (a) GROUP BY rid, k, m HAVING count(*) = m)),
 j AS (SELECT p.*, hit.rid IS NOT NULL AS mined, CASE
