@@ -414,7 +414,8 @@ def classes(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     found = keep(grouped(indexed(documents, k, percent, buckets(documents.sparkSession))), "join-signatures")
     rows = found.filter("signature IS NULL").select(*NAMES)
     full = rows.filter("n > 0")
-    same = full.groupBy("h1", "h2").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high")
+    # stored, so that both sides of the join come from exchanges that Spark can split where a set or class is hot
+    same = keep(full.groupBy("h1", "h2").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high"), "join-same")
     equal = full.join(same, ["h1", "h2"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     # stored, since the links that a task returns depend on the order of its rows and are read more than once
     labels = keep.own(components(keep(links(documents, found, k, percent, keep).unionAll(equal), "join-links")))
@@ -422,7 +423,7 @@ def classes(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     labelled = stored(rows.join(labels.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("doc_id", "own", "n", label), "join-labels")
     keep.drop()
     place = F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("id"), "own")
-    least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(place).alias("_first"))
+    least = stored(labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(place).alias("_first")), "join-least")
     first = F.coalesce(place == F.col("_first"), F.lit(True))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "own", first.alias("first"))
 

@@ -4,11 +4,12 @@ The kernel is the blended-spectrum presence kernel: of two texts, the number of
 code points, lower case) that both hold, over the square root of the product of their numbers. Grams are hashed to ``DIMS`` places. Nyström: the kernel is
 restricted to a set of landmark texts, K(x, L) K(L, L)^-1/2, and one-versus-rest kernel ridge regression (targets 1 and -1) is solved on these features. For
 scoring, the landmark block and the regression weights are multiplied together once: f(x) = presence(x) (P_L A) / |x|, so
-a batch of texts is scored by one sparse matrix product, whose size follows neither the landmarks nor the corpus.
+``BATCH`` texts at a time are scored by one matrix product of their presence rows and these weights, whose size follows neither the landmarks nor the corpus.
 
 Fitting takes at most ``per_language`` texts of each language (by hash order of the id, of at most ``longest`` bytes), a documented bound. Prediction reads
 whole texts. A text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing to learn
-from. Null ids get a prediction and held_out false and are not learned from. Repeated rows give a row each.
+from. Null ids get a prediction and held_out false and are not learned from. Repeated rows give a row each, an empty table none. Only doc_id, text and, for learning, lang are read;
+other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from korpora.llm.common import chunks, mapped, raw, remainder
 
 MAX_N = 3
+#: Texts of a matrix product.
+BATCH = 64
 DIMS = 1 << 15
 UNKNOWN = "und"
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -42,26 +45,29 @@ def presence(text: str) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
+def presence_rows(points: list[np.ndarray]) -> np.ndarray:
+    """A matrix with a row for each text: 1 over the root of the number of its n-grams at their places, else 0."""
+    out = np.zeros((len(points), DIMS), np.float32)
+    for row, p in zip(out, points, strict=True):
+        row[p] = 1 / max(len(p), 1) ** 0.5
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
     weights: np.ndarray  # DIMS x languages
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """One row of regression values for each text: presence rows times the weights."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for i, t in enumerate(texts):
-            p = presence(t)
-            out[i] = self.weights[p].sum(0) / max(len(p), 1) ** 0.5
-        return out
+        """One row of regression values for each text: presence rows times the weights, a batch at a time."""
+        parts = [presence_rows([presence(t) for t in texts[a : a + BATCH]]) @ self.weights for a in range(0, len(texts), BATCH)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
 
 def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Normalised presence kernel of two lists of texts, as a product of presence matrices."""
-    dense = np.zeros((len(b), DIMS), np.float32)
-    for i, p in enumerate(b):
-        dense[i, p] = 1 / max(len(p), 1) ** 0.5
-    return np.array([dense[:, p].sum(1) / max(len(p), 1) ** 0.5 for p in a], np.float64).reshape(len(a), len(b))
+    """Normalised presence kernel of two lists of texts, as products of presence matrices."""
+    right = presence_rows(b).T
+    return np.concatenate([presence_rows(a[i : i + BATCH]) @ right for i in range(0, len(a), BATCH)]).astype(np.float64)
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 160, ridge: float = 0.05) -> Model:
@@ -87,12 +93,12 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def learned(documents: DataFrame, per_language: int = 300, longest: int = 20_000) -> Model | None:
-    """The model of the rows that may be learned from; lang is read here only, as the target."""
+def sample(documents: DataFrame, per_language: int = 300, longest: int = 20_000) -> list[tuple[str, str]]:
+    """(text, language) of the rows that are learned from; lang is read here only, as the target."""
     rows = documents.select(F.col("doc_id").cast("long"), "text", "lang").filter(F.col("lang").isNotNull() & (remainder(3) != 1) & (F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return None
+        return []
     order = F.xxhash64("doc_id", F.lit("language"))
     share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_language / n + 20 / n)))]), F.col("lang"))
     near = rows.filter(F.pmod(order, F.lit(1 << 40)) < share * (1 << 40)).withColumn("o", order)
@@ -100,7 +106,12 @@ def learned(documents: DataFrame, per_language: int = 300, longest: int = 20_000
     for r in sorted(near.select("o", "lang", "text").toLocalIterator(), key=lambda r: (r.o, r.text)):
         if len(by.setdefault(r.lang, [])) < per_language:
             by[r.lang].append(r.text)
-    pairs = [(t, k) for k in sorted(by) for t in by[k]]
+    return [(t, k) for k in sorted(by) for t in by[k]]
+
+
+def learned(documents: DataFrame) -> Model | None:
+    """The model of the rows that may be learned from."""
+    pairs = sample(documents)
     return fit([t for t, _ in pairs], [k for _, k in pairs]) if pairs else None
 
 

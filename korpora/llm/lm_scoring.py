@@ -1,17 +1,17 @@
 """Language-model scores from a lattice of subwords.
 
-The vocabulary of pieces is given; their probabilities are counted on the learnable texts (each distinct word is segmented once by the
+The vocabulary of pieces is given; as it has no unigram scores, their probabilities are counted on the learnable texts (each distinct word is segmented once by the
 vocabulary's own library and weighted by its count, add-``SMOOTH``). The probability of a text is the sum over all its segmentations: a
 forward recursion in log space over the lattice of pieces. Pieces never cross white space, so a text's lattice falls into those of its words, and each distinct word of
-the corpus is scored once. A character that no piece holds is spelt in byte pieces. A word that the learnable texts hold has one more edge, the whole word, with its relative frequency less a discount of
-``DISCOUNT`` a word; what the discounts free is the weight of the pieces. The end of a text has its relative frequency. So the probabilities of all texts sum to one.
+the corpus is scored once. A character that no piece holds is spelt in byte pieces. The end of a text is one more piece, counted once a learnable text, so the probabilities of all pieces and
+the end sum to one.
 
 Plan: texts are turned into packed batches once (word numbers by document, and the batch's distinct words dealt into buckets by hash). Each bucket sums
 its words' counts; totals and piece counts are bounded by the vocabulary; each bucket then scores its words and answers every batch
 that asked. A word that fills a third of the corpus is one entry a batch, so no key is hot. All counts cover all learnable texts.
 
 Null text counts as empty: its only token is the end. Null ids are scored, held_out false, and not learned from. Repeated
-rows count and are returned each. Other columns are not read.
+rows count and are returned each. An empty table gives no rows. Only doc_id and text are read; other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from korpora.llm.common import buckets, chunks, mapped, pack, raw, remainder, stored, unpack, words
 
 SMOOTH = 0.1
-DISCOUNT = 0.5
 MARK = "▁"
 LN10 = math.log(10)
 ROWS = "batch long, bucket int, blob binary"
@@ -155,22 +154,15 @@ class Lattice:
         return top + math.log(sum(math.exp(t - top) for t in into[n]))
 
 
-def lattice(path: str, counts: dict[int, int]) -> Lattice:
-    """The lattice of the vocabulary under these piece counts."""
+def lattice(path: str, counts: dict[int, int], ends: int) -> tuple[Lattice, float]:
+    """The lattice of the vocabulary under these piece counts, and the logarithm of the probability of an end after ``ends`` of them."""
     sp = vocabulary(path)
-    size = sp.get_piece_size()
-    whole = sum(c for p, c in counts.items() if p >= 0) + SMOOTH * size
-    log = lambda i: math.log((counts.get(i, 0) + SMOOTH) / whole)
-    plain = {sp.id_to_piece(i): log(i) for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    spelt = {int(sp.id_to_piece(i)[3:5], 16): log(i) for i in range(size) if sp.is_byte(i)}
-    return Lattice(plain, [spelt.get(b, math.log(SMOOTH / whole)) for b in range(256)])
-
-
-def mixed(counts: np.ndarray, lattices: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
-    """log10 probability of words: the whole-word edge and the lattice of pieces together."""
-    with np.errstate(divide="ignore"):
-        own = np.log(np.maximum(counts - DISCOUNT, 0))
-    return (np.logaddexp(own, math.log(DISCOUNT * distinct + SMOOTH) + lattices) - math.log(tokens + 2 * SMOOTH)) / LN10
+    usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
+    whole = sum(counts.get(i, 0) for i in usable) + ends + SMOOTH * (len(usable) + 1)
+    log = lambda n: math.log((n + SMOOTH) / whole)
+    plain = {sp.id_to_piece(i): log(counts.get(i, 0)) for i in usable if not sp.is_byte(i)}
+    spelt = {int(sp.id_to_piece(i)[3:5], 16): log(counts.get(i, 0)) for i in usable if sp.is_byte(i)}
+    return Lattice(plain, [spelt.get(b, math.log(SMOOTH / whole)) for b in range(256)]), log(ends)
 
 
 def scored(documents: DataFrame, path: str, held_out) -> DataFrame:
@@ -185,7 +177,7 @@ def scored(documents: DataFrame, path: str, held_out) -> DataFrame:
     below = math.log10(tokens + 0.5 * (distinct + 1))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        model = lattice(path, total)
+        model, _ = lattice(path, total, ends)
         for bucket, rows in runs(batches, "bucket"):
             number: dict[bytes, int] = {}
             for batch, _, blob in rows:
@@ -193,7 +185,7 @@ def scored(documents: DataFrame, path: str, held_out) -> DataFrame:
                     text, count = unpack(blob, None, np.int64)
                     every = text.split()
                     number = {w: i for i, w in enumerate(every)}
-                    score = mixed(count, np.array([model.word(w.decode("utf-8", "replace")) for w in every]), tokens, known_words)
+                    score = np.array([model.word(w.decode("utf-8", "replace")) for w in every]) / LN10
                     continue
                 text, own, _ = unpack(blob, None, np.int32, np.int64)
                 at = np.fromiter(map(number.__getitem__, text.split()), np.int64, len(own))
@@ -202,7 +194,7 @@ def scored(documents: DataFrame, path: str, held_out) -> DataFrame:
     asked = packed.filter("bucket >= 0").unionAll(counts).repartition("bucket").sortWithinPartitions("bucket", "batch")
     replies = mapped(asked, answers, ROWS).unionAll(packed.filter("bucket < 0")).repartition("batch").sortWithinPartitions("batch", "bucket")
     end_base = math.log10(ends + 0.5) - below
-    end_score = math.log10((ends + SMOOTH) / (tokens + 2 * SMOOTH))
+    end_score = lattice(path, total, ends)[1] / LN10
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for _, rows in runs(batches, "batch"):

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,3 +60,49 @@ def test_shards_find_what_one_index_finds(spark, odd, monkeypatch):
     parts = D.matches(rows, bench, keep=("text", "lang"))
     assert bench.count() > 2 * 15 and parts.columns == whole.columns
     assert sum("contaminated=True" in x for x in want) > 40 and sorted(map(str, parts.collect())) == want
+
+
+def test_items_are_those_of_an_exhaustive_search(spark, odd):
+    """Brute force: BM25 of every passage with every item from plain counts, then the grams of question and answer around it."""
+    d = "/root/testdata/sf0.001"
+    documents, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    table = str.maketrans({c: " " for c in string.punctuation} | {c: c.lower() for c in string.ascii_uppercase})
+    split = lambda t: re.split("[\x09-\x0D ]+", t.translate(table).strip("\x09\x0a\x0b\x0c\x0d ")) if t and t.translate(table).strip("\x09\x0a\x0b\x0c\x0d ") else []
+    items = {r.item_id: r.text for r in bench.collect() if split(r.text)}
+    own = {i: split(t) for i, t in items.items()}
+    mean = sum(map(len, own.values())) / len(own)
+    holding = {w: sum(w in set(x) for x in own.values()) for x in own.values() for w in x}
+    impact = {}
+    for i, w in own.items():
+        raw = {x: math.log(1 + (len(own) - holding[x] + 0.5) / (holding[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
+        impact[i] = {x: v / sum(raw.values()) for x, v in raw.items()}
+    size = max(64, max(map(len, own.values())))
+    half = size // 2
+
+    def parts(t):
+        sentences = [x for x in re.findall(r"[^.!?]+[.!?]*", t.replace("\r", "")) if split(x)]
+        return ["".join(sentences[:-1]), sentences[-1]] if len(sentences) > 1 else [t]
+
+    def holds(text, part):
+        p = split(part)
+        n = min(3, len(p))
+        need = {tuple(p[i : i + n]) for i in range(len(p) - n + 1)}
+        return len(need & {tuple(text[i : i + n]) for i in range(len(text) - n + 1)}) >= 0.7 * len(need)
+
+    want = {}
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    for doc, text in rows:
+        w, hit = split(text), set()
+        for p in range(-1, len(w) // half + 1):
+            a, z = max(0, p * half), min(len(w), p * half + size)
+            terms = set(w[a:z])
+            for i, v in impact.items():
+                if i not in hit and sum(x for t, x in v.items() if t in terms) >= 0.4:
+                    ways = parts(items[i])
+                    room = size + sum(max(1, len(split(x)) - 2) for x in ways)
+                    around = w[max(0, a - room) : z + room]
+                    if all(holds(around, x) for x in ways):
+                        hit.add(i)
+        want[doc] = sorted(hit)
+    got = {r.doc_id: sorted(r["items"]) for r in D.matches(documents, bench).collect()}
+    assert got == want and sum(map(bool, want.values())) >= 3

@@ -1,11 +1,13 @@
 import math
+import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import public_tokenizers
 
 from korpora.llm import lm_scoring as M
-from korpora.llm.common import remainder
+from korpora.llm.common import LOWER, remainder
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -30,8 +32,39 @@ def test_base_columns(spark, docs, odd, none):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
             assert math.isclose(r.base_score, base, rel_tol=1e-9) and -1e9 < r.score < 0
     assert M.scored(none, PATH, remainder(5) == 1).count() == 0
-    held = []
-    assert not held
+
+
+def test_score_is_the_sum_over_all_segmentations(spark, docs):
+    """Brute force over pieces counted anew: every segmentation of every word by plain recursion over its ends."""
+    sp = M.vocabulary(PATH)
+    rows = [(r.doc_id, (r.text or "").encode().translate(LOWER).decode().split(" ")) for r in docs.collect()]
+    rows = [(i, [w for x in ws for w in re.split("[\x09-\x0D]", x) if w]) for i, ws in rows]
+    learn = [ws for i, ws in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    usable = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
+    c = Counter({i: 0.1 for i in usable})
+    for w, n in Counter(w for ws in learn for w in ws).items():
+        for i in sp.encode(w):
+            c[i] += n
+    whole = sum(c[i] for i in usable) + len(learn) + 0.1
+    p = {sp.id_to_piece(i): c[i] / whole for i in usable}
+    assert math.isclose(sum(p.values()) + (len(learn) + 0.1) / whole, 1, rel_tol=1e-9)
+    own = {x: v for x, v in p.items() if not re.fullmatch("<0x..>", x)}
+
+    @lru_cache(None)
+    def word(s):
+        total = 1.0 if not s else 0.0
+        for n in range(1, min(len(s), 40) + 1):
+            if (v := own.get(s[:n])) is not None:
+                total += v * word(s[n:])
+        if s and s[0] not in own:
+            total += math.prod(p[f"<0x{b:02X}>"] for b in s[0].encode()) * word(s[1:])
+        return total
+
+    got = {r.doc_id: r.score for r in M.scored(docs, PATH, remainder(5) == 1).collect()}
+    some = sorted(rows)[::4]
+    for i, ws in some:
+        assert math.isclose(got[i], sum(math.log10(word("▁" + w)) for w in ws) + math.log10((len(learn) + 0.1) / whole), rel_tol=1e-6), i
+    assert len(some) >= 50
 
 
 def test_forward_recursion_sums_all_segmentations():
