@@ -7,10 +7,11 @@ minimiser, where all its windows meet every equal window of the corpus. There th
 
 Equal super-k-mers met by the same task are sent once (the earliest); of the others all windows are repeats already. So a
 passage that fills a third of the corpus costs a row a task, not a row an occurrence. Within a bucket, minimisers seen in one
-super-k-mer only need no sort. Buckets follow the session's shuffle partitions.
+super-k-mer only need no sort. Buckets follow the session's shuffle partitions. A bucket that outgrows ``HELD`` bytes (a very frequent minimiser) is worked off in parts of that size:
+each part settles its own repeats, and of its other windows only fingerprint and place go on, to be sorted by Spark, which spills, and read as a stream.
 
 Order is (doc_id, start). A null id comes after all others. Of rows with the same id, equal starts are not earlier than one another.
-Null and empty texts have no words. Windows are judged on the input only.
+Null and empty texts have no words; an empty table gives no rows; repeated rows give a row each. Windows are judged on the input only. Only doc_id, text and the columns to keep are read.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpora.llm.common import buckets, chunks, mapped, pack, raw, unpack, words
+from korpora.llm.common import LAST, buckets, chunks, mapped, pack, raw, stored, unpack, words
 
-#: Sorts after every id.
-LAST = np.iinfo(np.int64).max
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Windows of a super-k-mer at most; longer runs (a word over and over) are cut.
 LONGEST = 512
+#: Packed bytes of a bucket that are worked on at a time; unpacked they are several times as many.
+HELD = 48 << 20
 #: Super-k-mers that a task remembers, to send equal ones once.
 REMEMBERED = 100_000
 
@@ -125,15 +126,28 @@ def sent(documents: DataFrame, n_buckets: int, k: int, m: int) -> DataFrame:
     return mapped(raw(documents, text_hash().alias("own")), work, "bucket int, blob binary")
 
 
-def repeats_of(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
-    """Repeated windows of a bucket as runs (document, text's hash, start, windows)."""
+RUNS = ("doc_id", "own", "start", "windows")
+FOUND = (*RUNS, "f1", "f2")
+
+
+def runs_of(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> dict:
+    """Windows as runs of consecutive ones of a text; without fingerprints, as they are settled."""
+    order = np.lexsort((at, own, doc))
+    doc, own, at = doc[order], own[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (at[1:] > at[:-1] + 1)])[: len(doc)])
+    last = np.concatenate([new[1:] - 1, [len(doc) - 1]])[: len(new)]
+    return {"doc_id": doc[new], "own": own[new].astype(np.int64), "start": at[new].astype(np.int32), "windows": (at[last] - at[new] + 1).astype(np.int32)} | dict.fromkeys(("f1", "f2"), pa.nulls(len(new), pa.int64()))
+
+
+def repeats_of(blobs: list[bytes], k: int, whole: bool = True) -> Iterator[dict]:
+    """Repeated windows of a bucket as runs; if it is a part of the bucket, its other windows with their fingerprints too."""
     parts = [unpack(b, np.uint32, np.int64, np.uint32, np.int32, np.int32, np.uint8, None) for b in blobs]
     key, doc, own, start, n, again = (np.concatenate([p[i] for p in parts]) for i in range(6))
     payload = [x for p in parts for x in p[6].split(b"\n")]
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero((count[inverse] > 1) | (again > 0))
+    rows = np.flatnonzero((count[inverse] > 1) | (again > 0)) if whole else np.arange(len(key))
     if not len(rows):
-        return doc[:0], own[:0], start[:0], n[:0]
+        return
     size = n[rows].astype(np.int64)
     h = fingerprints(b" ".join([payload[i] for i in rows]).split())
     first = np.concatenate([[0], np.cumsum(size + k - 1)[:-1]])  # word at which a super-k-mer begins
@@ -144,31 +158,66 @@ def repeats_of(blobs: list[bytes], k: int) -> tuple[np.ndarray, ...]:
     p, row, at = prints[order], row[order], at[order]
     head = np.maximum.accumulate(np.where(np.concatenate([[True], (p[1:] != p[:-1]).any(1)]), np.arange(len(p)), 0))
     late = (doc[row] != doc[row[head]]) | (at != at[head])
-    row, at = row[late], at[late]
-    order = np.lexsort((at, own[row], doc[row]))
-    d, o, at = doc[row[order]], own[row[order]], at[order]
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (at[1:] > at[:-1] + 1)])[: len(d)])
-    last = np.concatenate([new[1:] - 1, [len(d) - 1]])[: len(new)]
-    return d[new], o[new], at[new].astype(np.int32), (at[last] - at[new] + 1).astype(np.int32)
+    yield runs_of(doc[row[late]], own[row[late]], at[late])
+    if not whole:
+        p, row, at = p[~late].view(np.int64), row[~late], at[~late]
+        for a in range(0, len(row), 1 << 16):
+            z = a + (1 << 16)
+            yield dict(zip(FOUND, (doc[row[a:z]], own[row[a:z]].astype(np.int64), at[a:z].astype(np.int32), np.ones(len(row[a:z]), np.int32), p[a:z, 0], p[a:z, 1]), strict=True))
+
+
+def settled(windows: DataFrame) -> DataFrame:
+    """Of windows with fingerprints those that also start earlier; sorted by Spark and read as a stream."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last = None  # the first window of the fingerprint that the batch before ended with: fingerprint, document, start
+        for b in batches:
+            if not len(b):
+                continue
+            doc, own, at, f1, f2 = (b.column(c).to_numpy() for c in ("doc_id", "own", "start", "f1", "f2"))
+            new = np.concatenate([[last is None or last[:2] != (f1[0], f2[0])], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
+            place = [np.where(head < 0, last[i] if last else 0, x[head]) for i, x in ((2, doc), (3, at))]
+            late = (doc != place[0]) | (at != place[1])
+            last = (f1[-1], f2[-1], place[0][-1], place[1][-1])
+            yield {c: b.column(c).filter(pa.array(late)) for c in RUNS}
+
+    rows = windows.repartition("f1", "f2").sortWithinPartitions("f1", "f2", "doc_id", "start")
+    return mapped(rows, work, "doc_id long, own long, start int, windows int")
 
 
 def repeats(documents: DataFrame, k: int = 20, m: int = 3) -> DataFrame:
     """doc_id (LAST for null), own (32 bits of the text's hash), start, windows: runs of windows that also start earlier. Runs may overlap."""
     packed = sent(documents, buckets(documents.sparkSession), k, m)
-    names = ("doc_id", "own", "start", "windows")
+    held = HELD
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rows = (r for b in batches for r in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True))
         for bucket, group in groupby(rows, key=lambda r: r[0]):
             if bucket < 0:
                 for _, blob in group:
-                    yield dict(zip(names, unpack(blob, np.int64, np.uint32, np.int32, np.int32), strict=True))
-            else:
-                yield dict(zip(names, repeats_of([x for _, x in group], k), strict=True))
+                    yield dict(zip(RUNS, unpack(blob, np.int64, np.uint32, np.int32, np.int32), strict=True)) | dict.fromkeys(("f1", "f2"))
+                continue
+            blobs, size, whole = [], 0, True
+            for _, blob in group:
+                if blobs and size + len(blob) > held:
+                    whole = False
+                    yield from repeats_of(blobs, k, whole)
+                    blobs, size = [], 0
+                blobs.append(blob)
+                size += len(blob)
+            yield from repeats_of(blobs, k, whole)
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for columns in work(batches):
+            yield {c: pa.nulls(len(columns["doc_id"]), pa.int64()) if x is None else x for c, x in columns.items()}
 
     # rows that are final already are dealt by their own hash, so that they don't meet in one task
     dealt = packed.withColumn("deal", F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("long")))
-    return mapped(dealt.repartition("deal").sortWithinPartitions("bucket").select("bucket", "blob"), work, "doc_id long, own long, start int, windows int")
+    rows = dealt.repartition("deal").sortWithinPartitions("bucket").select("bucket", "blob")
+    found = stored(mapped(rows, complete, "doc_id long, own long, start int, windows int, f1 long, f2 long"), "dedup-runs")
+    runs, windows = found.filter("f1 IS NULL").select(*RUNS), found.filter("f1 IS NOT NULL")
+    return runs if windows.isEmpty() else runs.unionAll(settled(windows))
 
 
 def deduplicated(documents: DataFrame, k: int = 20, m: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:

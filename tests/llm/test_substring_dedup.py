@@ -42,3 +42,13 @@ def test_least():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for k in range(1, 50):
         assert (S.least(x, k) == [x[i : i + k].min() for i in range(50 - k + 1)]).all()
+
+
+def test_buckets_in_parts(spark, docs, odd, monkeypatch):
+    """Every packed string a part of its own: windows go on as fingerprints, and the result is the same."""
+    monkeypatch.setattr(S, "HELD", 1)
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(40)]), " ".join(r.choice("abc") for _ in range(r.randrange(40)))) for _ in range(150)] + [(100, "a " * 900), (101, "a b " * 700)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 6, 2) == brute(rows, 6)
+    for df in (docs.repartition(7), odd):
+        assert got(df, 20, 3) == brute([(r.doc_id, r.text) for r in df.collect()], 20)
