@@ -38,7 +38,9 @@ MIX, MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Sets of a block in verification.
 BLOCK = 512
 #: Shingles of a matrix product at a time.
-COLUMNS = 1 << 14
+COLUMNS = 1 << 12
+#: Elements of the sets that are signed together; a larger set is signed alone.
+SLICE = 1 << 17
 #: A segment of fewer elements on average is too common; one-deletion neighbourhoods take over.
 LEAST_FILL = 3.6
 #: A set with too many empty segments is dealt anew, so many times in all.
@@ -191,7 +193,13 @@ def indexed(documents: DataFrame, k: int, percent: int, n_buckets: int) -> DataF
             if not sets:
                 continue
             sizes = np.array([len(s) for _, s in sets], np.int64)
-            sig, holder, probing, least = signatures(np.concatenate([s for _, s in sets]), np.repeat(np.arange(len(sets)), sizes), sizes, Scheme(percent, int(sizes.max())))
+            scheme = Scheme(percent, int(sizes.max()))
+            slices = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1)).tolist()
+            signed_sets = []
+            for a, z in zip(slices, [*slices[1:], len(sets)], strict=True):
+                one = signatures(np.concatenate([s for _, s in sets[a:z]]), np.repeat(np.arange(z - a), sizes[a:z]), sizes[a:z], scheme)
+                signed_sets.append((one[0], one[1] + a, *one[2:]))
+            sig, holder, probing, least = (np.concatenate(x) for x in zip(*signed_sets, strict=True))
             if not len(sig):
                 continue
             nodes = np.array([x for x, _ in sets], np.int64)[holder]
@@ -264,16 +272,17 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     def placed(sets: list[np.ndarray], every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(common, every), len(common) - 1)
         hit = common[at] == every
-        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+        at, owner = at[hit], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[hit]
+        order = np.argsort(at, kind="stable")
+        return owner[order], at[order]
 
-    (la, lc), (ra, rc) = placed(left, a), placed(right, b)
+    sides = [(len(sets), *placed(sets, every)) for sets, every in ((left, a), (right, b))]
     for c in range(0, len(common), COLUMNS):
-        width = min(COLUMNS, len(common) - c)
         dense = []
-        for n, (owner, col) in ((len(left), (la, lc)), (len(right), (ra, rc))):
-            m = np.zeros((n, width), np.float32)
-            own = (col >= c) & (col < c + width)
-            m[owner[own], col[own] - c] = 1
+        for n, owner, at in sides:
+            m = np.zeros((n, min(COLUMNS, len(common) - c)), np.float32)
+            x, y = np.searchsorted(at, (c, c + COLUMNS))
+            m[owner[x:y], at[x:y] - c] = 1
             dense.append(m)
         out += dense[0] @ dense[1].T
     return out

@@ -29,7 +29,7 @@ from korpora.llm.token_counts import tokenizer
 
 #: Stands between words that are encoded together; as a word it is one token.
 BETWEEN = "\x01"
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Words that are encoded in one call.
 GROUP = 1024
 #: Small Latin letters: below U+0250 they are their own composed forms.
