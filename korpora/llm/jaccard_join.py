@@ -9,9 +9,9 @@ more than H segments, some segment is the same in both sets: the hash of a segme
   element left out, since among (H + 2) / 2 segments one has at most one difference.
 
 Every set is indexed in its own band and the one above, and probes its own. Signatures travel packed to buckets; there the sets that share one are linked to the least of
-them, their centre, which yields families. Verification is exact, on whole shingle sets: first every member against its family's centre; then, only where some member failed, those
-members against all of the family, in blocks; and families that share a signature, in blocks. A block pair is one matrix product
-over the shingles that both blocks hold, and returns only links that join two classes. So a group of n copies costs n comparisons, never n * n rows. No candidate is capped or dropped.
+them, their centre; a set's own centre is that with which it shares most signatures. Verification is exact, on whole shingle sets, and in two steps. First stars: every set against its centre, and for two
+centres whose sets share a signature one such pair. What these links join is a class, and the sets of linked centres are a family. Then, in blocks, sets without a link to their centre meet their whole
+family, and families that share as many signatures as a link needs meet. A block pair is one matrix product over the shingles that both blocks hold, and returns only links that join two classes. So a group of n copies costs n comparisons, never n * n rows. No candidate is capped or dropped.
 
 A set is fetched again for verification by id and text hash, so null ids and ids with several texts are judged each by their text. Null and empty texts and those without words have an empty set
 and stand alone. Repeated rows are one set and give a row each. An empty table gives no rows. Only doc_id and text are read; other columns, clashing names included, are left behind.
@@ -339,42 +339,51 @@ def likely(groups: DataFrame, keep: Keep) -> DataFrame:
 
 
 def meeting(joined: DataFrame, keep: Keep) -> DataFrame:
-    """(node, f, g): nodes that share with the nodes of another family as many signatures as a link needs; f < g, one of them the node's.
-
-    Families are compared first: a pair of them stays if each has, under some ``least``, so many signatures that the other has too. Only for such pairs
-    the nodes are asked.
-    """
-    held = joined.groupBy("signature").agg(F.min("family").alias("_f"), F.max("family").alias("_g")).filter("_f <> _g").select("signature")
-    across = keep(joined.join(held, "signature").select("signature", "node", "least", "family"), "join-across")
-    has = across.select("signature", "family", "least").distinct()
-    other = across.select("signature", F.col("family").alias("other")).distinct()
-    met = has.join(other, "signature").filter("family <> other").groupBy("family", "other", "least").agg(F.count("*").alias("n")).filter("n >= least")
-    ways = met.select(F.least("family", "other").alias("f"), F.greatest("family", "other").alias("g"), (F.col("family") < F.col("other")).alias("up")).distinct()
-    pairs = keep(ways.groupBy("f", "g").agg(F.count("*").alias("n")).filter("n = 2").select("f", "g"), "join-pairs")
-    both = pairs.select(F.col("f").alias("family"), F.col("g").alias("other")).unionAll(pairs.select(F.col("g").alias("family"), F.col("f").alias("other")))
-    asked = other.withColumnRenamed("other", "family").join(both, "family").join(other, ["signature", "other"])
-    nodes = across.join(asked, ["signature", "family"]).groupBy("node", "least", "family", "other").agg(F.count("*").alias("n")).filter("n >= least")
-    return nodes.select("node", F.least("family", "other").alias("f"), F.greatest("family", "other").alias("g")).distinct()
-
-
-def candidates(documents: DataFrame, found: DataFrame, k: int, keep: Keep) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Families (node, family, block, blocks) of the nodes that share a signature; (node, f, g): families that share one, with the nodes in question; and the nodes'
-    sets (node, family, block, led, elements), led: blocks of the family whose centre the node is."""
-    groups = likely(found.filter("signature IS NOT NULL").select("signature", "node", "least"), keep)
+    """(f, g): families whose nodes share as many signatures as a link of theirs needs at least, f < g."""
+    has = joined.groupBy("signature", "family").agg(F.min("least").alias("least"))
+    held = has.groupBy("signature").agg(F.count("*").alias("n")).filter("n > 1").select("signature")
+    across = keep(has.join(held, "signature"), "join-across")
+    other = across.select("signature", F.col("family").alias("g"), F.col("least").alias("least_g"))
+    met = across.withColumnRenamed("family", "f").join(other, "signature").filter("f < g").groupBy("f", "g").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.min("least_g").alias("b"))
+    return met.filter("n >= a AND n >= b").select("f", "g")
+
+
+def crossings(state: DataFrame, pairs: DataFrame, keep: Keep) -> DataFrame:
+    """(node, class, task, side): of two families that meet the larger stays in its blocks, and the smaller ones that it meets come bundled, about a block's worth at a time."""
+    sizes = state.groupBy("family").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
+    size = lambda c: sizes.select(F.col("family").alias(c), F.col("n").alias(f"n_{c}"), F.col("blocks").alias(f"blocks_{c}"))
+    both = pairs.join(size("f"), "f").join(size("g"), "g")
+    ordered = both.withColumn("up", F.col("n_f") >= F.col("n_g")).select(*[F.when(F.col("up"), F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("owner", "f", "g"), ("part", "g", "f"), ("owner_blocks", "blocks_f", "blocks_g"), ("n", "n_g", "n_f"))])
+    bundles = ordered.groupBy("owner").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("bundles"))
+    ordered = keep(ordered.join(bundles, "owner").select("owner", "part", "owner_blocks", "bundles"), "join-pairs")
+    at = lambda block, bundle: task("cross", "owner", block, bundle).alias("task")
+    owners = ordered.select("owner", "bundles").distinct()
+    own = state.join(owners, F.col("family") == F.col("owner")).withColumn("bundle", F.explode(F.sequence(F.lit(0), F.col("bundles") - 1)))
+    parts = state.join(ordered, F.col("family") == F.col("part")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("owner_blocks") - 1)))
+    bundle = F.pmod(F.xxhash64("part", "block"), F.col("bundles")).cast("int")
+    return own.select("node", "class", at(F.col("block"), F.col("bundle")), F.lit(0).alias("side")).unionAll(parts.select("node", "class", at(F.col("at"), bundle), F.lit(1).alias("side")))
+
+
+def stars(groups: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """(node, family): every node with its centre; and pairs (node, centre) to compare: these, and for each two centres whose nodes share a signature one node of the one with the least node of that signature."""
     # the centre with which a node shares most signatures: chance meets once or twice, near copies many times
     met = groups.groupBy("node", "centre").agg(F.count("*").alias("n"))
     family = met.groupBy("node").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select("node", (-F.col("m.c")).alias("family"))
     family = keep(family, "join-nearest")
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    family = keep(family.join(sizes, "family").select("node", "family", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "join-families")
-    crossing = meeting(groups.join(family.select("node", "family"), "node"), keep)
+    held = groups.join(family, "node").groupBy("signature", "centre", "family").agg(F.min("node").alias("node"))
+    led = family.select(F.col("node").alias("centre"), F.col("family").alias("to"))
+    near = held.join(led, "centre").filter("family <> to").groupBy("family", "to").agg(F.min(F.struct("node", "centre")).alias("p")).select("p.node", "p.centre")
+    return family, family.select("node", F.col("family").alias("centre")).unionAll(near).distinct()
+
+
+def sets_of(documents: DataFrame, found: DataFrame, tasks: DataFrame, k: int, keep: Keep) -> DataFrame:
+    """(node, tasks, elements) of the nodes that have tasks: the texts are read again for their sets."""
     # one row that holds the set: by id and text, as ids may be null or repeated
     rows = found.filter("signature IS NULL AND n > 0").select("node", "h1", F.struct(F.coalesce("doc_id", F.lit(int(LAST))).alias("_id"), F.col("own").alias("_own")).alias("row"))
     one = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("h1").alias("h1")).select("node", "h1", "row.*")
-    led = family.groupBy(F.col("family").alias("node")).agg(F.first("blocks").alias("led"))
-    wanted = keep(one.join(family, "node").join(led, "node", "left"), "join-wanted")
+    wanted = keep(one.join(tasks, "node"), "join-wanted")
     texts = raw(documents, text_hash().alias("_own")).withColumn("_id", F.coalesce("doc_id", F.lit(int(LAST)))).drop("doc_id")
-    few = wanted.count() <= BROADCAST_IDS
+    few = wanted.agg(F.coalesce(F.sum(F.size("tasks") + 2), F.lit(0))).head()[0] <= 3 * BROADCAST_IDS
     fetched = texts.join(F.broadcast(wanted) if few else wanted, ["_id", "_own"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -383,35 +392,46 @@ def candidates(documents: DataFrame, found: DataFrame, k: int, keep: Keep) -> tu
             h = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1 for s in sets], np.uint64).view(np.int64)
             own = np.flatnonzero(h == b.column("h1").to_numpy())
             part = b.take(pa.array(own))
-            yield {c: part.column(c) for c in ("node", "family", "block", "led")} | {"elements": [sets[i].tobytes() for i in own]}
+            yield {c: part.column(c) for c in ("node", "tasks")} | {"elements": [sets[i].tobytes() for i in own]}
 
-    sets = mapped(fetched, work, "node long, family long, block int, led int, elements binary")
-    return family, keep(crossing, "join-crossing"), keep(sets, "join-sets")
+    return keep(mapped(fetched.select("text", "h1", "node", "tasks"), work, "node long, tasks array<struct<task: long, side: int>>, elements binary"), "join-sets")
 
 
-def task(kind: str, *columns: str) -> Column:
+def task(kind: str, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(kind), *columns)
 
 
+def listed(tasks: DataFrame) -> DataFrame:
+    """(node, tasks) from (node, task, side)."""
+    return tasks.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
+
+
 def links(documents: DataFrame, found: DataFrame, k: int, percent: int, keep: Keep) -> DataFrame:
     """(a, b): enough links between nodes to give every component. Tasks are laid out on node numbers; the sets join them last."""
-    family, crossing, sets = candidates(documents, found, k, keep)
-    member = F.array(F.struct(task("star", "family", "block").alias("task"), F.lit(1).alias("side")))
-    centre = F.transform(F.sequence(F.lit(0), F.col("led") - 1), lambda b: F.struct(F.xxhash64(F.lit("star"), F.col("node"), b.cast("int")).alias("task"), F.lit(0).alias("side")))
-    first = sets.select("node", F.col("node").alias("class"), "elements", F.explode(F.when(F.col("led").isNull(), member).otherwise(F.concat(member, centre))).alias("t"))
-    star = keep(compared(first.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"), "join-stars")
-    # what failed against the centre meets the whole family
-    joined = family.join(star.select(F.col("b").alias("node"), F.col("a").alias("class")).distinct(), "node", "left")
-    state = keep(joined.select("node", "family", "block", "blocks", F.coalesce("class", "node").alias("class"), (F.col("class").isNull() & (F.col("node") != F.col("family"))).alias("failed")), "join-states")
+    groups = likely(found.filter("signature IS NOT NULL").select("signature", "node", "least"), keep)
+    nearest, pairs = stars(groups, keep)
+    pairs = keep(pairs, "join-stars")
+    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = pairs.join(sizes, "centre").select("node", task("star", "centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("task"), F.lit(1).alias("side"))
+    blocks = sizes.select(F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    centre = blocks.select("node", task("star", "node", F.col("block").cast("int")).alias("task"), F.lit(0).alias("side"))
+    sets = sets_of(documents, found, listed(member.unionAll(centre)), k, keep)
+    first = sets.select("node", F.col("node").alias("class"), "elements", F.explode("tasks").alias("t"))
+    star = keep(compared(first.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"), "join-linked")
+    # what the stars have joined is a class; families whose centres are of one class are one family from here on
+    joined = keep.own(components(star)).select(F.col("a").alias("node"), F.col("b").alias("class"))
+    led = joined.select(F.col("node").alias("family"), F.col("class").alias("of"))
+    state = nearest.join(led, "family", "left").join(joined, "node", "left").select("node", F.coalesce("of", "family").alias("family"), F.coalesce("class", "node").alias("class"))
+    state = keep(state, "join-classes")
+    sizes = state.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    state = keep(state.join(sizes, "family").select("node", "family", "class", block, "blocks", (F.col("class") != F.col("family")).alias("failed")), "join-states")
+    # what isn't linked to its centre meets the whole family
     lefts = state.filter("failed").select("family", F.col("block").alias("left_block")).distinct()
     left = state.filter("failed").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "class", task("family", "family", "block", "other").alias("task"), F.lit(0).alias("side"))
     right = state.join(lefts, "family").select("node", "class", task("family", "family", "left_block", "block").alias("task"), F.lit(1).alias("side"))
-    sides = state.select("node", "family", "class", "block").join(crossing, "node").withColumn("side", F.when(F.col("family") == F.col("f"), 0).otherwise(1))
-    opposite = sides.select("f", "g", (1 - F.col("side")).alias("side"), F.col("block").alias("other")).distinct()
-    ends = [F.when(F.col("side") == s, F.col("block")).otherwise(F.col("other")) for s in (0, 1)]
-    cross = sides.join(opposite, ["f", "g", "side"]).select("node", "class", F.xxhash64(F.lit("cross"), "f", "g", *ends).alias("task"), "side")
-    tasks = left.unionAll(right).unionAll(cross).groupBy("node", "class").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))
-    tasks = keep(tasks, "join-tasks")
+    cross = crossings(state, meeting(groups.join(state.select("node", "family"), "node"), keep), keep)
+    tasks = keep(left.unionAll(right).unionAll(cross).groupBy("node", "class").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "join-tasks")
     few = tasks.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).head()[0] <= 2 * BROADCAST_IDS
     rows = sets.select("node", "elements").join(F.broadcast(tasks) if few else tasks, "node").select("node", "class", "elements", F.explode("tasks").alias("t"))
     return star.unionAll(compared(rows.select("t.task", "t.side", "node", "class", "elements"), percent).filter("a <> b"))
