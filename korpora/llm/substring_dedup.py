@@ -33,6 +33,10 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LONGEST = 512
 #: Packed bytes of a bucket that are worked on at a time; unpacked they are several times as many.
 HELD = 48 << 20
+#: Bytes of super-k-mers whose windows are sorted at a time; one minimiser's are never parted.
+SORTED = 8 << 20
+#: Bytes of super-k-mers that are cut into words at a time.
+CUT = 1 << 20
 #: Super-k-mers that a task remembers, to send equal ones once.
 REMEMBERED = 100_000
 
@@ -139,31 +143,44 @@ def runs_of(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> dict:
     return {"doc_id": doc[new], "own": own[new].astype(np.int64), "start": at[new].astype(np.int32), "windows": (at[last] - at[new] + 1).astype(np.int32)} | dict.fromkeys(("f1", "f2"), pa.nulls(len(new), pa.int64()))
 
 
+def slices(lengths: np.ndarray, size: int, together: np.ndarray | None = None) -> Iterator[slice]:
+    """Consecutive rows of about ``size`` bytes; rows of one value of ``together`` (sorted) stay in one slice."""
+    at = np.cumsum(lengths) // size
+    if together is not None:
+        at = at[np.searchsorted(together, together, side="left")]
+    cut = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(at)]
+    yield from (slice(a, z) for a, z in zip(cut[:-1], cut[1:], strict=True))
+
+
 def repeats_of(blobs: list[bytes], k: int, whole: bool = True) -> Iterator[dict]:
-    """Repeated windows of a bucket as runs; if it is a part of the bucket, its other windows with their fingerprints too."""
+    """Repeated windows of a bucket as runs; if it is a part of the bucket, its other windows with their fingerprints too.
+
+    Equal windows have one minimiser, so the bucket is sorted by minimiser and worked off some of them at a time."""
     parts = [unpack(b, np.uint32, np.int64, np.uint32, np.int32, np.int32, np.uint8, None) for b in blobs]
     key, doc, own, start, n, again = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    payload = [x for p in parts for x in p[6].split(b"\n")]
+    payload = [x for p in parts for x in p.pop().split(b"\n")]
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero((count[inverse] > 1) | (again > 0)) if whole else np.arange(len(key))
-    if not len(rows):
-        return
-    size = n[rows].astype(np.int64)
-    h = fingerprints(b" ".join([payload[i] for i in rows]).split())
-    first = np.concatenate([[0], np.cumsum(size + k - 1)[:-1]])  # word at which a super-k-mer begins
-    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    prints = rolled(h, k)[np.repeat(first, size) + inside]
-    row, at = np.repeat(rows, size), np.repeat(start[rows].astype(np.int64), size) + inside
-    order = np.lexsort((at, doc[row], prints[:, 1], prints[:, 0]))
-    p, row, at = prints[order], row[order], at[order]
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], (p[1:] != p[:-1]).any(1)]), np.arange(len(p)), 0))
-    late = (doc[row] != doc[row[head]]) | (at != at[head])
-    yield runs_of(doc[row[late]], own[row[late]], at[late])
-    if not whole:
-        p, row, at = p[~late].view(np.int64), row[~late], at[~late]
-        for a in range(0, len(row), 1 << 16):
-            z = a + (1 << 16)
-            yield dict(zip(FOUND, (doc[row[a:z]], own[row[a:z]].astype(np.int64), at[a:z].astype(np.int32), np.ones(len(row[a:z]), np.int32), p[a:z, 0], p[a:z, 1]), strict=True))
+    every = np.flatnonzero((count[inverse] > 1) | (again > 0)) if whole else np.arange(len(key))
+    every = every[np.argsort(key[every], kind="stable")]
+    lengths = np.array([len(payload[i]) for i in every.tolist()], np.int64)
+    for part in slices(lengths, SORTED, key[every]):
+        rows = every[part]
+        size = n[rows].astype(np.int64)
+        h = np.concatenate([fingerprints(b" ".join([payload[i] for i in rows[x].tolist()]).split()) for x in slices(lengths[part], CUT)])
+        first = np.concatenate([[0], np.cumsum(size + k - 1)[:-1]])  # word at which a super-k-mer begins
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        prints = rolled(h, k)[np.repeat(first, size) + inside]
+        row, at = np.repeat(rows, size), np.repeat(start[rows].astype(np.int64), size) + inside
+        order = np.lexsort((at, doc[row], prints[:, 1], prints[:, 0]))
+        p, row, at = prints[order], row[order], at[order]
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], (p[1:] != p[:-1]).any(1)]), np.arange(len(p)), 0))
+        late = (doc[row] != doc[row[head]]) | (at != at[head])
+        yield runs_of(doc[row[late]], own[row[late]], at[late])
+        if not whole:
+            p, row, at = p[~late].view(np.int64), row[~late], at[~late]
+            for a in range(0, len(row), 1 << 16):
+                z = a + (1 << 16)
+                yield dict(zip(FOUND, (doc[row[a:z]], own[row[a:z]].astype(np.int64), at[a:z].astype(np.int32), np.ones(len(row[a:z]), np.int32), p[a:z, 0], p[a:z, 1]), strict=True))
 
 
 def settled(windows: DataFrame) -> DataFrame:

@@ -52,3 +52,18 @@ def test_buckets_in_parts(spark, docs, odd, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 6, 2) == brute(rows, 6)
     for df in (docs.repartition(7), odd):
         assert got(df, 20, 3) == brute([(r.doc_id, r.text) for r in df.collect()], 20)
+
+
+def test_buckets_some_minimisers_at_a_time(spark, docs, odd, monkeypatch):
+    """A minimiser at a time and a super-k-mer at a time cut into words: the result is the same."""
+    monkeypatch.setattr(S, "SORTED", 1)
+    monkeypatch.setattr(S, "CUT", 1)
+    for df in (docs, odd):
+        assert got(df, 20, 3) == brute([(r.doc_id, r.text) for r in df.collect()], 20)
+
+
+def test_slices():
+    lengths, keys = np.array([3, 3, 9, 1, 1, 1]), np.array([1, 1, 2, 2, 2, 5])
+    assert [(x.start, x.stop) for x in S.slices(lengths, 4)] == [(0, 1), (1, 2), (2, 3), (3, 6)]
+    assert [(x.start, x.stop) for x in S.slices(lengths, 4, keys)] == [(0, 2), (2, 5), (5, 6)]
+    assert not list(S.slices(lengths[:0], 4))
