@@ -81,6 +81,40 @@ def json_rows(text: str, key: str = "rating") -> list[dict]:
     return out
 
 
+def json_object(text: str) -> dict | None:
+    """The object of an answer: what a fence holds, else all, else from the first brace to the last; None if none parses."""
+    fenced = re.search(r"```(?:json)?\s*\n?(.*?)\n?```", text, re.S)
+    t = fenced[1].strip() if fenced else text.strip()
+    for x in (t, t[t.find("{") : t.rfind("}") + 1] if "{" in t else ""):
+        try:
+            out = json.loads(x)
+        except ValueError:
+            continue
+        if isinstance(out, dict):
+            return out
+    return None
+
+
+PROPOSAL = "rule_name string, target_prompt string, target_section string, rule_text string, severity string, rationale string, parsed boolean"
+
+
+def parsed_proposals(rows: DataFrame, *keys: str) -> DataFrame:
+    """One rule proposal for each answer (columns response, type); an answer that holds no object becomes the text of a rule for its pattern's type."""
+    fields = [f.split()[0] for f in PROPOSAL.split(", ")][:-1]
+
+    def parse(answers: pd.Series, types: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, kind in zip(answers, types, strict=True):
+            o = json_object(text or "")
+            if o is None:
+                out.append(dict(zip(fields, (f"auto_{kind}", "qe", "UNKNOWN", (text or "").strip(), "minor", "failed to parse the answer"), strict=True)) | {"parsed": False})
+            else:
+                out.append({f: None if o.get(f) is None else str(o[f]) for f in fields} | {"parsed": True})
+        return pd.DataFrame(out, columns=[*fields, "parsed"])
+
+    return rows.select(*keys, F.pandas_udf(parse, PROPOSAL)("response", "type").alias("p")).select(*keys, "p.*")
+
+
 def parsed_numbered(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, local, text) from answers: columns response, expected."""
     parse = F.pandas_udf(lambda r, n: pd.Series([numbered(x or "", int(k)) for x, k in zip(r, n, strict=True)]), "array<string>")

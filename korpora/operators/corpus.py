@@ -56,22 +56,40 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
 
 
+def shuffled_ranks(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds _r, the rank from 1 in the shuffled order; the order is cut into ranges, so no task sees more than one."""
+    shuffled = rows.withColumn("_o", hash_order(F.col(key), seed)).withColumn("_bin", F.floor(F.col("_o") / (1 << 20)).cast("int"))
+    sizes = shuffled.groupBy("_bin").agg(F.count("*").alias("_n"))
+    before = sizes.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = shuffled.join(F.broadcast(before), "_bin")
+    return ranked.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy("_o", key))).drop("_o", "_bin", "_before")
+
+
 def split_by_rank(rows: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: int = 42, floor: int = 0) -> DataFrame:
     """train, val, test by exact shares of the shuffled rows; ``floor`` is the least size of val and test.
 
     Ranks need one order over all rows. The order is cut into ranges by key, ranked within and shifted by the sizes before, so no task sees more than a range.
     """
     n = rows.count()
-    shuffled = rows.withColumn("_o", hash_order(F.col(key), seed)).withColumn("_bin", F.floor(F.col("_o") / (1 << 20)).cast("int"))
-    sizes = shuffled.groupBy("_bin").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = shuffled.join(F.broadcast(before), "_bin").withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_bin").orderBy("_o", key)))
+    ranked = shuffled_ranks(rows, key, seed)
     if floor:
         val = test = max(floor, int(n * shares[1]))
         train = max(0, n - val - test)
     else:
         train, val = int(n * shares[0]), int(n * shares[1])
-    return ranked.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")).drop("_o", "_bin", "_before", "_r", "_n")
+    return ranked.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")).drop("_r")
+
+
+def split_changed(rows: DataFrame, key: str, changed: str = "changed", seed: int = 42) -> DataFrame:
+    """train and val of the changed rows only: a tenth, at least one row, validates. A missing mark counts as unchanged; no rows give no rows."""
+    kept = rows.filter(F.coalesce(F.col(changed), F.lit(False)))
+    val = max(1, kept.count() // 10)
+    return shuffled_ranks(kept, key, seed).withColumn("split", F.when(F.col("_r") <= val, "val").otherwise("train")).drop("_r")
+
+
+def within_ter(rows: DataFrame, most: float = 0.5, exempt: str = "test") -> DataFrame:
+    """Pairs of a small enough edit rate (column ter); the exempt split stays whole. A missing rate counts as too large."""
+    return rows.filter(F.coalesce(F.col("split") == exempt, F.lit(False)) | (F.col("ter") <= most))
 
 
 def binned(rows: DataFrame, value: str, bins: int | None = None) -> DataFrame:

@@ -59,6 +59,12 @@ def cooccurrence(pairs: DataFrame, stop: tuple[str, ...] = (), min_count: int =
     return best.select("term", F.col("b.partner").alias("partner"), "frequency", F.col("b.together").alias("together"), (F.col("b.together") / F.col("frequency")).alias("consistency")).filter(F.col("consistency") >= min_consistency)
 
 
+def by_strength(terms: DataFrame) -> DataFrame:
+    """Mined terms, frequent and consistent ones first; ties by term and partner."""
+    rows = terms.withColumn("strength", F.col("frequency") * F.col("consistency"))
+    return rows.orderBy(F.desc("strength"), "term", "partner")
+
+
 def bigrams(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))).otherwise(F.array())
 

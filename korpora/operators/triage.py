@@ -101,3 +101,23 @@ def access(codes: DataFrame, usage: DataFrame, now: Column, quota: int = 3, mast
 def first_use(events: DataFrame, days: int = 14) -> DataFrame:
     """code, first_use, expires, used from an event log (code, ts)."""
     return events.groupBy("code").agg(F.min("ts").alias("first_use"), (F.min("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("expires"), F.count("*").alias("used"))
+
+
+def unscored(rows: DataFrame) -> DataFrame:
+    """Where quality estimation is skipped: a middle score, and everything to review."""
+    return rows.withColumn("score", F.lit(0.75)).withColumn("triage", F.lit("review"))
+
+
+def session_log(translations: DataFrame, confirmed: DataFrame, qe: DataFrame, document: str = "unknown") -> DataFrame:
+    """Events of a session: the confirmed segments, with what quality estimation said where it said anything. Of an index's repeated ratings the greatest counts."""
+    rated = qe.groupBy("index").agg(F.max(F.struct("rating", "error_category")).alias("q"))
+    rows = translations.join(confirmed.filter("confirmed_text IS NOT NULL").select("index", "confirmed_text"), "index").join(rated, "index", "left")
+    return rows.select(
+        "index", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("translation", F.lit("")).alias("original"), F.col("confirmed_text").alias("final"),
+        F.coalesce("q.rating", F.lit("unknown")).alias("qe_rating"), F.coalesce("q.error_category", F.lit("")).alias("qe_category"), F.lit(document).alias("document"),
+    )
+
+
+def with_reference(rows: DataFrame, references: DataFrame, *place: str) -> DataFrame:
+    """Machine texts with the human text at the same place; beyond the last reference a note. References: the place and reference, one row a place."""
+    return rows.join(references.select(*place, "reference"), list(place), "left").withColumn("reference", F.coalesce("reference", F.lit("(no reference available)")))
