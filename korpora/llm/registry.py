@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from korpora.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, piece_codec, quality_rules, substring_dedup, token_counts, toxicity, url_filters
 from korpora.llm.common import remainder
 
 
@@ -58,6 +58,10 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "fail_bits")
 
 
+def op13_piece_codec(spark: SparkSession, d: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encoded(_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
