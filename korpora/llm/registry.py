@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, piece_codec, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from korpora.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, piece_codec, quality_rules, source_audit, substring_dedup, token_counts, toxicity, url_filters
 from korpora.llm.common import remainder
 
 
@@ -58,6 +58,10 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "fail_bits")
 
 
+def op11_source_audit(spark: SparkSession, d: str) -> DataFrame:
+    return source_audit.audited(_table(spark, d, "documents"))
+
+
 def op13_piece_codec(spark: SparkSession, d: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encoded(_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard_join.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_url_filters": url_filters.SQL, "op10_quality_rules": quality_rules.SQL}
+    return {"op3_jaccard_join": jaccard_join.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_url_filters": url_filters.SQL, "op10_quality_rules": quality_rules.SQL, "op11_source_audit": source_audit.SQL}
