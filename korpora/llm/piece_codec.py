@@ -2,7 +2,7 @@
 
 A text is a run of chunks, each one or more space marks and the characters up to the next mark. If no piece of the vocabulary has a mark after another
 character, no merge can join two chunks, so the ids of a text are those of its chunks in order, and its decoded text is theirs. Each distinct chunk is
-therefore segmented (by the vocabulary's own library) and decoded once, and its ids go back to the places it came from. ``checked`` proves the condition for
+therefore segmented once (by the vocabulary's own library), and its ids go back to the places it came from; decoding is done once a distinct chunk of a batch. ``checked`` proves the condition for
 a vocabulary, and that its normalisation leaves characters alone; another vocabulary is refused.
 
 Plan: texts become packed batches (chunk numbers by document), and a batch's distinct chunks are dealt into buckets by hash, so that all batches' copies of a chunk
@@ -34,7 +34,9 @@ MARK = "▁"
 CHUNK = re.compile(rb" ( *[^ ]+| *)")
 #: Texts above this many bytes are cut one chunk at a time.
 LONG = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 64 << 20
+#: Chunks decoded at a time.
+DECODED = 1 << 14
 ROWS = "deal long, batch long, bucket int, blob binary"
 
 
@@ -68,6 +70,12 @@ def chunked(text: bytes) -> Iterator[bytes] | list[bytes]:
     return CHUNK.findall(marked) if len(text) <= LONG else (m.group(1) for m in CHUNK.finditer(marked))
 
 
+#: No byte of UTF-8.
+BETWEEN = b"\xff"
+#: Numbers below ONE take one byte, those below TWO two, others five.
+ONE, TWO = 192, 192 + 48 * 256
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """The bytes of 32-bit numbers, first bytes first: they compress better that way."""
     return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -77,8 +85,24 @@ def joined(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def short(numbers: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Mostly small numbers in one, two or five bytes: the first bytes, the second ones, and the large numbers."""
+    n = numbers.astype(np.int64)
+    first = np.where(n < ONE, n, np.where(n < TWO, ONE + (n - ONE >> 8), 255)).astype(np.uint8)
+    return first.tobytes(), (n[(n >= ONE) & (n < TWO)] - ONE & 255).astype(np.uint8).tobytes(), planes(n[n >= TWO])
+
+
+def long(first: bytes, second: bytes, large: bytes) -> np.ndarray:
+    """What ``short`` was given."""
+    n = np.frombuffer(first, np.uint8).astype(np.int64)
+    two, five = (n >= ONE) & (n < 255), n == 255
+    n[two] = ONE + (n[two] - ONE << 8) + np.frombuffer(second, np.uint8)
+    n[five] = joined(large)
+    return n
+
+
 def batched(documents: DataFrame, n_buckets: int, size: int) -> DataFrame:
-    """Packed batches: bucket -1 has a batch's documents as chunk numbers, the others its distinct chunks."""
+    """Packed batches: bucket -1 has a batch's documents as chunk numbers (frequent chunks have small ones), the others its distinct chunks in order; the documents' row knows their numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, k = TaskContext.get().partitionId(), 0
@@ -89,75 +113,69 @@ def batched(documents: DataFrame, n_buckets: int, size: int) -> DataFrame:
                 own = np.fromiter((number.setdefault(c, len(number)) for c in chunked((text or b"").decode("utf-8", "replace").encode())), np.uint32)
                 ids.append(own)
                 sizes.append(len(own))
+            ids = np.concatenate(ids)
+            rank = np.empty(len(number), np.int64)
+            rank[np.argsort(-np.bincount(ids, minlength=len(number)), kind="stable")] = np.arange(len(number))
+            dealt: dict[int, list[bytes]] = {}
+            for c in number:
+                dealt.setdefault(zlib.crc32(c) % n_buckets, []).append(c)
+            asked = [(j, sorted(dealt[j])) for j in sorted(dealt)]
+            order = np.fromiter((number[c] for _, own in asked for c in own), np.int64, len(number))
             doc = b.column("doc_id")
-            docs = pack(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(doc.is_null().to_pylist(), np.uint8), np.array(sizes, np.int64), planes(np.concatenate(ids)))
+            docs = pack(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(doc.is_null().to_pylist(), np.uint8), np.array(sizes, np.int64), planes(rank[order]), *short(rank[ids]))
             batch = part << 32 | k
-            out = [(zlib.crc32(b"%d" % batch) % n_buckets, -1, docs)]
-            every = list(number)
-            place = np.fromiter((zlib.crc32(c) % n_buckets for c in every), np.int32, len(every))
-            order = np.argsort(place, kind="stable")
-            ends = np.searchsorted(place[order], np.arange(n_buckets + 1))
-            for j in np.unique(place).tolist():
-                own = order[ends[j] : ends[j + 1]].tolist()
-                out.append((j, j, pack(planes(np.array([len(every[i]) for i in own])), b"".join([every[i] for i in own]), planes(np.array(own)))))
+            out = [(zlib.crc32(b"%d" % batch) % n_buckets, -1, docs)] + [(j, j, pack(BETWEEN.join(own))) for j, own in asked]
             yield {"deal": [d for d, _, _ in out], "batch": [batch] * len(out), "bucket": [x for _, x, _ in out], "blob": [x for _, _, x in out]}
             k += 1
 
     return mapped(raw(documents), work, ROWS)
 
 
-def cut(data: bytes, lengths: np.ndarray) -> list[bytes]:
-    ends = np.cumsum(lengths.astype(np.int64))
-    return [data[s:e] for s, e in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-
-
 def answered(packed: DataFrame, path: str) -> DataFrame:
-    """To each batch the ids and the decoded text of the chunks that it asked for; documents pass through."""
+    """To each batch the ids of the chunks that it asked for; documents pass through."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sp = checked(path)
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "batch", "blob")), strict=True))
         for bucket, group in groupby(rows, key=lambda r: r[0]):
-            table: dict[bytes, tuple[bytes, bytes]] = {}
+            table: dict[bytes, bytes] = {}
             for _, batch, blob in group:
                 if bucket >= 0:
-                    lengths, data, places = unpack(blob, None, None, None)
-                    asked = cut(data, joined(lengths))
+                    asked = unpack(blob, None)[0].split(BETWEEN)
                     new = [c for c in asked if c not in table]
-                    ids = segmented(sp, [c.decode() for c in new])
-                    for c, i, text in zip(new, ids, sp.decode(ids) if ids else [], strict=True):
-                        table[c] = (np.array(i, "<u4").tobytes(), text.encode())
+                    table.update(zip(new, (np.array(i, "<u4").tobytes() for i in segmented(sp, [c.decode() for c in new])), strict=True))
                     found = [table[c] for c in asked]
-                    blob = pack(places, planes(np.array([len(i) // 4 for i, _ in found])), planes(np.frombuffer(b"".join([i for i, _ in found]), "<u4")), planes(np.array([len(t) for _, t in found])), b"".join([t for _, t in found]))
+                    blob = pack(planes(np.array([len(i) // 4 for i in found])), planes(np.frombuffer(b"".join(found), "<u4")))
                 yield {"deal": [0], "batch": [batch], "bucket": [bucket], "blob": [blob]}
 
     return mapped(packed, work, ROWS)
 
 
-def spelled(replies: DataFrame) -> DataFrame:
+def spelled(replies: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded of the documents of each batch, from the answers to it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        sp = checked(path)
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("batch", "bucket", "blob")), strict=True))
         for batch, group in groupby(rows, key=lambda r: r[0]):
             _, bucket, blob = next(group)
             if bucket >= 0:
                 raise ValueError(f"batch {batch} has no documents")
-            doc, null, sizes, data = unpack(blob, np.int64, np.uint8, np.int64, None)
-            numbers = joined(data)
-            n = int(numbers.max()) + 1 if len(numbers) else 0
-            first, length, texts, flat, at = np.zeros(n, np.int64), np.full(n, -1, np.int64), [b""] * n, [], 0
-            for _, _, blob in group:
-                places, counts, ids, lengths, data = unpack(blob, None, None, None, None, None)
-                places, counts, ids = joined(places), joined(counts).astype(np.int64), joined(ids)
-                first[places], length[places] = at + np.cumsum(counts) - counts, counts
-                flat.append(ids)
-                at += len(ids)
-                for i, t in zip(places.tolist(), cut(data, joined(lengths)), strict=True):
-                    texts[i] = t
-            if (length < 0).any():
+            doc, null, sizes, places, *data = unpack(blob, np.int64, np.uint8, np.int64, None, None, None, None)
+            numbers, places = long(*data), joined(places)
+            answers = [unpack(blob, None, None) for _, _, blob in group]
+            counts = np.concatenate([joined(n) for n, _ in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
+            if len(counts) != len(places):
                 raise ValueError(f"batch {batch} lacks answers")
-            flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
+            flat = np.concatenate([joined(i) for _, i in answers]) if answers else np.zeros(0, np.uint32)
+            stops = np.cumsum(counts)
+            first, length = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+            first[places], length[places] = stops - counts, counts
+            texts = [b""] * len(places)
+            for s in range(0, len(places), DECODED):
+                own = [flat[b - n : b].tolist() for b, n in zip(stops[s : s + DECODED].tolist(), counts[s : s + DECODED].tolist(), strict=True)]
+                for i, t in zip(places[s : s + DECODED].tolist(), sp.decode(own), strict=True):
+                    texts[i] = t.encode()
             ends = np.concatenate([[0], np.cumsum(sizes)])
             for s in range(0, len(doc), 256):
                 e = min(s + 256, len(doc))
@@ -177,7 +195,7 @@ def encoded(documents: DataFrame, path: str, size: int = BATCH_BYTES) -> DataFra
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = batched(documents, n, size).repartition(n, "deal").sortWithinPartitions("bucket", "batch")
     replies = answered(asked, path).repartition(n, "batch").sortWithinPartitions("batch", "bucket")
-    return spelled(replies)
+    return spelled(replies, path)
 
 
 def digests(codes: DataFrame) -> DataFrame:

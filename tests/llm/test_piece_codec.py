@@ -70,3 +70,11 @@ def test_other_vocabularies_are_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Crossing)
     with pytest.raises(ValueError, match="cross"):
         C.checked("other.model")
+
+
+def test_numbers_in_few_bytes():
+    import numpy as np
+
+    n = np.array([0, 1, 191, 192, 193, 447, 448, C.TWO - 1, C.TWO, C.TWO + 1, 2**31, 5], np.int64)
+    assert C.long(*C.short(n)).tolist() == n.tolist()
+    assert C.long(*C.short(n[:0])).tolist() == []
