@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, piece_codec, quality_rules, source_audit, substring_dedup, token_counts, toxicity, url_filters
+from korpora.llm import conversation_repair, decontamination, jaccard_join, language_id, lm_scoring, packing, piece_codec, quality_rules, source_audit, substring_dedup, token_counts, toxicity, url_filters
 from korpora.llm.common import remainder
 
 
@@ -62,6 +62,10 @@ def op11_source_audit(spark: SparkSession, d: str) -> DataFrame:
     return source_audit.audited(_table(spark, d, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_repair.figures(conversation_repair.repaired(conversation_repair.damaged(_table(spark, d, "conversations"))))
+
+
 def op13_piece_codec(spark: SparkSession, d: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encoded(_table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
