@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.plans import corpus, evaluation, segments, sessions, terms
+from korpora.plans import corpus, evaluation, glossary, segments, sessions, terms
 
-MODULES = (terms, corpus, segments, evaluation, sessions)
+MODULES = (terms, corpus, segments, evaluation, sessions, glossary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
