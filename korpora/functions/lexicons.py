@@ -20,6 +20,29 @@ ADVERBS = (
 
 SKIP_TOKENS = ("FIG", "Fig", "Anspruch", "Ansprüche", "Abs", "Nr", "Bsp", "DE", "EP", "WO", "US", "PCT")
 
+ENGLISH_STOPWORDS = tuple(
+    "the a an of to in for on at by with from as is are was were be been being has have had do does did will would could should may might can shall must and or but not no if then than that this these "
+    "those which who whom what where when how it its he she they we you also so very just more most such only each one two said".split()
+)
+
+GERMAN_STOPWORDS = tuple(
+    "der die das den dem des ein eine einer einem einen eines und oder aber ist sind wird werden wurde hat haben kann mit von für auf bei nach aus über unter durch als wie wenn dass nicht auch noch nur sich es "
+    "er sie wir zum zur im am vom ins wobei dabei sowie bzw daß".split()
+)
+
+#: Of term mining, whose words are single tokens.
+ENGLISH_TERM_STOPWORDS = tuple(
+    "the a an of to in for on at by with from as is are was were be been being has have had do does did will would could should may might can shall must and or but not no nor if then than that this these those "
+    "which who whom what where when how all each every both few more most other some such only also very just so it its he she they we you i me my our your his her their said one two first second".split()
+)
+
+GERMAN_TERM_STOPWORDS = tuple(
+    "der die das den dem des ein eine einer einem einen eines und oder aber ist sind wird werden wurde wurden hat haben hatte kann können soll sollen muss müssen mit von für auf bei nach aus über unter durch als "
+    "wie wenn dass nicht auch noch nur mehr sehr schon so da hier dort wo was wer welche welcher welches diese dieser dieses jede jeder jedes alle keine kein keiner sich es er sie wir ihr ich du man sein seine "
+    "seinem seinen seiner ihre ihrem ihren ihrer zum zur im am vom beim ins ans aufs ums wobei dabei dazu davon dafür damit daher darum darauf darin daraus hierzu hierbei bzw sowie entsprechend insbesondere "
+    "beispielsweise vorzugsweise mindestens wenigstens zumindest jeweils beziehungsweise".split()
+)
+
 SUBJECT_DOMAINS = (
     ("SCIENCE", "patent"), ("INDUSTRY", "patent"), ("CHEMISTRY", "patent"), ("ELECTRONICS", "technical"), ("INFORMATION TECHNOLOGY", "technical"),
     ("MECHANICS", "patent"), ("MEDICAL", "medical"), ("HEALTH", "medical"), ("PHARMACEUTICAL", "medical"), ("LAW", "legal"),

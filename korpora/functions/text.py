@@ -23,6 +23,11 @@ def sentences(text: Column, longer_than: int = 15) -> Column:
     return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda, or pushed down with a filter, an expression would be computed for each time it is named."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
