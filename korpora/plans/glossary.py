@@ -15,15 +15,15 @@ LONGEST = 8
 
 
 def phrases(spark, d) -> DataFrame:
-    """de, en: phrases of at least six characters."""
+    """de, en: phrases of at least ten characters."""
     w = table(spark, d, "benchmark").select(X.words(F.lower("text")).alias("w"))
     at = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).filter("size(w) > 0").select("w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size("w") - F.col("i") + 1))).alias("n"))
-    de = at.select(F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("de")).filter("length(de) >= 6").distinct()
+    de = at.select(F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("de")).filter("length(de) >= 10").distinct()
     return de.withColumn("en", F.regexp_replace("de", "e", "a"))
 
 
 PHRASES = rf"""bw AS (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM benchmark), bi AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM bw), bn AS (SELECT w, i, unnest(range(1, least({LONGEST}, len(w) - i + 1) + 1)) AS n FROM bi),
-terms AS (SELECT DISTINCT de, replace(de, 'e', 'a') AS en FROM (SELECT array_to_string(w[i:i + n - 1], ' ') AS de FROM bn) WHERE length(de) >= 6)"""
+terms AS (SELECT DISTINCT de, replace(de, 'e', 'a') AS en FROM (SELECT array_to_string(w[i:i + n - 1], ' ') AS de FROM bn) WHERE length(de) >= 10)"""
 
 
 def table_topk(spark, d):

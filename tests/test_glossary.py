@@ -41,7 +41,13 @@ def test_short_and_random_terms(spark):
     s = [(i, 0, make(rng.randrange(12))) for i in range(150)]
     t = sorted({make(rng.randrange(1, 7)).strip() for _ in range(200)} - {""})
     got = G.matches(spark.createDataFrame(s, "doc_id long, idx int, sentence string"), spark.createDataFrame([(x,) for x in t], "key string"))
-    assert {(r.doc_id, r.key) for r in got.collect()} == {(i, x) for i, _, text in s for x in t if x in text}
+    want = sorted((i, x) for i, _, text in s for x in t if x in text)
+    assert sorted((r.doc_id, r.key) for r in got.collect()) == want
+
+
+def test_large_indexes_are_shuffled(sentences, terms):
+    small, large = (sorted(map(tuple, G.matches(sentences, G.keyed(terms), limit=n).collect())) for n in (G.BROADCAST_BYTES, 0))
+    assert small == large != []
 
 
 def test_longest_first(sentences, terms):
