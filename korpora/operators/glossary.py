@@ -1,91 +1,52 @@
 """Glossaries as tables: terms found in sentences through an inverted index, at any size of the glossary.
 
-A term fits a sentence if it is a substring of it (both in lower case), so it may start and end inside a word. The index follows the words: a term's inner words must be whole words of the sentence, its
-first one ends a word, its last one starts one, and a single one lies inside a word. ``hits`` finds, over the distinct words of the corpus, the words that serve each part of a term; candidates are joined by
-their rarest character gram, so no part is compared with all words. Each term is then looked for where the words of its rarest part occur, and a term with a part that no word serves is dropped. Candidates are
-verified against the sentence. Every join has an equality key, the rarest that a term has; keys and index are sent to
-all executors only after their bytes are counted.
+A term fits a sentence if it is a substring of it (both in lower case), so it may start and end inside a word. The index has one character gram a term: of its grams of ``Q`` characters the one that fewest terms share (a shorter
+term is its own gram). The grams of a sentence are looked up in it, and candidates are verified by containment. The index has some bytes a term: it is sent to the sentences, so that only matches are shuffled, and above a number
+of bytes it is dealt into shards, each sent in a pass of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpora.functions.text import words
 from korpora.operators.terms import compound_parts, lemma
-from korpora.session import BROADCAST_BYTES, sent_if_small, written
+from korpora.session import BROADCAST_BYTES, octets, written
 
 KEYS = ["doc_id", "idx"]
-#: Characters of a gram; shorter parts have grams of their own length.
-Q = 3
-#: Marks a whole word among grams; no word of a sentence holds a space.
-WHOLE = " "
-
-
-def grams(text: Column, *lengths: int) -> Column:
-    """Distinct substrings of these lengths."""
-    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+#: Characters of a gram.
+Q = 8
 
 
-def spaced(text: Column) -> Column:
-    """What stands between spaces."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
+def grams(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters, in order: a look-ahead matches at each place, so the work is linear in the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def term_parts(terms: DataFrame) -> DataFrame:
-    """(key, part, kind) of the words of each term in lower case; kind: only, first, last or inner."""
-    w = spaced(F.col("key"))
-    n = F.size("w")
-    kind = F.when(n == 1, "only").when(F.col("i") == 0, "first").when(F.col("i") == n - 1, "last").otherwise("inner")
-    return terms.select("key").distinct().withColumn("w", w).select("key", "w", F.posexplode("w").alias("i", "part")).select("key", "part", kind.alias("kind"))
-
-
-def part_grams(parts: DataFrame) -> DataFrame:
-    """(gram, part, kind): the key by which a part is looked up; the word itself, marked, for inner parts, else the part's gram that fewest parts have."""
-    own = parts.select("part", "kind").distinct()
-    edge = own.filter("kind <> 'inner'")
-    length = F.length("part")
-    spelt = edge.select("part", F.explode(F.when(length == 1, grams(F.col("part"), 1)).when(length == 2, grams(F.col("part"), 2)).otherwise(grams(F.col("part"), Q))).alias("gram")).distinct()
+def index_of(terms: DataFrame) -> DataFrame:
+    """(gram, key): the gram by which each term is looked up."""
+    own = terms.select("key").filter("key <> ''").distinct()
+    spelt = own.filter(F.length("key") >= Q).select("key", F.explode(F.array_distinct(grams(F.col("key"), Q))).alias("gram"))
     weight = spelt.groupBy("gram").agg(F.count("*").alias("weight"))
-    rarest = spelt.join(weight, "gram").groupBy("part").agg(F.min(F.struct("weight", "gram")).getField("gram").alias("gram"))
-    return rarest.join(edge, "part").select("gram", "part", "kind").unionByName(own.filter("kind = 'inner'").select(F.concat(F.lit(WHOLE), "part").alias("gram"), "part", "kind"))
-
-
-def serving_words(vocabulary: DataFrame, keys: DataFrame) -> DataFrame:
-    """(part, kind, word, n): the words that can serve a part. ``vocabulary``: word, n; ``keys``: as ``part_grams`` gives them."""
-    lengths = [r.n for r in keys.select(F.when(F.col("gram").startswith(WHOLE), 0).otherwise(F.length("gram")).alias("n")).distinct().collect()]  # 0 to Q
-    word, part = F.col("word"), F.col("part")
-    own = F.concat(F.array(F.concat(F.lit(WHOLE), word)) if 0 in lengths else F.array().cast("array<string>"), grams(word, *[n for n in lengths if n]) if any(lengths) else F.array().cast("array<string>"))
-    found = vocabulary.select("word", "n", F.explode(own).alias("gram")).join(sent_if_small(keys, "gram", "part", "kind"), "gram")
-    fits = F.when(F.col("kind") == "inner", word == part).when(F.col("kind") == "first", word.endswith(part)).when(F.col("kind") == "last", word.startswith(part)).otherwise(word.contains(part))
-    return found.filter(fits).select("part", "kind", "word", "n")
-
-
-def index_of(sentences: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, key): the words of the corpus that serve the rarest part of each term; terms with a part that no word serves are left out."""
-    parts = written(term_parts(terms), "glossary-parts")
-    vocabulary = sentences.select(F.explode(F.array_distinct(spaced(F.col("_low")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    hits = written(serving_words(vocabulary, written(part_grams(parts), "glossary-grams")), "glossary-hits")
-    cost = hits.groupBy("part", "kind").agg(F.sum("n").alias("cost"))
-    best = parts.join(cost, ["part", "kind"], "left").groupBy("key").agg(F.count("*").alias("parts"), F.count("cost").alias("served"), F.min(F.struct("cost", "part", "kind")).alias("b")).filter("parts = served")
-    return best.select("key", "b.part", "b.kind").join(hits, ["part", "kind"]).select("word", "key")
+    rarest = spelt.join(weight, "gram").groupBy("key").agg(F.min(F.struct("weight", "gram")).getField("gram").alias("gram"))
+    return rarest.select("gram", "key").unionByName(own.filter(F.length("key") < Q).select(F.col("key").alias("gram"), "key"))
 
 
 def matches(sentences: DataFrame, terms: DataFrame, text: str = "sentence", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, idx, key): every term that is part of a sentence, once. ``terms`` has a column key, in lower case; blank keys fit nothing. Null sentences have no terms.
-
-    An index of up to ``limit`` bytes goes to the sentences, so only matches are shuffled; a larger one meets their words in a shuffle, and candidates meet the sentences again.
-    """
+    """(doc_id, idx, key): every term that is part of a sentence, once. ``terms`` has a column key, in lower case; blank keys fit nothing. Null sentences have no terms."""
+    index = written(index_of(terms), "glossary-index")
+    lengths = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # 1 to Q
     low = sentences.select(*KEYS, F.lower(text).alias("_low"))
-    index = sent_if_small(table := written(index_of(low, terms), "glossary-index"), "word", "key", limit=limit)
-    words_of = F.explode(F.array_distinct(spaced(F.col("_low")))).alias("word")
-    fits = F.col("_low").contains(F.col("key"))
-    if index is not table:
-        return low.select("*", words_of).join(index, "word").filter(fits).select(*KEYS, "key").distinct()
-    candidates = low.select(*KEYS, words_of).join(index, "word").select(*KEYS, "key").distinct()
-    return low.join(candidates, KEYS).filter(fits).select(*KEYS, "key")
+    if not lengths:
+        return low.select(*KEYS, F.col("_low").alias("key")).limit(0)
+    shards = -(-octets(index, "gram", "key") // limit)
+    spelt = low.select("*", F.explode(F.concat(*[grams(F.col("_low"), n) for n in lengths])).alias("gram"))
+    dealt = [index] if shards <= 1 else [index.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == k) for k in range(shards)]
+    found = [spelt.join(F.broadcast(part), "gram").filter(F.col("_low").contains(F.col("key"))).select(*KEYS, "key") for part in dealt]
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def keyed(terms: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a table that may be sent to every executor.
+#: Bytes of a table that may be sent to every executor at once.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -47,8 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sent_if_small(table: DataFrame, *texts: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table, marked to be sent to every executor if its rows, counted, take ``limit`` bytes at most; ``texts``: its string columns. Otherwise joins shuffle it."""
+def octets(table: DataFrame, *texts: str) -> int:
+    """Bytes that the rows of a written table take, counted; ``texts``: its string columns."""
     width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(table.columns)))
-    size = table.agg(F.sum(width.cast("long")).alias("n")).head().n or 0
-    return F.broadcast(table) if size <= limit else table
+    return table.agg(F.sum(width.cast("long")).alias("n")).head().n or 0

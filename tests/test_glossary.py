@@ -45,11 +45,20 @@ def test_short_and_random_terms(spark):
     assert sorted((r.doc_id, r.key) for r in got.collect()) == want
 
 
-def test_large_indexes_are_shuffled(sentences, terms):
-    small, large = (sorted(map(tuple, G.matches(sentences, G.keyed(terms), limit=n).collect())) for n in (G.BROADCAST_BYTES, 0))
+def test_large_indexes_come_in_shards(sentences, terms):
+    small, large = (sorted(map(tuple, G.matches(sentences, G.keyed(terms), limit=n).collect())) for n in (G.BROADCAST_BYTES, 100))
     assert small == large != []
 
 
+def test_terms_longer_than_a_gram(spark):
+    rng = random.Random(7)
+    make = lambda n: "".join(rng.choice("ab 🙂é") for _ in range(n))
+    texts = [make(60) for _ in range(60)]
+    t = sorted({x[i : i + n].strip() for x in texts for i, n in [(rng.randrange(50), rng.randrange(1, 14))]} | {"never in the text"})
+    got = G.matches(spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "doc_id long, idx int, sentence string"), spark.createDataFrame([(x,) for x in t], "key string"))
+    assert sorted((r.doc_id, r.key) for r in got.collect()) == sorted((i, x) for i, text in enumerate(texts) for x in t if x and x in text)
+
+
 def test_longest_first(sentences, terms):
     got = {}
     for r in G.longest_matches(sentences, terms, 3).orderBy("rank").collect():
