@@ -20,6 +20,22 @@ ADVERBS = (
 
 SKIP_TOKENS = ("FIG", "Fig", "Anspruch", "Ansprüche", "Abs", "Nr", "Bsp", "DE", "EP", "WO", "US", "PCT")
 
+FROZEN_EXPRESSIONS = ("Wesentlichen", "Folgenden", "Allgemeinen", "Besonderen", "Einzelnen", "Übrigen", "Weiteren", "Vorstehenden", "Nachstehenden", "Obigen", "Untenstehenden")
+
+#: German words that open sentences and are no nouns.
+FUNCTION_WORDS = tuple(
+    "Der Die Das Ein Eine Eines Einem Einen Einer Dieser Diese Dieses Diesem Diesen Jeder Jede Jedes Jedem Jeden Welcher Welche Welches Welchem Welchen Alle Aller Allen Allem Einige Einiger Einigen Einigem Andere "
+    "Anderer Anderen Anderem Anderes Mehrere Mehrerer Mehreren Solcher Solche Solches Solchem Solchen Dabei Dadurch Dafür Dagegen Daher Dahin Damit Danach Daneben Darin Darüber Darum Darunter Darauf Daraus Davon Davor "
+    "Dazu Hierbei Hierdurch Hierfür Hierzu Hierin Ferner Weiterhin Außerdem Insbesondere Vorzugsweise Bevorzugt Gemäß Erfindungsgemäß Beispielsweise Somit Jedoch Zudem Wobei Wenn Weil Obwohl Während Nachdem Bevor Es Er "
+    "Sie Wir Ihr Man Auch Nur Noch Schon Sehr Nicht Wie Was Wer Wo Wann Warum Oder Und Aber Denn Sondern Im In An Auf Aus Bei Mit Nach Von Vor Zu Über Unter Zwischen Durch Für".split()
+)
+
+ENGLISH_FUNCTION_WORDS = tuple(
+    "The This That These Those Which Where When What Who How Each Every Some Any All Most Many Much Few Several Other Another Both Either Neither Such Same Own Here There Thus Then Also Only Just More Less Very Least "
+    "Rather Quite However Therefore Furthermore Moreover Nevertheless According Although Because Since While During After Before Between Within Without Through Into From With For About Above Below Said Wherein Whereby "
+    "Herein Thereof Therein Preferably Alternatively Specifically Generally".split()
+)
+
 ENGLISH_STOPWORDS = tuple(
     "the a an of to in for on at by with from as is are was were be been being has have had do does did will would could should may might can shall must and or but not no if then than that this these "
     "those which who whom what where when how it its he she they we you also so very just more most such only each one two said".split()

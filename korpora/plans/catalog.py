@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.plans import corpus, evaluation, glossary, mining, segments, sessions, terms
+from korpora.plans import corpus, evaluation, glossary, mining, parsing, segments, sessions, terms
 
-MODULES = (terms, corpus, segments, evaluation, sessions, glossary, mining)
+MODULES = (terms, corpus, segments, evaluation, sessions, glossary, mining, parsing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
