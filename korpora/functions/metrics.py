@@ -1,13 +1,15 @@
-"""Text metrics: edit distance, TER, matching blocks ratio, BLEU and chrF statistics."""
+"""Text metrics: edit distance, TER, matching blocks ratio, BLEU and chrF statistics. What built-in functions lack runs in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def tokens(text: Column) -> Column:
@@ -15,14 +17,45 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays inside the JVM: each distinct word becomes one character, so the distance of the strings is that of the arrays."""
-
-    def coded(words: Column, distinct: Column) -> Column:
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(distinct, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
-
-    both = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("w")))
-    return F.transform(both, lambda x: F.levenshtein(coded(x["a"], x["w"]), coded(x["b"], x["w"])))[0]
+def distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance, a column of the table at a time: differences between neighbouring cells are the bits of two integers as long as the shorter sequence."""
+    if len(a) > len(b):
+        a, b = b, a
+    start, end = 0, 0
+    while start < len(a) and a[start] == b[start]:
+        start += 1
+    while end < len(a) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not len(a):
+        return len(b)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places.setdefault(w, []).append(i)
+    size = len(a) + 7 >> 3
+    equal = {}
+    for w, own in places.items():
+        bits = bytearray(size)
+        for i in own:
+            bits[i >> 3] |= 1 << (i & 7)
+        equal[w] = int.from_bytes(bits, "little")
+    every, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for w in b:
+        e = equal.get(w, 0)
+        x = e | down
+        h = ((e & up) + up ^ up) | e
+        more, less = down | every & ~(h | up), up & h
+        score += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | every & ~(x | more), more & x
+    return score
+
+
+@F.pandas_udf(IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two arrays; null if one is."""
+    return pd.Series([None if x is None or y is None else distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def ter(hypothesis: Column, reference: Column) -> Column:
@@ -31,33 +64,176 @@ def ter(hypothesis: Column, reference: Column) -> Column:
     return F.when(F.size(r) == 0, F.lit(1.0)).otherwise(edit_distance(h, r) / F.size(r))
 
 
+class Blocks:
+    """Matching blocks of two texts: the longest one first (the earliest in ``a``, then in ``b``), then those to its left and right.
+
+    In a ``b`` of 200 characters or more those that make up over a hundredth of it start no block, they only extend one. What can start a block is compared pair by pair where pairs are few, else
+    by a suffix automaton of that part of ``b``, whose work is linear.
+    """
+
+    def __init__(self, a: str, b: str):
+        self.a, self.b = a, b
+        at: dict[str, list[int]] = {}
+        for j, c in enumerate(b):
+            at.setdefault(c, []).append(j)
+        # The standard library's rule for popular characters.
+        if len(b) >= 200:
+            most = len(b) // 100 + 1
+            at = {c: own for c, own in at.items() if len(own) <= most}
+        self.at = at
+        self.telling = [i for i, c in enumerate(a) if c in at]
+
+    def matching(self) -> int:
+        """Characters in blocks."""
+        total, open_parts = 0, [(0, len(self.a), 0, len(self.b))]
+        while open_parts:
+            alo, ahi, blo, bhi = open_parts.pop()
+            i, j, n = self.longest(alo, ahi, blo, bhi)
+            if n:
+                total += n
+                if alo < i and blo < j:
+                    open_parts.append((alo, i, blo, j))
+                if i + n < ahi and j + n < bhi:
+                    open_parts.append((i + n, ahi, j + n, bhi))
+        return total
+
+    def longest(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        a, b = self.a, self.b
+        places = self.telling[bisect_left(self.telling, alo) : bisect_left(self.telling, ahi)]
+        pairs = sum(len(self.at[a[i]]) for i in places)
+        i, j, n = (self.by_pairs if pairs <= 16 * (len(places) + bhi - blo) else self.by_automaton)(places, alo, blo, bhi)
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
+            n += 1
+        return i, j, n
+
+    def by_pairs(self, places: list[int], alo: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        best, before, last = (alo, blo, 0), {}, -2
+        for i in places:
+            own = self.at[self.a[i]]
+            now = {}
+            if i != last + 1:
+                before = {}
+            for k in range(bisect_left(own, blo), bisect_left(own, bhi)):
+                j = own[k]
+                n = now[j] = before.get(j - 1, 0) + 1
+                if n > best[2]:
+                    best = (i - n + 1, j - n + 1, n)
+            before, last = now, i
+        return best
+
+    def by_automaton(self, places: list[int], alo: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        follow, link, length, first = [{}], [-1], [0], [-1]
+        state = 0
+        for j in range(blo, bhi):
+            c = self.b[j] if self.b[j] in self.at else j  # a place of its own separates
+            new = len(length)
+            follow.append({})
+            length.append(length[state] + 1)
+            first.append(j)
+            link.append(0)
+            p = state
+            while p >= 0 and c not in follow[p]:
+                follow[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = follow[p][c]
+                if length[q] == length[p] + 1:
+                    link[new] = q
+                else:
+                    copy = len(length)
+                    follow.append(dict(follow[q]))
+                    length.append(length[p] + 1)
+                    first.append(first[q])
+                    link.append(link[q])
+                    while p >= 0 and follow[p].get(c) == q:
+                        follow[p][c] = copy
+                        p = link[p]
+                    link[q] = link[new] = copy
+            state = new
+        best, state, n, last = (alo, blo, 0), 0, 0, -2
+        for i in places:
+            if i != last + 1:
+                state = n = 0
+            c = self.a[i]
+            while state and c not in follow[state]:
+                state = link[state]
+                n = length[state]
+            if c in follow[state]:
+                state, n = follow[state][c], n + 1
+            if n > best[2]:
+                best = (i - n + 1, first[state] - n + 1, n)
+            last = i
+        return best
+
+
+def ratio(a: str, b: str) -> float:
+    return 2 * Blocks(a, b).matching() / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters, by longest matching blocks (lower case). No built-in has this."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Twice the matching characters over all characters, by longest matching blocks (lower case); null if one is."""
+    return pd.Series([None if x is None or y is None else 1.0 if x == y else ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+class Grams:
+    """The n-grams of many sequences at once, in columns: numbers of symbols, one after the other, and the sequence that each belongs to."""
+
+    def __init__(self, sequences: list, symbols: np.ndarray):
+        self.lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        self.row = np.repeat(np.arange(len(sequences)), self.lengths)
+        self.symbols = symbols
+        self.kinds = int(symbols.max(initial=0)) + 1
+        self.gram, self.n, self.most = symbols, 1, self.kinds
+
+    def longer(self) -> None:
+        """From n-grams to n + 1."""
+        if self.most * self.kinds >= 1 << 62:
+            values, self.gram = np.unique(self.gram, return_inverse=True)
+            self.most = len(values)
+        # A gram ends where the next symbol is of the same sequence.
+        self.gram = self.gram[:-1] * self.kinds + self.symbols[self.n :]
+        self.most *= self.kinds
+        self.n += 1
+
+    def matches(self) -> np.ndarray:
+        """Of sequences 2 k and 2 k + 1 the grams in common, by count, for each k."""
+        size = len(self.gram)
+        whole = self.row[:size] == self.row[self.n - 1 :]
+        gram, row = self.gram[whole], self.row[:size][whole]
+        order = np.lexsort((row, gram, row >> 1))
+        gram, row = gram[order], row[order]
+        start = np.flatnonzero(np.diff(gram, prepend=-1) | np.diff(row, prepend=-1)) if len(gram) else np.zeros(0, np.int64)
+        count, gram, row = np.diff(start, append=len(row)), gram[start], row[start]
+        # A gram of both is two runs side by side, the hypothesis first.
+        both = np.flatnonzero((gram[1:] == gram[:-1]) & (row[1:] == row[:-1] + 1) & (row[1:] & 1 == 1))
+        return np.bincount(row[both] >> 1, np.minimum(count[both], count[both + 1]), len(self.lengths) // 2).astype(np.int64)
 
 
 def ngram_statistics(pairs: DataFrame, hypothesis: str, reference: str, *keep: str) -> DataFrame:
-    """Per row the clipped matches and totals of word 1- to 4-grams and of character 1- to 6-grams (white space dropped), to be summed for a corpus."""
+    """Per row the clipped matches and totals of word 1- to 4-grams and of character 1- to 6-grams (white space dropped), to be summed for a corpus. Null texts count as empty."""
     types = dict(pairs.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keep] + ["hyp_len long, ref_len long, matches array<long>, totals array<long>, char_matches array<long>, char_hyp array<long>, char_ref array<long>"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        def grams(x, n):
-            return Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
-
         for pdf in batches:
-            rows = []
-            for h, r in zip(pdf[hypothesis].fillna(""), pdf[reference].fillna(""), strict=True):
-                hw, rw, hc, rc = h.split(), r.split(), "".join(h.split()), "".join(r.split())
-                word = [(sum((grams(hw, n) & grams(rw, n)).values()), max(len(hw) - n + 1, 0)) for n in range(1, 5)]
-                char = [(sum((grams(hc, n) & grams(rc, n)).values()), max(len(hc) - n + 1, 0), max(len(rc) - n + 1, 0)) for n in range(1, 7)]
-                rows.append((len(hw), len(rw), *map(list, zip(*word, strict=True)), *map(list, zip(*char, strict=True))))
-            out = pd.DataFrame(rows, columns=["hyp_len", "ref_len", "matches", "totals", "char_matches", "char_hyp", "char_ref"])
+            texts = [t.split() for pair in zip(pdf[hypothesis].fillna(""), pdf[reference].fillna(""), strict=True) for t in pair]
+            number: dict[str, int] = {}
+            words = Grams(texts, np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64))
+            joined = ["".join(t) for t in texts]
+            chars = Grams(joined, np.unique(np.frombuffer("".join(joined).encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64))
+            found = []
+            for grams, most in ((words, 4), (chars, 6)):
+                own = [grams.matches()]
+                for _ in range(1, most):
+                    grams.longer()
+                    own.append(grams.matches())
+                totals = np.maximum(grams.lengths[:, None] - np.arange(most), 0)
+                found.append((np.stack(own, 1), totals[::2], totals[1::2]))
+            (match, total, _), (char_match, char_hyp, char_ref) = found
+            out = pd.DataFrame({"hyp_len": words.lengths[::2], "ref_len": words.lengths[1::2], "matches": list(match), "totals": list(total), "char_matches": list(char_match), "char_hyp": list(char_hyp), "char_ref": list(char_ref)})
             yield pd.concat([pdf[list(keep)].reset_index(drop=True), out], axis=1)
 
     return pairs.select(*keep, hypothesis, reference).mapInPandas(work, schema)

@@ -220,6 +220,19 @@ def three_stage_terms(spark, d):
     return T.three_stage_lookup(german_sentences(spark, d), V.GLOSSARY)
 
 
+def bleu_chrf_sql() -> str:
+    """Words and characters of both texts, grams by place, clipped counts a pair, sums a domain."""
+    words = lambda c: rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> '')"
+    grams = lambda side, kind, unit: f"SELECT id, '{side}' AS side, '{kind}' AS kind, n, array_to_string({unit}[i:i + n - 1], chr(30)) AS g FROM (SELECT id, n, {unit}, unnest(range(1, len({unit}) - n + 2)) AS i FROM t, (SELECT unnest(range(1, {5 if kind == 'w' else 7})) AS n))"
+    return f"""WITH {V.TRANSLATED}, w AS (SELECT id, {words("mt")} AS hw, {words("ref")} AS rw FROM translated), t AS (SELECT *, list_filter(string_split(array_to_string(hw, ''), ''), lambda x: x <> '') AS hc, list_filter(string_split(array_to_string(rw, ''), ''), lambda x: x <> '') AS rc FROM w),
+g AS ({" UNION ALL ".join(grams(s, k, s + k) for s in "hr" for k in "wc")}), c AS (SELECT id, side, kind, n, g, count(*) AS k FROM g GROUP BY ALL),
+m AS (SELECT h.id, h.kind, h.n, sum(least(h.k, r.k)) AS m FROM c h JOIN c r ON h.side = 'h' AND r.side = 'r' AND h.id = r.id AND h.kind = r.kind AND h.n = r.n AND h.g = r.g GROUP BY ALL),
+total AS (SELECT id % 3 AS domain, kind, n, count(*) FILTER (side = 'h') AS hyp, count(*) FILTER (side = 'r') AS ref FROM g GROUP BY ALL), match AS (SELECT id % 3 AS domain, kind, n, sum(m) AS m FROM m GROUP BY ALL),
+s AS (SELECT domain, kind, n, hyp, ref, coalesce(m, 0) AS m FROM total LEFT JOIN match USING (domain, kind, n)), l AS (SELECT id % 3 AS domain, count(*) AS n_segments, sum(len(hw)) AS h, sum(len(rw)) AS r FROM t GROUP BY 1),
+b AS (SELECT domain, CASE WHEN min(m) > 0 AND count(*) = 4 THEN exp(avg(ln(m / hyp))) ELSE 0 END AS p FROM s WHERE kind = 'w' GROUP BY 1), f AS (SELECT domain, sum(CASE WHEN m > 0 THEN 5 * (m / hyp) * (m / ref) / (4 * (m / hyp) + m / ref) ELSE 0 END) / 6 AS f FROM s WHERE kind = 'c' GROUP BY 1)
+SELECT domain, n_segments, 100 * p * CASE WHEN h < r THEN exp(1 - r / h) ELSE 1 END AS bleu, 100 * f AS chrf FROM l JOIN b USING (domain) JOIN f USING (domain)"""
+
+
 GER_SENT = SENTENCES_SQL.replace("FROM documents)", "FROM documents WHERE lang = 'de')")
 QUERIES = {
     "corpus_filter_reasons": (corpus_filter_reasons, f"WITH {V.PAIRS} SELECT {REASON} AS reject_reason, count(*) AS n FROM pairs GROUP BY 1"),
@@ -266,7 +279,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY (doc_id * 26544357
     "adaptive_threshold": (adaptive_threshold, f"WITH {SENTENCES_SQL} SELECT doc_id, greatest(2, least(8, round_even(count(*) / 20, 0)))::INT AS threshold FROM sentences GROUP BY doc_id"),
     "word_edit_distance": (word_edit_distance, None),
     "diff_ratio": (diff_ratio, None),
-    "bleu_chrf": (bleu_chrf, None),
+    "bleu_chrf": (bleu_chrf, bleu_chrf_sql()),
     "variant_clusters": (variant_clusters, None),
     "three_stage_terms": (three_stage_terms, None),
 }
