@@ -24,14 +24,14 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 
 def reject_reason(src: Column, ref: Column, shortest: int = 10, longest: int = 500, letters: float = 0.4, ratio: tuple[float, float] = (0.3, 3.0)) -> Column:
-    """The first rule that a pair breaks, null if it breaks none."""
-    s, r = F.coalesce(src, F.lit("")), F.coalesce(ref, F.lit(""))
+    """The first rule that a pair breaks, null if it breaks none. White space at the ends doesn't count."""
+    s, r = strip(F.coalesce(src, F.lit(""))), strip(F.coalesce(ref, F.lit("")))
     return (
-        F.when((strip(s) == "") | (strip(r) == ""), "empty")
+        F.when((s == "") | (r == ""), "empty")
         .when((F.length(s) < shortest) | (F.length(r) < shortest), "too_short")
         .when((F.length(s) > longest) | (F.length(r) > longest), "too_long")
         .when(letter_share(s) < letters, "mostly_numbers")
-        .when(F.lower(strip(s)) == F.lower(strip(r)), "identical")
+        .when(F.lower(s) == F.lower(r), "identical")
         .when((length_ratio(s, r) > ratio[1]) | (length_ratio(s, r) < ratio[0]), "length_ratio")
     )
 

@@ -108,9 +108,9 @@ def unscored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.lit(0.75)).withColumn("triage", F.lit("review"))
 
 
-def session_log(translations: DataFrame, confirmed: DataFrame, qe: DataFrame, document: str = "unknown") -> DataFrame:
-    """Events of a session: the confirmed segments, with what quality estimation said where it said anything. Of an index's repeated ratings the greatest counts."""
-    rated = qe.groupBy("index").agg(F.max(F.struct("rating", "error_category")).alias("q"))
+def session_log(translations: DataFrame, confirmed: DataFrame, qe: DataFrame, order: str, document: str = "unknown") -> DataFrame:
+    """Events of a session: the confirmed segments, with what quality estimation said where it said anything. Of an index's repeated ratings the last by column ``order`` counts."""
+    rated = qe.groupBy("index").agg(F.max_by(F.struct("rating", "error_category"), order).alias("q"))
     rows = translations.join(confirmed.filter("confirmed_text IS NOT NULL").select("index", "confirmed_text"), "index").join(rated, "index", "left")
     return rows.select(
         "index", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("translation", F.lit("")).alias("original"), F.col("confirmed_text").alias("final"),

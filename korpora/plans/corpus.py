@@ -15,9 +15,9 @@ from korpora.session import table
 L = r"[^a-zA-ZäöüÄÖÜß]"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 S, R = STRIP.format("src"), STRIP.format("ref")
-REASON = rf"""CASE WHEN {S} = '' OR {R} = '' THEN 'empty' WHEN length(src) < 10 OR length(ref) < 10 THEN 'too_short' WHEN length(src) > 500 OR length(ref) > 500 THEN 'too_long'
-  WHEN length(regexp_replace(src, '{L}', '', 'g')) / length(src) < 0.4 THEN 'mostly_numbers' WHEN lower({S}) = lower({R}) THEN 'identical'
-  WHEN length(src) / length(ref) > 3.0 OR length(src) / length(ref) < 0.3 THEN 'length_ratio' END"""
+REASON = rf"""CASE WHEN {S} = '' OR {R} = '' THEN 'empty' WHEN length({S}) < 10 OR length({R}) < 10 THEN 'too_short' WHEN length({S}) > 500 OR length({R}) > 500 THEN 'too_long'
+  WHEN length(regexp_replace({S}, '{L}', '', 'g')) / length({S}) < 0.4 THEN 'mostly_numbers' WHEN lower({S}) = lower({R}) THEN 'identical'
+  WHEN length({S}) / length({R}) > 3.0 OR length({S}) / length({R}) < 0.3 THEN 'length_ratio' END"""
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
 
 
@@ -67,11 +67,6 @@ def compound_parts(spark, d):
 LINK_SQL = ", ".join(f"'{x}'" for x in T.LINKS)
 
 
-def term_clean_filter(spark, d):
-    term = F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 250).cast("int"))
-    return table(spark, d, "documents").select("doc_id", C.clean_term(term).alias("term")).filter("term IS NOT NULL")
-
-
 def sentence_align(spark, d):
     s = table(spark, d, "documents").select("doc_id", "lang", X.sentences(F.col("text")).alias("s"))
     nxt = s.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("s").alias("t"))
@@ -247,8 +242,6 @@ s AS (SELECT stem, base, sum(n)::BIGINT AS frequency, list_sort(list(DISTINCT to
 r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY frequency DESC, stem) AS k FROM s) SELECT base, frequency, array_to_string(forms, ',') AS forms FROM r WHERE k = 1 AND frequency >= 3"""),
     "compound_parts": (compound_parts, f"""WITH {V.GERMAN}, w AS (SELECT DISTINCT token FROM tokens WHERE length(token) >= 8), c AS (SELECT token, unnest(range(4, length(token) - 3)) AS i FROM w),
 p AS (SELECT token, substr(token, i + 1) AS part FROM c UNION SELECT token, substr(token, 1, i - length(x)) FROM c, (SELECT unnest([{LINK_SQL}]) AS x) WHERE suffix(substr(token, 1, i), x) AND i - length(x) >= 4) SELECT token, part FROM p"""),
-    "term_clean_filter": (term_clean_filter, r"""WITH t AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, doc_id % 250), '\s+', ' ', 'g')) AS term FROM documents)
-SELECT doc_id, term FROM t WHERE length(term) BETWEEN 2 AND 200 AND length(regexp_replace(term, '[^\p{L}]', '', 'g')) / length(term) >= 0.4"""),
     "sentence_align": (sentence_align, f"""WITH {SENTENCES_SQL}, j AS (SELECT a.doc_id, a.s AS s, b.s AS t FROM kept a JOIN kept b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang WHERE len(a.s) > 0 AND len(b.s) > 0 AND abs(len(a.s) - len(b.s)) <= 1)
 SELECT doc_id, i::INT AS idx, s[i + 1] AS src, t[i + 1] AS ref FROM (SELECT *, unnest(range(least(len(s), len(t)))) AS i FROM j)"""),
     "source_distribution": (source_distribution, "SELECT substr(source, 1, 4) AS class, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, class LIMIT 10"),

@@ -134,11 +134,6 @@ def conditional_counts(spark, d):
     return t.agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") > 1000).alias("long"), F.count_if(F.col("text").contains("#")).alias("marked"), F.countDistinct("source").alias("sources"), F.count_if(F.col("lang").isNull()).alias("no_lang"))
 
 
-def listed_terms(spark, d):
-    t = F.regexp_replace(F.substring("text", 1, 60), " ", "/")
-    return table(spark, d, "benchmark").select("item_id", F.explode(X.listed(t)).alias("part"))
-
-
 def term_hints(spark, d):
     s = table(spark, d, "documents").filter("lang = 'de'")
     pairs = F.filter(F.array(*[F.struct(F.lit(a).alias("de"), F.lit(b).alias("en")) for a, b in V.GLOSSARY]), lambda g: F.lower("text").contains(g["de"]))
@@ -167,7 +162,6 @@ SELECT base, sum(n)::BIGINT AS frequency, array_to_string(list_sort(list(DISTINC
     "experiments": (experiments, "SELECT item_id, (length(text) % 40)::DOUBLE AS bleu, (item_id % 3 * 10)::DOUBLE AS baseline, CASE WHEN item_id % 3 <> 0 THEN (length(text) % 40)::DOUBLE - (item_id % 3 * 10) END AS delta FROM benchmark"),
     "proposals_decided": (proposals_decided, """SELECT 'r' || item_id AS rule_name, CASE WHEN item_id % 5 = 0 THEN 'applied' WHEN item_id % 10 = 3 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN item_id % 10 = 3 THEN '2024-01-01' END AS decided_at FROM benchmark"""),
     "conditional_counts": (conditional_counts, "SELECT count(*) AS total, count(*) FILTER (n_chars > 1000) AS long, count(*) FILTER (contains(text, '#')) AS marked, count(DISTINCT source) AS sources, count(*) FILTER (lang IS NULL) AS no_lang FROM documents"),
-    "listed_terms": (listed_terms, "SELECT item_id, part FROM (SELECT item_id, trim(unnest(string_split(replace(replace(substr(text, 1, 60), ' ', '/'), '/', ','), ','))) AS part FROM benchmark) WHERE part <> ''"),
     "term_hints": (term_hints, f"""WITH g(k, de, en) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(V.GLOSSARY))}) SELECT doc_id, coalesce(' || terms: ' || string_agg(de || '=' || en, '; ' ORDER BY k), '') AS hint FROM (SELECT * FROM documents WHERE lang = 'de') LEFT JOIN g ON contains(lower(text), de) GROUP BY doc_id"""),
     "reliabilities": (reliabilities, f"SELECT CASE WHEN consistency > 0.8 THEN 5 ELSE 3 END AS reliability, count(*) AS n FROM ({COOCCURRENCE}) GROUP BY 1"),
     "split_carved": (split_carved, f"""WITH {SPLIT}, a AS (SELECT doc_id, CASE WHEN k <= floor(n * 0.9) THEN 'train' WHEN k <= floor(n * 0.9) + floor(n * 0.05) THEN 'val' ELSE 'test' END AS split FROM r), c AS (SELECT count(*) FILTER (split = 'val') AS v, count(*) FILTER (split = 'train') AS t FROM a),

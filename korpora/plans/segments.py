@@ -67,22 +67,14 @@ def system_compare(spark, d):
     return out.withColumn("avg_d", F.round("avg_d", 6)).withColumn("avg_a", F.round("avg_a", 6))
 
 
-def review(spark, d, translation: str = "substring(text, 1, 80)") -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.expr(translation).alias("translation"))
+def review(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("translation"))
     confirmed = docs.filter("index % 6 = 0").select("index", F.when(F.col("index") % 12 == 0, "").otherwise(F.lower("translation")).alias("confirmed_text"))
     return T.review_rows(docs, V.ratings(spark, d), confirmed)
 
 
-REVIEW = f"""{V.RATINGS}, review AS (SELECT d.doc_id AS "index", substr(d.text, 1, 80) AS translation, coalesce(rating, 'minor') AS rating, {V.BUCKET} AS triage, d.doc_id % 6 = 0 AS confirmed,
-  CASE WHEN d.doc_id % 6 = 0 AND d.doc_id % 12 <> 0 THEN lower(substr(d.text, 1, 80)) ELSE substr(d.text, 1, 80) END AS final FROM documents d LEFT JOIN ratings r ON r."index" = d.doc_id)"""
-
-
-def review_queue(spark, d):
-    return T.review_view(review(spark, d), "needs_review").select("index", "rating", "triage", "final")
-
-
-def review_red(spark, d):
-    return T.review_view(review(spark, d), "red_only").select("index", "final", T.colour(F.col("rating")).alias("colour"))
+REVIEW = f"""{V.RATINGS}, review AS (SELECT d.doc_id AS "index", d.text AS translation, coalesce(rating, 'minor') AS rating, {V.BUCKET} AS triage, d.doc_id % 6 = 0 AS confirmed,
+  CASE WHEN d.doc_id % 6 = 0 AND d.doc_id % 12 <> 0 THEN lower(d.text) ELSE d.text END AS final FROM documents d LEFT JOIN ratings r ON r."index" = d.doc_id)"""
 
 
 def review_progress(spark, d):
@@ -178,7 +170,7 @@ def changed_flags(spark, d):
 def mt_updates(spark, d):
     """Rows updated by key where there is an update."""
     r = V.pairs(spark, d).select("id", F.lit(None).cast("string").alias("mt"))
-    new = V.pairs(spark, d).filter("id % 2 = 0").select("id", F.substring("ref", 1, 10).alias("mt"))
+    new = V.pairs(spark, d).filter("id % 2 = 0").select("id", F.col("ref").alias("mt"))
     return update_column(r, new, "id", "mt").groupBy(F.col("mt").isNull().alias("open")).agg(F.count("*").alias("n"))
 
 
@@ -223,7 +215,7 @@ def report_rows(spark, d):
     """Segments of a rendered report, read back: a running count of headers is the segment."""
     from pyspark.sql import Window
 
-    lines = review(spark, d, "text").select("index", F.explode(F.array(F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), F.upper("triage")), F.concat(F.lit("EN: "), F.col("final")))).alias("line"))
+    lines = review(spark, d).select("index", F.explode(F.array(F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), F.upper("triage")), F.concat(F.lit("EN: "), F.col("final")))).alias("line"))
     lines = lines.withColumn("k", F.when(F.col("line").startswith("["), 0).otherwise(1))
     seg = F.count_if(F.col("k") == 0).over(Window.partitionBy(F.floor(F.col("index") / 100)).orderBy("index", "k"))
     part = lines.withColumn("block", F.floor(F.col("index") / 100)).withColumn("seg", seg)
@@ -245,8 +237,6 @@ SELECT count(*) AS compared, count(*) FILTER (y < x) AS improved, count(*) FILTE
 SELECT error_category, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(b, 0) - coalesce(a, 0) AS delta FROM x FULL JOIN y USING (error_category)"""),
     "system_compare": (system_compare, f"""WITH {SCORES} SELECT round(avg(d), 6) AS avg_d, round(avg(a), 6) AS avg_a, count(*) FILTER (a > d) AS improved, count(*) FILTER (abs(a - d) < 0.01) AS same, count(*) FILTER (a < d - 0.01) AS worse, count(*) FILTER (a >= d + 0.01) AS improved_clearly,
   count(*) FILTER (a >= 0.82 AND d < 0.82) AS upgraded, count(*) FILTER (a < 0.82 AND d >= 0.82) AS downgraded, count(*) FILTER (a >= 0.82 AND d < 0.82) - count(*) FILTER (a < 0.82 AND d >= 0.82) AS net FROM scores"""),
-    "review_queue": (review_queue, f"""WITH {REVIEW} SELECT "index", rating, triage, final FROM review WHERE triage <> 'green' AND NOT confirmed"""),
-    "review_red": (review_red, f"""WITH {REVIEW} SELECT "index", final, CASE rating WHEN 'good' THEN 'green' WHEN 'minor' THEN 'orange' ELSE 'red' END AS colour FROM review WHERE triage = 'red'"""),
     "review_progress": (review_progress, f"""WITH {REVIEW} SELECT count(*) AS total, count(*) FILTER (confirmed) AS confirmed, count(*) FILTER (confirmed OR triage = 'green') AS done, count(*) FILTER (NOT confirmed AND triage <> 'green') AS needs_review, 100.0::DOUBLE * count(*) FILTER (confirmed) / count(*) AS confirmed_pct FROM review"""),
     "feedback_rating": (feedback_rating, f"WITH {V.FEEDBACK} SELECT CASE WHEN NOT changed THEN 'good' WHEN qe_rating = 'critical' THEN 'major' ELSE 'minor' END AS rating, count(*) AS n FROM feedback GROUP BY 1"),
     "feedback_stats": (feedback_stats, f"WITH {V.FEEDBACK} SELECT count(*) AS total, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, 100.0::DOUBLE * count(*) FILTER ((qe_rating = 'good') <> changed) / count(*) AS agreement_pct FROM feedback"),

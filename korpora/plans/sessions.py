@@ -21,11 +21,11 @@ WHOLE_REVIEW = f"""{V.RATINGS}, review AS (SELECT d.doc_id AS "index", coalesce(
 
 
 def review_queue_whole(spark, d):
-    return Q.review_view(review(spark, d, "text"), "needs_review").select("index", "rating", "triage", "final")
+    return Q.review_view(review(spark, d), "needs_review").select("index", "rating", "triage", "final")
 
 
 def review_red_whole(spark, d):
-    return Q.review_view(review(spark, d, "text"), "red_only").select("index", "final", Q.colour(F.col("rating")).alias("colour"))
+    return Q.review_view(review(spark, d), "red_only").select("index", "final", Q.colour(F.col("rating")).alias("colour"))
 
 
 def term_clean_whole(spark, d):
@@ -44,7 +44,9 @@ def cooccurrence_ranked(spark, d):
 def session_log(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.col("source"), F.col("text").alias("translation"))
     confirmed = docs.filter("index % 6 = 0").select("index", F.concat(F.col("translation"), F.lit(" ok")).alias("confirmed_text"))
-    return Q.session_log(docs, confirmed, V.ratings(spark, d), "corpus")
+    first = V.ratings(spark, d)
+    rated = first.withColumn("at", F.lit(0)).unionByName(V.second_run(first).withColumn("at", F.lit(1)))
+    return Q.session_log(docs, confirmed, rated, "at", "corpus")
 
 
 def references_by_position(spark, d):
@@ -83,8 +85,9 @@ QUERIES = {
 SELECT doc_id, idx, term FROM t WHERE length(term) BETWEEN 2 AND 200 AND length(regexp_replace(term, '[^\p{{L}}]', '', 'g')) / length(term) >= 0.4"""),
     "listed_terms_whole": (listed_terms_whole, "SELECT item_id, part FROM (SELECT item_id, trim(unnest(string_split(replace(replace(text, ' ', '/'), '/', ','), ','))) AS part FROM benchmark) WHERE part <> ''"),
     "cooccurrence_ranked": (cooccurrence_ranked, f"SELECT term, partner, frequency, together, round(consistency, 6) AS consistency, round(frequency * consistency, 6) AS strength FROM ({CORPUS['cooccurrence_terms'][1]}) ORDER BY strength DESC, term, partner"),
-    "session_log": (session_log, f"""WITH {V.RATINGS} SELECT d.doc_id AS "index", coalesce(d.source, '') AS source, coalesce(d.text, '') AS original, d.text || ' ok' AS final, coalesce(rating, 'unknown') AS qe_rating, coalesce(error_category, '') AS qe_category, 'corpus' AS document
-FROM documents d LEFT JOIN ratings r ON r."index" = d.doc_id WHERE d.doc_id % 6 = 0 AND d.text IS NOT NULL"""),
+    "session_log": (session_log, f"""WITH {V.RATINGS}, {V.SECOND}, twice AS (SELECT *, 0 AS run FROM ratings UNION ALL SELECT *, 1 FROM second), q AS (SELECT *, row_number() OVER (PARTITION BY "index" ORDER BY run DESC) AS k FROM twice)
+SELECT d.doc_id AS "index", coalesce(d.source, '') AS source, coalesce(d.text, '') AS original, d.text || ' ok' AS final, coalesce(rating, 'unknown') AS qe_rating, coalesce(error_category, '') AS qe_category, 'corpus' AS document
+FROM documents d LEFT JOIN q r ON r."index" = d.doc_id AND r.k = 1 WHERE d.doc_id % 6 = 0 AND d.text IS NOT NULL"""),
     "references_by_position": (references_by_position, f"WITH {SENTENCES_SQL} SELECT a.doc_id + 1 AS doc_id, a.idx, a.sentence AS mt, coalesce(b.sentence, '(no reference available)') AS reference FROM sentences a LEFT JOIN sentences b ON b.doc_id = a.doc_id + 1 AND b.idx = a.idx"),
     "split_changed": (split_changed, f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {HASH}, doc_id) <= greatest(1, count(*) OVER () // 10) THEN 'val' ELSE 'train' END AS split FROM documents WHERE n_chars > 500"),
     "within_ter": (within_ter, f"WITH {SPLIT}, a AS (SELECT doc_id, (n_chars % 100) / 100 AS ter, CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r) SELECT doc_id, split, ter FROM a WHERE split = 'test' OR ter <= 0.5"),

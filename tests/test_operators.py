@@ -44,7 +44,7 @@ def test_compound_parts(spark):
 
 @pytest.mark.parametrize(
     "src,ref,reason",
-    [("", "x" * 20, "empty"), ("a" * 9, "b" * 20, "too_short"), ("a" * 10, "b" * 10, None), ("a" * 500, "b" * 500, None), ("a" * 501, "b" * 500, "too_long"), ("12345678ab", "b" * 10, "mostly_numbers"), ("123456abcd", "b" * 10, None), ("Gleicher Text", " gleicher text", "identical"), ("a" * 30, "b" * 10, None), ("a" * 31, "b" * 10, "length_ratio"), ("1" * 9, "b" * 10, "too_short")],
+    [("", "x" * 20, "empty"), ("a" * 9, "b" * 20, "too_short"), ("a" * 10, "b" * 10, None), ("a" * 500, "b" * 500, None), ("a" * 501, "b" * 500, "too_long"), ("12345678ab", "b" * 10, "mostly_numbers"), ("123456abcd", "b" * 10, None), ("Gleicher Text", " gleicher text", "identical"), ("a" * 30, "b" * 10, None), ("a" * 31, "b" * 10, "length_ratio"), ("1" * 9, "b" * 10, "too_short"), (" " * 8 + "a" * 8, "b" * 20, "too_short"), ("a" * 500 + "\n ", "b" * 500, None), ("\t" * 20 + "a" * 20, "b" * 20, None), (None, "b" * 20, "empty")],
 )
 def test_reject_reason(spark, src, ref, reason):
     assert spark.createDataFrame([(src, ref)], "s string, r string").select(C.reject_reason(F.col("s"), F.col("r"))).head()[0] == reason

@@ -11,9 +11,9 @@ from korpora.operators import triage as Q
 def test_session_log_keeps_confirmed_only(spark):
     t = spark.createDataFrame([(1, "a", "x"), (2, None, None), (3, "c", "z")], "index int, source string, translation string")
     c = spark.createDataFrame([(1, "X"), (2, "Y"), (3, None)], "index int, confirmed_text string")
-    q = spark.createDataFrame([(1, "minor", "grammar"), (1, "good", "none")], "index int, rating string, error_category string")
-    got = {tuple(r) for r in Q.session_log(t, c, q).collect()}
-    assert got == {(1, "a", "x", "X", "minor", "grammar", "unknown"), (2, "", "", "Y", "unknown", "", "unknown")}
+    q = spark.createDataFrame([(1, "good", "none", 1), (1, "critical", "omission", 3), (1, "minor", "grammar", 2)], "index int, rating string, error_category string, at int")
+    got = {tuple(r) for r in Q.session_log(t, c, q, "at").collect()}
+    assert got == {(1, "a", "x", "X", "critical", "omission", "unknown"), (2, "", "", "Y", "unknown", "", "unknown")}
 
 
 def test_reference_beyond_the_last(spark):
