@@ -17,6 +17,8 @@ from korpora.operators.structure import CLAUSE_DEPS, NAMES, scored
 
 KEYS = ["doc_id", "idx"]
 TOKEN = r"(?U)\w+|[.,;:!?]"
+#: Partitions of tokens for each one of sentences.
+MORE = 8
 VERBAL, NOMINAL = ("VERB", "AUX"), ("NOUN", "PROPN")
 
 # ---- a parser by rules ----
@@ -48,8 +50,10 @@ def rule_parsed(sentences: DataFrame) -> DataFrame:
         F.when(F.col("text").rlike("^[.,;:!?]$"), "PUNCT").when(low.isin(*SCONJ), "SCONJ").when((F.lag("text").over(w) == ",") & low.isin(*RELATIVE), "PRON").when(low.isin(*DET), "DET").when(low.isin(*AUX), "AUX")
         .when((F.length("text") > 4) & low.rlike(PARTICIPLE), "ADJ").when((F.length("text") > 4) & low.rlike(PRESENT), "ADJ").when((i > 0) & capital | low.rlike(NOUN_ENDS), "NOUN").when((F.length("text") >= 5) & low.rlike(VERB_ENDS), "VERB").otherwise("X")
     )
-    # Sentences are dealt out before they are taken apart: windows, and features after them, find a sentence's tokens together, and no token is shuffled.
-    t = tokens(sentences.repartition(*KEYS)).withColumn("pos", pos).withColumn("tag", F.when((F.col("pos") == "ADJ") & low.rlike(PARTICIPLE), "ADJA|VerbForm=Part").otherwise(F.col("pos")))
+    # Sentences are dealt out before they are taken apart: windows, and features after them, find a sentence's tokens together, and no token is shuffled. A sentence's tokens take
+    # about MORE times its room, so there are as many more partitions, and sorts stay in memory.
+    n = MORE * int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = tokens(sentences.repartition(n, *KEYS)).withColumn("pos", pos).withColumn("tag", F.when((F.col("pos") == "ADJ") & low.rlike(PARTICIPLE), "ADJA|VerbForm=Part").otherwise(F.col("pos")))
     verb, opener = F.col("pos").isin(*VERBAL), F.col("pos").isin("SCONJ", "PRON")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumns({"_opener": F.max(F.when(opener, i)).over(before), "_verb": F.max(F.when(verb, i)).over(before), "_noun": F.min(F.when(F.col("pos") == "NOUN", i)).over(back.rowsBetween(Window.unboundedPreceding, -1)), "_root": F.coalesce(F.min(F.when(verb, i)).over(Window.partitionBy(*KEYS)), F.lit(0))})
