@@ -20,6 +20,12 @@ ADVERBS = (
 
 SKIP_TOKENS = ("FIG", "Fig", "Anspruch", "Ansprüche", "Abs", "Nr", "Bsp", "DE", "EP", "WO", "US", "PCT")
 
+COMMON_VERBS = tuple(
+    "ist sind war waren wird werden wurde wurden hat haben hatte hatten kann können konnte konnten soll sollen sollte sollten muss müssen musste mussten darf dürfen durfte durften mag mögen mochte mochten sei seien wäre "
+    "wären würde würden sein dass wenn weil obwohl während nachdem bevor gibt geben gegeben geht gehen gegangen macht machen gemacht kommt kommen gekommen steht stehen gestanden liegt liegen gelegen zeigt zeigen gezeigt "
+    "stellt stellen gestellt findet finden gefunden bringt bringen gebracht nimmt nehmen genommen lässt lassen gelassen hält halten gehalten bleibt bleiben geblieben führt führen geführt setzt setzen gesetzt bildet bilden gebildet".split()
+)
+
 FROZEN_EXPRESSIONS = ("Wesentlichen", "Folgenden", "Allgemeinen", "Besonderen", "Einzelnen", "Übrigen", "Weiteren", "Vorstehenden", "Nachstehenden", "Obigen", "Untenstehenden")
 
 #: German words that open sentences and are no nouns.

@@ -19,6 +19,14 @@ def routed(segments: DataFrame, least: float = 0.35) -> DataFrame:
     return out.withColumn("skipped", (F.size("real_errors") == 0) & (F.size("violations") == 0))
 
 
+def corrected_where_needed(segments: DataFrame, correct, least: float = 0.35) -> DataFrame:
+    """``segments`` with ape, changed and skipped: segments with real errors or violations go through ``correct`` (rows to rows, adding ape), the others keep their translation. Every segment comes back once; where ``correct`` gives null, the translation stays."""
+    rows = routed(segments, least)
+    done = correct(rows.filter(~F.col("skipped"))).withColumn("ape", F.coalesce("ape", "translation"))
+    same = rows.filter("skipped").withColumn("ape", F.col("translation"))
+    return done.unionByName(same).withColumn("changed", ~F.col("ape").eqNullSafe(F.col("translation")))
+
+
 def preferences(rows: DataFrame) -> DataFrame:
     """One row: shares of preferred systems and mean edits; the reduction is guarded against a zero base. Columns preferred, edits_a, edits_b."""
     share = lambda k: F.coalesce(F.try_divide(100.0 * F.count_if(F.col("preferred") == k), F.count("preferred")), F.lit(0.0))

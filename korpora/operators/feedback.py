@@ -98,6 +98,26 @@ def recurring_patterns(edits: DataFrame, key: str, least: int = 3, examples: int
     return out.withColumn("status", F.when(F.col("catch_rate_ref") < 60, "NEEDS RULE").otherwise("ok")).withColumn("actionable", 100 - F.col("catch_rate_ref") >= 40)
 
 
+def report(rows: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """(part, k, line): the analysis of a feedback log as lines: totals, misses and false alarms, edit types by count, recurring types with how much of them the estimate catches. Counts come from aggregations; a type is a line.
+
+    Columns ``key``, changed, qe_rating, edit_type.
+    """
+    bad = F.col("qe_rating").isin("major", "critical")
+    totals = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("changed")).alias("same"), F.count_if("changed").alias("edited"), F.count_if(F.col("changed") & (F.col("qe_rating") == "good")).alias("missed"), F.count_if(~F.col("changed") & bad).alias("alarms"))
+    head = [("Total confirmed segments: %d", "n"), ("  Accepted as-is: %d", "same"), ("  Edited before confirming: %d", "edited"), ("QE ACCURACY:", None), ("  False negatives (QE said good, translator edited): %d", "missed"), ("  False positives (QE flagged, translator accepted as-is): %d", "alarms")]
+    first = totals.select(F.posexplode(F.array(*[F.format_string(text, F.col(c)) if c else F.lit(text) for text, c in head])).alias("k", "line"))
+    edits = rows.filter("changed")
+    types = edits.groupBy("edit_type").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "edit_type"))  # a row a type
+    second = types.select(place.alias("k"), F.format_string("  %s: %d", "edit_type", "n").alias("line"))
+    found = recurring_patterns(edits, key, least).withColumn("n", F.col("count"))
+    status = F.when(F.col("catch_rate_ref") < 60, "NEEDS RULE").otherwise("PARTIALLY COVERED")
+    third = found.select(place.alias("k"), F.format_string("  %s: %d occurrences — QE catches %.1f%% [%s]", "edit_type", "n", "catch_rate_ref", status).alias("line"))
+    parts = [x.select(F.lit(p).alias("part"), F.col("k").cast("int").alias("k"), "line") for p, x in enumerate((first, second, third))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def stratified(rows: DataFrame, key: str, targets: dict[str, int], total: int, seed: int = 42) -> DataFrame:
     """Up to the target of each rating by hash order, filled up from the rest to the total."""
     shuffled = rows.withColumn("_o", hash_order(F.col(key), seed))

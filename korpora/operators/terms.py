@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpora.functions import lexicons as W
 from korpora.functions.text import strip_suffix, words
 
 #: Endings tried in this order.
@@ -198,6 +199,15 @@ def suffix_terms(tokens: DataFrame, suffixes: tuple[str, ...], shortest: int = 6
     return fits.groupBy(adjective_base(F.col("token")).alias("base")).agg(F.sum("n").alias("frequency"), F.array_sort(F.collect_set("token")).alias("variants"))
 
 
+def technical_adjectives(tokens: DataFrame, suffixes: tuple[str, ...] = W.TECHNICAL_SUFFIXES, skip: tuple[str, ...] = W.COMMON_VERBS + W.ADVERBS, shortest: int = 6, least: int = 2) -> DataFrame:
+    """(base, frequency, variants): words with a technical suffix and more than two letters before it, as they are or without their ending, by base. Words of ``skip`` and rare ones don't count. ``variants`` are the inflected forms. Column token."""
+    fits = lambda w: F.exists(F.array(*[F.lit(s) for s in suffixes]), lambda s: w.endswith(s) & (F.length(w) > F.length(s) + 2))
+    counts = tokens.filter((F.length("token") >= shortest) & ~F.col("token").isin(*skip)).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    base = adjective_base(F.col("token"))
+    inflected = F.array_compact(F.collect_set(F.when(F.col("token") != F.col("base"), F.col("token"))))
+    return counts.filter(fits(F.col("token")) | fits(base)).withColumn("base", base).groupBy("base").agg(F.sum("n").alias("frequency"), F.array_sort(inflected).alias("variants"))
+
+
 def stem_terms(tokens: DataFrame, stems: list[tuple[str, str]], common: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """(base, frequency, forms): per stem the words that contain it, per base the best stem (not the sum)."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))

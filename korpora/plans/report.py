@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from korpora.functions import text as X
 from korpora.operators import corpora as C
+from korpora.operators import evaluation as Q
+from korpora.operators import feedback as E
 from korpora.operators import report as R
 from korpora.plans import views as V
 from korpora.plans.corpus import REASON
@@ -51,6 +53,25 @@ def corpora_concatenated(spark, d):
     return C.usable(lines, 300)
 
 
+def feedback_report(spark, d):
+    return E.report(V.feedback(spark, d), "event_id")
+
+
+def corrected_where_needed(spark, d):
+    rows = segments(spark, d).withColumn("translation", F.col("de")).withColumn("violations", F.when(F.col("n_glossary") == 3, F.array(F.lit("Nut=groove"))).otherwise(F.array().cast("array<string>")))
+    fixed = Q.corrected_where_needed(rows.drop("ape", "changed", "skipped"), lambda x: x.withColumn("ape", F.when(F.col("score") < 0.9, F.replace("translation", F.lit("e"), F.lit("E")))), least=0.8)
+    return fixed.select("doc_id", "idx", "ape", "changed", "skipped", F.size("real_errors").alias("n_errors"))
+
+
+REPORT = f"""WITH {V.FEEDBACK}, h AS (SELECT count(*) AS n, count(*) FILTER (NOT changed) AS same, count(*) FILTER (changed) AS edited, count(*) FILTER (changed AND qe_rating = 'good') AS missed, count(*) FILTER (NOT changed AND qe_rating IN ('major', 'critical')) AS alarms FROM feedback),
+l AS (SELECT [printf('Total confirmed segments: %d', n), printf('  Accepted as-is: %d', same), printf('  Edited before confirming: %d', edited), 'QE ACCURACY:', printf('  False negatives (QE said good, translator edited): %d', missed), printf('  False positives (QE flagged, translator accepted as-is): %d', alarms)] AS l FROM h),
+e AS (SELECT *, row_number() OVER (PARTITION BY edit_type ORDER BY event_id) AS r FROM feedback WHERE changed), c AS (SELECT edit_type, count(*) AS n, count(*) FILTER (qe_rating <> 'good' AND r <= 15) * 100.0::DOUBLE / count(*) AS caught FROM e GROUP BY 1)
+SELECT 0 AS part, unnest(range(len(l)))::INT AS k, unnest(l) AS line FROM l UNION ALL SELECT 1, (row_number() OVER (ORDER BY n DESC, edit_type))::INT, printf('  %s: %d', edit_type, n) FROM c
+UNION ALL SELECT 2, (row_number() OVER (ORDER BY n DESC, edit_type))::INT, printf('  %s: %d occurrences — QE catches %.1f%% [%s]', edit_type, n, caught, CASE WHEN caught < 60 THEN 'NEEDS RULE' ELSE 'PARTIALLY COVERED' END) FROM c WHERE n >= 3"""
+
+CORRECTED = f"""WITH {SEGMENTS}, r AS (SELECT doc_id, idx, de, score, len(list_filter(spans, lambda s: s.confidence >= 0.8)) AS n_errors, n_glossary = 3 AS violated FROM segments), a AS (SELECT *, n_errors = 0 AND NOT violated AS skipped FROM r),
+f AS (SELECT *, CASE WHEN NOT skipped AND score < 0.9 THEN replace(de, 'e', 'E') ELSE de END AS ape FROM a) SELECT doc_id, idx, ape, ape <> de AS changed, skipped, n_errors::INT AS n_errors FROM f"""
+
 CORPORA = f"""WITH {SENTENCES_SQL}, p AS (SELECT lang AS corpus, doc_id * 1000000 + idx AS line_no, sentence AS src, lead(sentence) OVER (PARTITION BY doc_id ORDER BY idx) AS ref FROM sentences), k AS (SELECT * FROM p WHERE ref IS NOT NULL AND {REASON} IS NULL)
 SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY line_no) AS r FROM k) WHERE r <= 300"""
 
@@ -65,6 +86,8 @@ f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR coalesce(g, 0) <> coalesce(
 m AS (SELECT doc_id, idx, min("start") AS "start", max("end") AS "end", any_value(g) AS g FROM i GROUP BY doc_id, idx, run)"""
 
 QUERIES = {
+    "feedback_report": (feedback_report, REPORT),
+    "corrected_where_needed": (corrected_where_needed, CORRECTED),
     "annotated_report": (annotated_report, f"WITH {SEGMENTS}, l AS (SELECT doc_id, idx, [{LINES}] AS l FROM segments) SELECT * FROM (SELECT doc_id, idx, unnest(range(5))::INT AS k, unnest(l) AS line FROM l) WHERE line IS NOT NULL"),
     "annotated_summary": (annotated_summary, f"""WITH {SEGMENTS} SELECT printf('Processed %d segments  |  Publish: %d (%d%%)  |  Review: %d (%d%%)  |  Full Edit: %d (%d%%)  |  APE Changed: %d (%d%%)  |  QE Passthrough: %d (%d%%)  |  Glossary forced: %d', count(*), {", ".join(f"count(*) FILTER ({c}), 100 * count(*) FILTER ({c}) // count(*)" for c in ("triage = 'PUBLISH'", "triage = 'REVIEW'", "triage = 'FULL_EDIT'", "changed", "skipped"))}, count(*) FILTER (n_glossary > 0)) AS line FROM segments"""),
     "annotated_runs": (annotated_runs, f"""WITH {SEGMENTS}, {RUNS} SELECT m.doc_id, m.idx, m."start"::INT AS "start", m."end"::INT AS "end", CASE m.g WHEN 1 THEN 'minor' WHEN 2 THEN 'major' WHEN 3 THEN 'critical' END AS severity, substr(de, m."start" + 1, m."end" - m."start") AS run FROM m JOIN segments USING (doc_id, idx)"""),
