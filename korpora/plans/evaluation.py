@@ -55,6 +55,16 @@ k AS (SELECT doc_id, list_filter(list_transform(s, lambda x: replace(x, '{X.STOP
 SELECT doc_id, unnest(range(len(s)))::INT AS idx, unnest(s) AS sentence FROM k"""
 
 
+def markers_sql() -> str:
+    """Markers may follow each other, and the pattern takes in the character before: two passes find all."""
+    letter, roman = r"(^|[^\p{L}\p{M}\p{N}_])([a-zA-Z0-9])\.[ \t\n\x0b\f\r]", r"(?i)(^|[^\p{L}\p{M}\p{N}_])(ii|iii|iv|vi|vii|viii|ix|xi|xii)\.[ \t\n\x0b\f\r]"
+    text = "t"
+    for p in (letter, letter, roman, roman):
+        text = f"regexp_replace({text}, '{p}', '\\1\\2{X.STOP} ', 'g')"
+    text = f"regexp_replace({text}, ':[ \\t\\n\\x0b\\f\\r]+([a-zA-Z0-9])\\.[ \\t\\n\\x0b\\f\\r]', ': \\1{X.STOP} ', 'g')"
+    return split_sql(W.ABBREVIATIONS).replace(" AS t FROM documents),", f" AS t FROM documents), m AS (SELECT doc_id, {text} AS t FROM d),", 1).replace("chr(30)) AS s FROM d)", "chr(30)) AS s FROM m)", 1)
+
+
 def domain_mapping(spark, d):
     from korpora.sources.readers import domain_of
 
@@ -145,7 +155,7 @@ HASH = "({0} * 2654435761 + 42) % 4294967296"
 QUERIES = {
     "sentence_split_protected": (sentence_split_protected, split_sql(W.ABBREVIATIONS)),
     "sentence_split_legal": (sentence_split_legal, split_sql(W.ABBREVIATIONS + W.ENGLISH_ABBREVIATIONS)),
-    "sentence_split_markers": (sentence_split_markers, None),
+    "sentence_split_markers": (sentence_split_markers, markers_sql()),
     "sentence_extract": (sentence_extract, EXTRACT),
     "domain_mapping": (domain_mapping, "SELECT ['patent', 'technical', 'legal', 'general'][doc_id % 4 + 1] AS domain, count(*) AS n FROM documents GROUP BY 1"),
     "medical_filter": (medical_filter, f"WITH {V.PAIRS} SELECT id FROM pairs WHERE regexp_matches(lower(ref), '{'|'.join(W.MEDICAL_STEMS + ('tion of',))}')"),

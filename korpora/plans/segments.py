@@ -262,10 +262,11 @@ SELECT doc_id, idx, batch, idx - batch * 15 AS local, batch = min(batch) OVER (P
     "changed_flags": (changed_flags, f"WITH {V.TRANSLATED} SELECT id, regexp_replace(mt, '^\\s+|\\s+$', '', 'g') <> regexp_replace(ref, '^\\s+|\\s+$', '', 'g') AS changed FROM translated"),
     "mt_updates": (mt_updates, f"WITH {V.PAIRS} SELECT id % 2 <> 0 AS open, count(*) AS n FROM pairs GROUP BY 1"),
     "text_search": (text_search, f"WITH {V.PAIRS} SELECT id FROM pairs WHERE src ILIKE '%tion%' OR ref ILIKE '%heed%'"),
-    "json_answers": (json_answers, None),
-    "numbered_answers": (numbered_answers, None),
+    "json_answers": (json_answers, f"WITH {V.RATINGS} SELECT rating, count(*) AS n FROM ratings GROUP BY rating"),
+    "numbered_answers": (numbered_answers, f"""WITH {SENTENCES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sentences)
+SELECT doc_id, idx AS local, CASE WHEN n >= 0.8 * (n + 1) THEN sentence ELSE '[' || (idx + 1) || '] ' || sentence END AS text FROM n UNION ALL SELECT doc_id, count(*)::INT, '{B.UNPARSED}' FROM sentences GROUP BY doc_id"""),
     "edit_types": (edit_types, None),
     "provider_pipeline": (provider_pipeline, None),
     "prompts": (prompts, None),
-    "report_rows": (report_rows, None),
+    "report_rows": (report_rows, f"""WITH {REVIEW} SELECT ("index" // 100)::BIGINT AS block, row_number() OVER (PARTITION BY "index" // 100 ORDER BY "index") AS seg, upper(triage) AS label, length('EN: ' || final)::INT AS chars FROM review"""),
 }

@@ -92,5 +92,6 @@ FROM documents d LEFT JOIN q r ON r."index" = d.doc_id AND r.k = 1 WHERE d.doc_i
     "split_changed": (split_changed, f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {HASH}, doc_id) <= greatest(1, count(*) OVER () // 10) THEN 'val' ELSE 'train' END AS split FROM documents WHERE n_chars > 500"),
     "within_ter": (within_ter, f"WITH {SPLIT}, a AS (SELECT doc_id, (n_chars % 100) / 100 AS ter, CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r) SELECT doc_id, split, ter FROM a WHERE split = 'test' OR ter <= 0.5"),
     "qe_skipped": (qe_skipped, "SELECT 0.75::DOUBLE AS score, 'review' AS triage, count(*) AS n FROM documents"),
-    "rule_proposals": (rule_proposals, None),
+    "rule_proposals": (rule_proposals, """SELECT doc_id, 'rule_' || doc_id AS rule_name, 'qe' AS target_prompt, 'TERMS' AS target_section, text AS rule_text, 'major' AS severity, NULL::VARCHAR AS rationale, true AS parsed FROM documents WHERE doc_id % 3 <> 2
+UNION ALL SELECT doc_id, 'auto_terms', 'qe', 'UNKNOWN', 'no object', 'minor', 'failed to parse the answer', false FROM documents WHERE doc_id % 3 = 2"""),
 }
