@@ -68,6 +68,13 @@ def violations(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     return bad.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.concat("de", F.lit("="), "en"))).alias("violations"))
 
 
+def sent_if_small(table: DataFrame, word: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table of words and their options, written, and marked to be sent to all executors if its bytes, counted, are few; otherwise joins shuffle it."""
+    kept = written(table, "glossary-words")
+    texts = kept.select(word, F.array_join(F.transform("options", lambda o: F.concat(o["de"], F.coalesce(o["en"], F.lit("")))), "").alias("options"))
+    return F.broadcast(kept) if octets(texts, word, "options") <= limit else kept
+
+
 def lookup(sentences: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
     """(doc_id, idx, rank, stage, de, en): a sentence's terms in three stages, up to ``most``, no target term twice.
 
@@ -77,13 +84,13 @@ def lookup(sentences: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
     own = keyed(terms).distinct()
     entries = F.array_sort(F.collect_list(F.struct("de", "en"))).alias("options")
     exact = own.groupBy("key").agg(entries)
-    by_lemma = own.filter(~F.col("key").contains(" ")).withColumn("lemma", lemma(F.col("key"))).groupBy("lemma").agg(entries)
+    by_lemma = sent_if_small(own.filter(~F.col("key").contains(" ")).withColumn("lemma", lemma(F.col("key"))).groupBy("lemma").agg(entries), "lemma")
     first = matches(sentences, exact).join(exact, "key").select(*KEYS, F.struct(F.lit(1).alias("stage"), (-F.length("key")).alias("a"), F.col("key").alias("b"), "options").alias("step"))
     used = sentences.select(*KEYS, F.posexplode(words(F.lower("sentence"))).alias("pos", "word"))
     second = used.withColumn("lemma", lemma(F.col("word"))).join(by_lemma, "lemma").select(*KEYS, F.struct(F.lit(2).alias("stage"), F.col("pos").alias("a"), F.lit("").alias("b"), "options").alias("step"))
     # A word's parts don't depend on its place: they are looked up once a distinct word.
     split = used.filter("length(word) >= 8").select("word").distinct().select("word", F.explode(compound_parts(F.col("word"))).alias("part"))
-    whole = split.withColumn("lemma", lemma(F.col("part"))).join(by_lemma, "lemma").groupBy("word").agg(F.min(F.struct("part", "options")).getField("options").alias("options"))
+    whole = sent_if_small(split.withColumn("lemma", lemma(F.col("part"))).join(by_lemma, "lemma").groupBy("word").agg(F.min(F.struct("part", "options")).getField("options").alias("options")), "word")
     third = used.join(whole, "word").select(*KEYS, F.struct(F.lit(3).alias("stage"), F.col("pos").alias("a"), F.lit("").alias("b"), "options").alias("step"))
     steps = first.unionByName(second).unionByName(third).groupBy(*KEYS).agg(F.array_sort(F.collect_list("step")).alias("steps"))
     taken = "array<struct<stage:int,de:string,en:string>>"
