@@ -10,7 +10,8 @@ Verification then asks the whole text around the passage: an item is found if at
 sentences but the last; the whole item if it has one sentence) are there, and likewise of its answer (the last sentence).
 
 An index is broadcast and has ``MAX_ITEMS`` items at most; ``matches`` cuts a larger benchmark into shards and passes over the texts once for each, one index at a time,
-with impacts from counts over all items, so the items found are those of one index. Null or wordless items are never found, null or empty texts hold nothing. Null ids and repeated rows are judged each. Words are compared with A-Z in lower case and ASCII punctuation as space.
+with impacts from counts over all items, so the items found are those of one index. Null or wordless items are never found, null or empty texts hold nothing. Null ids and repeated rows are judged each. An empty
+benchmark finds nothing; an item without an id is reported as -1, so a benchmark that uses -1 should have no null ids. An empty table gives no rows; columns that aren't kept, clashing names included, are left behind. Words are compared with A-Z in lower case and ASCII punctuation as space.
 """
 
 from __future__ import annotations

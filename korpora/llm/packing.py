@@ -9,6 +9,7 @@ of runs of ranks, so a length that a third of all pieces have is spread over the
 
 Tokens: words apart by white space are encoded on their own, which gives the ids of the whole text, since the tokenizer drops white space and
 nothing it does reaches across it; words are encoded once a worker, as long as it remembers them. Null and wordless texts are one piece, the end id alone. Null ids and repeated rows are packed each.
+An empty table gives no rows; other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations

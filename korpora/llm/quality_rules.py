@@ -6,7 +6,7 @@ of rules), and ``ablation`` says by bitwise aggregation what each rule of a poli
 so policies can be compared without reading a text again.
 
 A null text counts as empty: it has no words and fails the word count. Ids are carried along and never interpreted, so null
-ids and repeated rows give a row each. Three-word windows are compared by 64-bit hashes within one text (a text of n
+ids and repeated rows give a row each. An empty table gives no rows; columns that aren't kept, clashing names included, are left behind. Three-word windows are compared by 64-bit hashes within one text (a text of n
 windows has a chance of n*n/2**65 of a false repeat).
 """
 

@@ -5,7 +5,8 @@ Two neighbouring chunks are spliced at a place where both have a token boundary
 tokenizer's own first split always ends a piece before white space that follows something else, whatever stands around
 it. If the overlap has no such place it is doubled, up to the end of the text, so the count is that of the whole text.
 
-Null text counts as empty: 0 bytes, 0 tokens. Null ids stay null, repeated rows are counted each, other columns are ignored.
+Null text counts as empty: 0 bytes, 0 tokens. Null ids stay null, repeated rows are counted each.
+An empty table gives no rows; other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations

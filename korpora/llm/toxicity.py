@@ -11,6 +11,7 @@ For scoring, the softmax is multiplied into the embeddings once, which leaves on
 
 Learning takes at most ``per_class`` labelled rows of each class, of at most ``longest`` bytes, by hash order of the id: a documented bound. Scores read whole texts. Null and empty
 texts get the score of an empty bag (the bias). Without a learnable row of both classes every score is 0. Null ids are scored, held_out false, and never learned from. Repeated rows give a row each.
+An empty table gives no rows; other columns, clashing names included, are left behind.
 """
 
 from __future__ import annotations
