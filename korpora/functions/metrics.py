@@ -212,13 +212,28 @@ class Grams:
         return np.bincount(row[both] >> 1, np.minimum(count[both], count[both + 1]), len(self.lengths) // 2).astype(np.int64)
 
 
+#: Characters whose n-grams are sorted at a time.
+SLICE = 1 << 19
+
+
+def slices(pdf: pd.DataFrame, *texts: str) -> Iterator[pd.DataFrame]:
+    """The rows in order, about ``SLICE`` characters at a time; a longer row is a slice of its own."""
+    ends = sum(pdf[c].fillna("").str.len() for c in texts).cumsum().to_numpy()
+    start = 0
+    while start < len(pdf):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield pdf.iloc[start:stop]
+        start = stop
+
+
 def ngram_statistics(pairs: DataFrame, hypothesis: str, reference: str, *keep: str) -> DataFrame:
     """Per row the clipped matches and totals of word 1- to 4-grams and of character 1- to 6-grams (white space dropped), to be summed for a corpus. Null texts count as empty."""
     types = dict(pairs.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in keep] + ["hyp_len long, ref_len long, matches array<long>, totals array<long>, char_matches array<long>, char_hyp array<long>, char_ref array<long>"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in slices(whole, hypothesis, reference)):
             texts = [t.split() for pair in zip(pdf[hypothesis].fillna(""), pdf[reference].fillna(""), strict=True) for t in pair]
             number: dict[str, int] = {}
             words = Grams(texts, np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64))

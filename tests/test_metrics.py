@@ -82,7 +82,9 @@ def test_ngrams_as_counters(spark):
     rng = random.Random(8)
     make = lambda: " ".join(rng.choice(["a", "b", "the", "cat", "🙂", "é", "x y"]) for _ in range(rng.randrange(12)))
     rows = [(i, make(), make()) for i in range(200)] + [(200, None, "a"), (201, "a", None), (202, None, None), (203, "", " \t"), (204, "same text here", "same text here"), (205, "".join(map(chr, range(0x4E00, 0x4E00 + 3000))), "一丁 七" * 500)]
-    for some in (rows, rows[:1], rows[200:203], []):
+    for some in (rows, rows * 300, rows[:1], rows[200:203], []):
         df = spark.createDataFrame(some, "id long, h string, r string").coalesce(1)
-        got = {x.id: tuple(x[1:]) for x in M.ngram_statistics(df, "h", "r", "id").collect()}
+        found = M.ngram_statistics(df, "h", "r", "id").collect()
+        assert len(found) == len(some)
+        got = {x.id: tuple(x[1:]) for x in found}
         assert got == {i: counts(h or "", r or "") for i, h, r in some}
