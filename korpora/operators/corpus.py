@@ -142,6 +142,36 @@ def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> Da
     return new.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys)
 
 
+def insert_counts(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many of the new rows ``insert_or_ignore`` takes, and how many it skips (known keys and repeats)."""
+    taken = insert_or_ignore(existing, new, keys).agg(F.count("*").alias("inserted"))
+    return taken.crossJoin(new.agg(F.count("*").alias("_n"))).select("inserted", (F.col("_n") - F.col("inserted")).alias("skipped"))  # a row each
+
+
+def stem_counts(rows: DataFrame, text: str, stems: tuple[str, ...]) -> DataFrame:
+    """(stem, n): rows whose text holds a stem, in any case, for each stem that any row holds, and for all together as '(any)'. One pass, counted before the shuffle."""
+    own = tuple(dict.fromkeys(stems))
+    found = rows.select(F.filter(F.array(*[F.lit(s) for s in own]), lambda s: F.lower(text).contains(s)).alias("_s")).filter(F.size("_s") > 0)
+    each = found.select(F.explode(F.concat("_s", F.array(F.lit("(any)")))).alias("stem"))
+    return each.groupBy("stem").agg(F.count("*").alias("n"))
+
+
+def update_by_lines(rows: DataFrame, ids: DataFrame, texts: DataFrame, key: str, column: str) -> DataFrame:
+    """``column`` set from two line-aligned tables (line_no, line): ids and texts. Nothing is updated, and ValueError raised, if they aren't of the same number of lines; blank id lines don't count as lines, of a repeated id the last line wins."""
+    from korpora.session import written
+
+    own = ids.filter(strip(F.col("line")) != "")
+    n, m = own.count(), texts.count()
+    if n != m:
+        raise ValueError(f"{n} ids and {m} texts")
+    if n != ids.count():  # lines are counted anew without the blank ones
+        blank = ids.filter(strip(F.col("line")) == "").select(F.col("line_no").alias("_b"))
+        shift = own.join(blank, F.col("_b") < F.col("line_no")).groupBy("line_no").agg(F.count("*").alias("_s"))
+        own = own.join(shift, "line_no", "left").withColumn("line_no", F.col("line_no") - F.coalesce("_s", F.lit(0))).drop("_s")
+    pairs = own.select("line_no", strip(F.col("line")).cast("long").alias(key)).join(texts.select("line_no", strip(F.col("line")).alias(column)), "line_no")
+    return update_column(rows, written(pairs.groupBy(key).agg(F.max_by(column, "line_no").alias(column)), "line-updates"), key, column)
+
+
 def update_column(rows: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """``column`` from the updates where they have the key."""
     new = updates.select(key, F.col(column).alias("_new"))

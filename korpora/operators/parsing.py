@@ -135,6 +135,16 @@ def explained(features: DataFrame) -> DataFrame:
     return rows.withColumn("risk_factors", factors).withColumn("translation_hint", F.when(F.col("risk_level") != "low", hint))
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """One row over ``explained`` sentences; zeros without any."""
+    level = lambda k: F.count_if(F.col("risk_level") == k)
+    mean = lambda c, digits: F.coalesce(F.round(F.avg(c), digits), F.lit(0.0))
+    return rows.agg(
+        F.count("*").alias("total_sentences"), mean("risk_score", 3).alias("avg_risk_score"), level("high").alias("high"), level("medium").alias("medium"), level("low").alias("low"), F.coalesce(F.round(F.try_divide(100.0 * level("high"), F.count("*")), 1), F.lit(0.0)).alias("high_risk_pct"),
+        mean("n_tokens", 1).alias("avg_tokens"), F.coalesce(F.max("clause_depth"), F.lit(0)).cast("long").alias("max_clause_depth"), F.count_if(F.col("n_participial_constructions") > 0).alias("with_participials"), F.count_if(F.col("n_relative_clauses") > 0).alias("with_relative_clauses"),
+    )
+
+
 # ---- nouns ----
 
 

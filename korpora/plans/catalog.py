@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpora.plans import corpus, evaluation, glossary, mining, parsing, report, segments, sessions, terms
+from korpora.plans import augment, corpus, evaluation, glossary, mining, parsing, report, segments, sessions, terms
 
-MODULES = (terms, corpus, segments, evaluation, sessions, glossary, mining, parsing, report)
+MODULES = (terms, corpus, segments, evaluation, sessions, glossary, mining, parsing, report, augment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
