@@ -11,9 +11,17 @@ from korpora.operators.corpus import hash_order
 KEYS = ["doc_id", "idx"]
 
 
+def mixed(key: Column, seed: int) -> Column:
+    """A hash of 32 bits that other engines can repeat. Unlike the order that it starts from, it has nothing in common between seeds."""
+    x = hash_order(key, seed * 374761393)
+    for shift, factor in ((15, 1540483477), (13, 1812433253)):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor), F.lit(4294967296))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
 def chance(key: Column, seed: int) -> Column:
     """From 0 to below 1, always the same for a key."""
-    return hash_order(key, seed) / F.lit(1 << 32)
+    return mixed(key, seed) / F.lit(1 << 32)
 
 
 def with_hints(sentences: DataFrame, found: DataFrame, drop: float = 0.25, partial: float = 0.3, seed: int = 42) -> DataFrame:
@@ -23,7 +31,7 @@ def with_hints(sentences: DataFrame, found: DataFrame, drop: float = 0.25, parti
     counts before anything is left out; mode is none, all, some or dropped. Sentences without terms have an empty hint.
     """
     key = F.col("doc_id") * 1000 + F.col("idx")
-    order = F.struct(hash_order(key * 8 + F.col("rank"), seed + 3).alias("o"), "rank", "de", "en")
+    order = F.struct(mixed(key * 8 + F.col("rank"), seed + 3).alias("o"), "rank", "de", "en")
     terms = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(order)).alias("t"), F.array_sort(F.collect_list(F.struct("rank", "de", "en"))).alias("all"))
     rows = sentences.select(*KEYS).join(terms, KEYS, "left").withColumn("num_terms", F.coalesce(F.size("t"), F.lit(0)))
     mode = F.when(F.col("num_terms") <= 0, "none").when(chance(key, seed) < drop, "dropped").when((F.col("num_terms") > 1) & (chance(key, seed + 1) < partial), "some").otherwise("all")

@@ -36,12 +36,20 @@ def augmented_splits(spark, d):
     return A.terms_by_split(hinted(spark, d).withColumn("split", split))
 
 
-CHANCE = "({key} * 2654435761 + {seed}) % 4294967296"
+
+
+def mixed(key: str, seed: int) -> str:
+    x = f"(({key} * 2654435761 + {seed * 374761393}) % 4294967296)"
+    for shift, factor in ((15, 1540483477), (13, 1812433253)):
+        x = f"(xor({x}, {x} >> {shift}) * {factor} % 4294967296)"
+    return f"xor({x}, {x} >> 16)"
+
+
 HINTS = f"""{SENTENCES_SQL}, {PHRASES}, p AS MATERIALIZED (SELECT doc_id, idx, lower(sentence) AS s FROM sentences), r AS (SELECT doc_id, idx, de, en, row_number() OVER (PARTITION BY doc_id, idx ORDER BY length(de) DESC, encode(de), encode(en)) AS rank FROM p JOIN terms ON contains(s, de)),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY {CHANCE.format(key="((doc_id * 1000 + idx) * 8 + rank)", seed=45)}, rank) AS o FROM r WHERE rank <= 5), n AS (SELECT doc_id, idx, count(*) AS num_terms FROM top GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY {mixed("((doc_id * 1000 + idx) * 8 + rank)", 45)}, rank) AS o FROM r WHERE rank <= 5), n AS (SELECT doc_id, idx, count(*) AS num_terms FROM top GROUP BY 1, 2),
 m AS (SELECT doc_id, idx, coalesce(num_terms, 0) AS num_terms, doc_id * 1000 + idx AS key FROM sentences LEFT JOIN n USING (doc_id, idx)),
-c AS (SELECT *, CASE WHEN num_terms = 0 THEN 'none' WHEN {CHANCE.format(key="key", seed=42)} < 0.25 * 4294967296 THEN 'dropped' WHEN num_terms > 1 AND {CHANCE.format(key="key", seed=43)} < 0.3 * 4294967296 THEN 'some' ELSE 'all' END AS mode FROM m),
-k AS (SELECT *, CASE mode WHEN 'all' THEN num_terms WHEN 'some' THEN 1 + floor({CHANCE.format(key="key", seed=44)} / 4294967296 * num_terms) ELSE 0 END::INT AS n_kept FROM c),
+c AS (SELECT *, CASE WHEN num_terms = 0 THEN 'none' WHEN {mixed("key", 42)} < 0.25 * 4294967296 THEN 'dropped' WHEN num_terms > 1 AND {mixed("key", 43)} < 0.3 * 4294967296 THEN 'some' ELSE 'all' END AS mode FROM m),
+k AS (SELECT *, CASE mode WHEN 'all' THEN num_terms WHEN 'some' THEN 1 + floor({mixed("key", 44)} / 4294967296 * num_terms) ELSE 0 END::INT AS n_kept FROM c),
 h AS (SELECT k.doc_id, k.idx, string_agg(de || '=' || en, '; ' ORDER BY CASE mode WHEN 'all' THEN rank ELSE o END) AS h FROM k JOIN top ON k.doc_id = top.doc_id AND k.idx = top.idx WHERE mode = 'all' OR mode = 'some' AND o <= n_kept GROUP BY 1, 2),
 hints AS (SELECT k.doc_id, k.idx, num_terms::INT AS num_terms, mode, n_kept, coalesce(' || terms: ' || h, '') AS hint FROM k LEFT JOIN h USING (doc_id, idx))"""
 
