@@ -47,6 +47,19 @@ def document_texts(rows: DataFrame, separator: str = "\n") -> DataFrame:
     return parts.select("doc_name", F.array_join(F.transform("p", lambda x: x["text"]), separator).alias("text"))
 
 
+def joined_sentences(rows: DataFrame, longer_than: int = 10) -> DataFrame:
+    """doc_name, idx, sentence: a document's paragraphs joined by spaces, then cut where a capital follows a full stop."""
+    parts = F.split(F.col("text"), r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])")
+    kept = F.filter(F.transform(parts, strip), lambda s: F.length(s) > longer_than)
+    return document_texts(rows, " ").select("doc_name", F.posexplode(kept).alias("idx", "sentence"))
+
+
+def sentences_by_paragraph(rows: DataFrame, longer_than: int = 10) -> DataFrame:
+    """doc_name, paragraph, idx, sentence: each paragraph cut on its own, brackets open a sentence too; no sentence crosses a paragraph."""
+    kept = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+(?=[A-ZÄÖÜ\[])"), strip), lambda s: F.length(s) > longer_than)
+    return rows.filter(F.length("text") > longer_than).select("doc_name", F.col("idx").alias("paragraph"), F.posexplode(kept).alias("idx", "sentence"))
+
+
 def parallel_text(spark: SparkSession, left: str, right: str, skip: int = 0, most: int | None = None) -> DataFrame:
     """line_no, src, ref of two line-aligned files; ``most`` counts lines after ``skip``."""
     a, b = numbered_lines(spark, left), numbered_lines(spark, right)
@@ -129,6 +142,13 @@ def headed_glossary(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("de_term <> '' AND en_term <> ''").groupBy("de_term").agg(F.max_by("en_term", "line_no").alias("en_term"))
 
 
+def pasted_glossary(spark: SparkSession, text: str) -> DataFrame:
+    """de_term, en_term of pasted lines: terms between tabs, no comments; of equal terms the last counts. Lines of fewer than two fields are left out."""
+    lines = [x.strip().split("\t") for x in text.strip().split("\n")]
+    found = {x[0].strip(): x[1].strip() for x in lines if len(x) >= 2}
+    return spark.createDataFrame(list(found.items()), "de_term string, en_term string")
+
+
 def merged_glossary(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing entries win."""
     return existing.unionByName(new.join(existing.select("de_term"), "de_term", "left_anti"))
@@ -142,6 +162,20 @@ def feedback_log(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     return spark.read.schema(FEEDBACK).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def first_feedback(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
+    """The first ``most`` events of a log in its order, the first of each patent and segment; malformed lines are skipped and don't count. Missing keys count as the same one."""
+    lines = numbered_lines(spark, path).filter(strip(F.col("line")) != "")
+    parsed = lines.select("line_no", F.from_json("line", f"{FEEDBACK}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).filter("e IS NOT NULL AND e._bad IS NULL")
+    key = [F.coalesce(F.col(f"e.{c}").cast("string"), F.lit("")).alias(c) for c in ("patent", "segment_id")]
+    first = parsed.groupBy(*key).agg(F.min("line_no").alias("line_no"))
+    return parsed.join(first.select("line_no"), "line_no", "left_semi").orderBy("line_no").limit(most).select("e.*").drop("_bad")
+
+
+def records(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """Rows of a file with a header, all columns text: evaluation sheets (tabs) and the tracker (commas)."""
+    return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+
+
 def all_feedback(pending: DataFrame, training: DataFrame) -> DataFrame:
     return pending.unionByName(training.filter("source = 'user_feedback'"), allowMissingColumns=True)
 

@@ -14,6 +14,18 @@ def json_lines(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 
 
+#: Columns of the tracker of experiments.
+TRACKER = ("timestamp", "name", "data", "model", "bleu_baseline", "bleu_ape", "bleu_delta", "chrf_baseline", "chrf_ape", "chrf_delta", "train_samples", "test_samples", "epochs", "batch_size", "training_hours", "notes")
+
+
+def track(runs: DataFrame, folder: str) -> None:
+    """Adds experiments to the tracker: a CSV folder, each file with the header. ``runs`` has any of the columns; deltas follow from the scores, to two digits, and are blank without a baseline or with one of 0."""
+    delta = lambda k: F.when(F.col(f"{k}_baseline") != 0, F.round(F.col(f"{k}_ape") - F.col(f"{k}_baseline"), 2))
+    whole = runs.withColumns({c: F.lit(None).cast("double") for c in ("bleu_baseline", "bleu_ape", "chrf_baseline", "chrf_ape") if c not in runs.columns})
+    whole = whole.withColumns({"bleu_delta": delta("bleu"), "chrf_delta": delta("chrf")}).withColumns({c: F.lit(None).cast("string") for c in TRACKER if c not in whole.columns and not c.endswith("_delta")})
+    whole.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in TRACKER]).write.mode("append").csv(folder, header=True, emptyValue="")
+
+
 def text_lines(rows: DataFrame, column: str, path: str, order: list) -> None:
     """Lines in order: ranges of the order are files in order."""
     rows.orderBy(*order).select(column).write.mode("overwrite").text(path)

@@ -105,3 +105,34 @@ def test_catalog(spark):
     spark.range(3).createOrReplaceTempView("some_ids")
     assert ("some_ids", [("id", "bigint")]) in R.catalog(spark)
     spark.catalog.dropTempView("some_ids")
+
+
+def test_sentences_of_documents(spark):
+    rows = spark.createDataFrame([("a", 1, "zwei drei. Vier fünf sechs. [0001] Sieben acht neun."), ("a", 0, "Ein langer Satz ohne Ende"), ("b", 0, "kurz")], "doc_name string, idx int, text string")
+    assert [tuple(r) for r in R.joined_sentences(rows).orderBy("doc_name", "idx").collect()] == [("a", 0, "Ein langer Satz ohne Ende zwei drei."), ("a", 1, "Vier fünf sechs. [0001] Sieben acht neun.")]
+    assert [tuple(r) for r in R.sentences_by_paragraph(rows).orderBy("doc_name", "paragraph", "idx").collect()] == [("a", 0, 0, "Ein langer Satz ohne Ende"), ("a", 1, 0, "Vier fünf sechs."), ("a", 1, 1, "[0001] Sieben acht neun.")]
+
+
+def test_pasted_glossary(spark):
+    got = R.pasted_glossary(spark, "\n# Nut\tslot\nNut\tgroove\nkaputt\n Rad \t wheel \tx\nNut\tkeyway\n")
+    assert dict(map(tuple, got.collect())) == {"# Nut": "slot", "Nut": "keyway", "Rad": "wheel"}
+    assert R.pasted_glossary(spark, "").count() == 0
+
+
+def test_first_feedback(spark, tmp_path):
+    lines = [{"patent": "p", "segment_id": i % 7, "notes": str(i)} for i in range(20)] + [{"notes": "none"}, {"notes": "again"}]
+    text = "\n".join(["{bad", *map(json.dumps, lines[:9]), "", "[1, 2", *map(json.dumps, lines[9:])])
+    p = write(tmp_path / "log.jsonl", text + "\n")
+    assert [r.notes for r in R.first_feedback(spark, p).collect()] == [*map(str, range(7)), "none"]
+    assert [r.notes for r in R.first_feedback(spark, p, 3).collect()] == ["0", "1", "2"]
+
+
+def test_tracker(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    W.track(spark.createDataFrame([("a", 30.456, 33.0)], "name string, bleu_baseline double, bleu_ape double"), folder)
+    W.track(spark.createDataFrame([("b", 0.0, 20.0, "first, with a comma"), ("c", None, 1.5, None)], "name string, bleu_baseline double, bleu_ape double, notes string"), folder)
+    rows = {r.name: r for r in R.records(spark, folder, ",").collect()}
+    assert rows["a"].bleu_delta == "2.54" and rows["b"].bleu_delta is None and rows["b"].notes == "first, with a comma" and rows["c"].bleu_ape == "1.5"
+    assert tuple(R.records(spark, folder, ",").columns) == W.TRACKER
+    sheet = R.records(spark, write(tmp_path / "sheet.tsv", "ID\tPreferred\tNotes\n1\tA\tx, y\n2\t\tz\n"))
+    assert [tuple(r) for r in sheet.orderBy("ID").collect()] == [("1", "A", "x, y"), ("2", None, "z")]
