@@ -188,28 +188,32 @@ class Grams:
         self.kinds = int(symbols.max(initial=0)) + 1
         self.gram, self.n, self.most = symbols, 1, self.kinds
 
-    def longer(self) -> None:
-        """From n-grams to n + 1."""
-        if self.most * self.kinds >= 1 << 62:
+    def renumbered(self, most: int) -> None:
+        """Numbers the grams anew, without gaps, if a number can't be told from others in ``most`` times the room."""
+        if self.most * most >= 1 << 62:
             values, self.gram = np.unique(self.gram, return_inverse=True)
             self.most = len(values)
+
+    def longer(self) -> None:
+        """From n-grams to n + 1."""
+        self.renumbered(self.kinds)
         # A gram ends where the next symbol is of the same sequence.
         self.gram = self.gram[:-1] * self.kinds + self.symbols[self.n :]
         self.most *= self.kinds
         self.n += 1
 
     def matches(self) -> np.ndarray:
-        """Of sequences 2 k and 2 k + 1 the grams in common, by count, for each k."""
+        """Of sequences 2 k and 2 k + 1 the grams in common, by count, for each k: one sort of numbers made of pair, gram and side."""
+        pairs = len(self.lengths) // 2
+        self.renumbered(2 * pairs)
         size = len(self.gram)
         whole = self.row[:size] == self.row[self.n - 1 :]
-        gram, row = self.gram[whole], self.row[:size][whole]
-        order = np.lexsort((row, gram, row >> 1))
-        gram, row = gram[order], row[order]
-        start = np.flatnonzero(np.diff(gram, prepend=-1) | np.diff(row, prepend=-1)) if len(gram) else np.zeros(0, np.int64)
-        count, gram, row = np.diff(start, append=len(row)), gram[start], row[start]
-        # A gram of both is two runs side by side, the hypothesis first.
-        both = np.flatnonzero((gram[1:] == gram[:-1]) & (row[1:] == row[:-1] + 1) & (row[1:] & 1 == 1))
-        return np.bincount(row[both] >> 1, np.minimum(count[both], count[both + 1]), len(self.lengths) // 2).astype(np.int64)
+        row = self.row[:size][whole]
+        key = np.sort(((row >> 1) * self.most + self.gram[whole]) * 2 + (row & 1))
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        count, key = np.diff(start, append=len(key)), key[start]
+        both = np.flatnonzero((key[1:] == key[:-1] + 1) & (key[1:] & 1 == 1))  # a gram of both is two runs side by side
+        return np.bincount((key[both] >> 1) // self.most, np.minimum(count[both], count[both + 1]), pairs).astype(np.int64)
 
 
 #: Characters whose n-grams are sorted at a time.
