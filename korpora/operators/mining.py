@@ -25,19 +25,22 @@ def lower_words(text: str) -> Column:
 
 def term_pairs(
     pairs: DataFrame, source_stop: tuple[str, ...] = W.GERMAN_TERM_STOPWORDS, target_stop: tuple[str, ...] = W.ENGLISH_TERM_STOPWORDS, min_frequency: int = 10, min_consistency: float = 0.6,
-    sizes: tuple[int, int] = (3, 40), shortest: tuple[int, int] = (4, 3),
+    sizes: tuple[int, int] = (3, 40), shortest: tuple[int, int] = (4, 3), key: str = "id",
 ) -> DataFrame:
     """(de_term, en_term, frequency, consistency): for each source word the target word found beside it most.
 
     Pairs whose sets of words (without stop words) are smaller or larger than ``sizes`` are noise and don't count. A source word's one best partner (ties by alphabet) decides: if it is the word itself or a number, or not consistent,
-    the word has no term. Rare source words go before the words of a pair are multiplied out, and ``sizes`` bounds the products.
+    the word has no term. Before words of a pair are multiplied out, rare source words go, and target words too rare to be a consistent partner of any frequent one; ``sizes`` bounds the products. ``key`` names a row of ``pairs``.
     """
-    sets = pairs.select(without(lower_words("src"), source_stop).alias("s"), without(lower_words("ref"), target_stop).alias("t"))
+    sets = pairs.select(key, without(lower_words("src"), source_stop).alias("s"), without(lower_words("ref"), target_stop).alias("t"))
     sets = sets.filter(F.size("s").between(*sizes) & F.size("t").between(*sizes))
     long = lambda c, n: F.filter(c, lambda w: F.length(w) >= n)
-    one = sets.select(F.explode(long("s", shortest[0])).alias("de_term"), long("t", shortest[1]).alias("t"))
+    one = sets.select(key, F.explode(long("s", shortest[0])).alias("de_term"))
+    other = sets.select(key, F.explode(long("t", shortest[1])).alias("en_term"))
     frequency = one.groupBy("de_term").agg(F.count("*").alias("frequency")).filter(F.col("frequency") >= min_frequency)
-    counts = one.join(frequency, "de_term").select("de_term", "frequency", F.explode("t").alias("en_term")).groupBy("de_term", "frequency", "en_term").agg(F.count("*").alias("together"))
+    enough = other.groupBy("en_term").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_consistency * min_frequency).select("en_term")
+    both = one.join(frequency, "de_term").join(other.join(enough, "en_term"), key)
+    counts = both.groupBy("de_term", "frequency", "en_term").agg(F.count("*").alias("together"))
     best = counts.groupBy("de_term", "frequency").agg(F.min(F.struct((-F.col("together")).alias("n"), F.col("en_term"))).alias("b"))
     found = best.select("de_term", "b.en_term", "frequency", (-F.col("b.n") / F.col("frequency")).alias("consistency"))
     return found.filter((F.col("consistency") >= min_consistency) & (F.col("de_term") != F.col("en_term")) & ~numeric(F.col("de_term")) & ~numeric(F.col("en_term")))
