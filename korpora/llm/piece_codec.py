@@ -35,6 +35,8 @@ CHUNK = re.compile(rb" ( *[^ ]+| *)")
 #: Texts above this many bytes are cut one chunk at a time.
 LONG = 1 << 20
 BATCH_BYTES = 64 << 20
+#: Of compression of what is shuffled.
+LEVEL = 5
 #: Chunks decoded at a time.
 DECODED = 1 << 14
 ROWS = "deal long, batch long, bucket int, blob binary"
@@ -122,9 +124,9 @@ def batched(documents: DataFrame, n_buckets: int, size: int) -> DataFrame:
             asked = [(j, sorted(dealt[j])) for j in sorted(dealt)]
             order = np.fromiter((number[c] for _, own in asked for c in own), np.int64, len(number))
             doc = b.column("doc_id")
-            docs = pack(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(doc.is_null().to_pylist(), np.uint8), np.array(sizes, np.int64), planes(rank[order]), *short(rank[ids]))
+            docs = pack(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(doc.is_null().to_pylist(), np.uint8), np.array(sizes, np.int64), planes(rank[order]), *short(rank[ids]), level=LEVEL)
             batch = part << 32 | k
-            out = [(zlib.crc32(b"%d" % batch) % n_buckets, -1, docs)] + [(j, j, pack(BETWEEN.join(own))) for j, own in asked]
+            out = [(zlib.crc32(b"%d" % batch) % n_buckets, -1, docs)] + [(j, j, pack(BETWEEN.join(own), level=LEVEL)) for j, own in asked]
             yield {"deal": [d for d, _, _ in out], "batch": [batch] * len(out), "bucket": [x for _, x, _ in out], "blob": [x for _, _, x in out]}
             k += 1
 
@@ -145,7 +147,7 @@ def answered(packed: DataFrame, path: str) -> DataFrame:
                     new = [c for c in asked if c not in table]
                     table.update(zip(new, (np.array(i, "<u4").tobytes() for i in segmented(sp, [c.decode() for c in new])), strict=True))
                     found = [table[c] for c in asked]
-                    blob = pack(planes(np.array([len(i) // 4 for i in found])), planes(np.frombuffer(b"".join(found), "<u4")))
+                    blob = pack(planes(np.array([len(i) // 4 for i in found])), planes(np.frombuffer(b"".join(found), "<u4")), level=LEVEL)
                 yield {"deal": [0], "batch": [batch], "bucket": [bucket], "blob": [blob]}
 
     return mapped(packed, work, ROWS)
