@@ -9,6 +9,7 @@ import pytest
 
 from korpora.functions import lexicons as W
 from korpora.operators import mining as M
+from korpora.operators import terms as T
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +100,9 @@ def test_bigrams(pairs):
             if k >= 3 and k / n >= 0.4:
                 want.append((g, x, k, k / n))
     assert sorted(map(tuple, M.bigram_corrections(pairs).collect())) == sorted(want) != []
+
+
+def test_words_of_bigrams_are_found_once_a_text(spark):
+    df = T.corrections(spark.createDataFrame([(" ".join(f"w{i}" for i in range(9)), "w0 w1")] * 2 + [("a b", "a c"), ("a b", "a c"), (None, "x y")], "mt string, ref string"), grams=True, min_total=2, min_together=2)
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 4  # two texts, read for totals and for counts
+    assert sorted(map(tuple, df.collect())) == [("a b", 2, "a c", 2, 1.0)]
