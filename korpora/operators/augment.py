@@ -30,7 +30,7 @@ def with_hints(sentences: DataFrame, found: DataFrame, drop: float = 0.25, parti
     A sentence with terms loses all of them with chance ``drop``; else, if it has two or more, it keeps a random number of random ones with chance ``partial``. Chances come from hashes of the keys, so every run gives the same. ``num_terms``
     counts before anything is left out; mode is none, all, some or dropped. Sentences without terms have an empty hint.
     """
-    key = F.col("doc_id") * 1000 + F.col("idx")
+    key = F.pmod(F.col("doc_id"), F.lit(1 << 32)) * 1000 + F.col("idx")  # hashes take it modulo 2**32
     order = F.struct(mixed(key * 8 + F.col("rank"), seed + 3).alias("o"), "rank", "de", "en")
     terms = found.groupBy(*KEYS).agg(F.array_sort(F.collect_list(order)).alias("t"), F.array_sort(F.collect_list(F.struct("rank", "de", "en"))).alias("all"))
     rows = sentences.select(*KEYS).join(terms, KEYS, "left").withColumn("num_terms", F.coalesce(F.size("t"), F.lit(0)))

@@ -52,8 +52,11 @@ def align(rows: DataFrame, left: str, right: str, *keep: str, slack: int = 1) ->
 
 
 def hash_order(key: Column, seed: int) -> Column:
-    """A fixed shuffle that other engines can repeat: a linear congruence of an integer key."""
-    return F.pmod(key * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+    """A fixed shuffle that other engines can repeat: a linear congruence of an integer key.
+
+    Modulo 2**32 the key may go by its remainder and the factor by the negative number of the same remainder, so that no key, however large, leaves 64 bits.
+    """
+    return F.pmod(F.pmod(key.cast("long"), F.lit(1 << 32)) * F.lit(2654435761 - (1 << 32)) + F.lit(seed), F.lit(1 << 32))
 
 
 def shuffled_ranks(rows: DataFrame, key: str, seed: int) -> DataFrame:

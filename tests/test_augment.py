@@ -1,6 +1,7 @@
 """Hints with dropout, updates by line, counts of inserts and stems on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from korpora.operators import augment as A
 from korpora.operators import corpus as C
@@ -41,3 +42,12 @@ def test_counts(spark):
     assert tuple(C.insert_counts(old, new.limit(0), ["k"]).head()) == (0, 0)
     texts = spark.createDataFrame([("Ein Stent",), ("stent, VALVE",), (None,), ("nichts",)], "text string")
     assert {r.stem: r.n for r in C.stem_counts(texts, "text", ("stent", "valve", "bone", "stent")).collect()} == {"stent": 2, "valve": 1, "(any)": 2}
+
+
+def test_hashes_of_large_keys(spark):
+    keys = [0, 7, 433_000, 10**9, 9 * 10**15, 2**62 + 5, -3]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", C.hash_order(F.col("k"), 42).alias("h")).collect()
+    assert {r.k: r.h for r in rows} == {k: (k * 2654435761 + 42) % 2**32 for k in keys}
+    s = spark.createDataFrame([(k, 1) for k in keys[:-1]], "doc_id long, idx int")
+    found = s.selectExpr("*", "explode(array(1, 2)) AS rank").selectExpr("*", "'a' AS de", "'b' AS en")
+    assert {r.num_terms for r in A.with_hints(s, found).collect()} == {2}
