@@ -114,3 +114,11 @@ def test_nouns(spark, least):
     words = [("Die", "DET"), ("grüne", "ADJ"), ("Welle", "NOUN"), ("Nut", "NOUN"), ("Am", "NOUN"), ("läuft", "VERB"), ("Welle", "NOUN"), (",", "PUNCT"), ("Nut", "X"), ("Folgenden", "NOUN"), ("A", "NOUN"), ("FIG", "NOUN"), ("Sie", "NOUN")]
     df = spark.createDataFrame([(1, least, i, w, p, None, "x", 0) for i, (w, p) in enumerate(words)], SCHEMA)
     assert sorted(map(tuple, P.tagged_nouns(df).collect())) == [("Am", 1, 1), ("Folgenden A FIG Sie", 1, 1), ("Welle", 2, 2), ("Welle Nut Am", 1, 1)]
+
+
+def test_features_without_a_shuffle(spark):
+    texts = ["Die Wellen, die in dem Gehäuse laufende Teile tragen, sind da, weil wir das sagen.", "", None, "...", "Ding", "ein bald verschwindende Ding, welche oft war; dass", "that that as que si wenn " * 40, "ÄÖÜ ß İ Σας, der"]
+    s = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts * 3)], "doc_id long, idx int, sentence string")
+    got = P.rule_features(s)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.clause_features(P.rule_parsed(s)).select(got.columns).collect()))
