@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpora.operators.corpus import binned, reject_reason
+from korpora.session import written
 from korpora.sources.readers import parallel_text
 
 
@@ -27,9 +28,20 @@ def first_of_each(rows: DataFrame, group: str, order: str, most: int) -> DataFra
 
 
 def usable(pairs: DataFrame, most: int | None = None, corpus: str = "corpus", order: str = "line_no") -> DataFrame:
-    """Pairs without a reason to reject them, ``most`` of each corpus: rejected lines don't count."""
-    kept = pairs.filter(reject_reason(F.col("src"), F.col("ref")).isNull())
-    return kept if most is None else first_of_each(kept, corpus, order, most)
+    """Pairs without a reason to reject them, ``most`` of each corpus: rejected lines don't count; pairs without a place (null ``order``) only where ``most`` isn't given.
+
+    All pairs are judged once, and only the places of usable ones are kept for the choice. What lies beyond a corpus's last chosen place is not judged again when texts are fetched.
+    """
+    reason = reject_reason(F.col("src"), F.col("ref"))
+    if most is None:
+        return pairs.filter(reason.isNull())
+    own = F.struct(F.col(corpus).isNull().alias("n"), F.coalesce(F.col(corpus).cast("string"), F.lit("")).alias("v")).alias("_c")
+    chosen = first_of_each(written(pairs.filter(reason.isNull()).select(own, F.col(order).alias("_o")), "usable-places"), "_c", "_o", most)
+    last = chosen.groupBy("_c", "_o").agg(F.count("*").alias("_room")).groupBy("_c").agg(F.max(F.struct("_o", "_room")).alias("_last"))
+    # The reason is asked for behind the comparison with a column of the other table, so it can't be moved before the join.
+    near = pairs.withColumn("_c", own).join(written(last, "usable-last"), "_c").filter(F.when(F.col(order) <= F.col("_last._o"), reason).otherwise("beyond").isNull())
+    tie = F.row_number().over(Window.partitionBy("_c", order).orderBy(order))
+    return near.withColumn("_r", tie).filter((F.col(order) < F.col("_last._o")) | (F.col("_r") <= F.col("_last._room"))).select(*pairs.columns)
 
 
 def concatenated(spark: SparkSession, files: dict[str, tuple[str, str]], most: int | None = None, skip: int = 0) -> DataFrame:

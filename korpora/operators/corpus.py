@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpora.functions.text import once
+
 #: Letters that count as text in the corpus filter.
 LETTERS = "a-zA-ZäöüÄÖÜß"
-BLANK = r"^\s+|\s+$"
+BLANK = " \t\n\x0b\f\r"
 
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(x, BLANK, "")
+    return F.btrim(x, F.lit(BLANK))
 
 
 def letter_share(x: Column) -> Column:
@@ -25,15 +27,19 @@ def length_ratio(a: Column, b: Column) -> Column:
 
 def reject_reason(src: Column, ref: Column, shortest: int = 10, longest: int = 500, letters: float = 0.4, ratio: tuple[float, float] = (0.3, 3.0)) -> Column:
     """The first rule that a pair breaks, null if it breaks none. White space at the ends doesn't count."""
-    s, r = strip(F.coalesce(src, F.lit(""))), strip(F.coalesce(ref, F.lit("")))
-    return (
-        F.when((s == "") | (r == ""), "empty")
-        .when((F.length(s) < shortest) | (F.length(r) < shortest), "too_short")
-        .when((F.length(s) > longest) | (F.length(r) > longest), "too_long")
-        .when(letter_share(s) < letters, "mostly_numbers")
-        .when(F.lower(s) == F.lower(r), "identical")
-        .when((length_ratio(s, r) > ratio[1]) | (length_ratio(s, r) < ratio[0]), "length_ratio")
-    )
+
+    def first(p: Column) -> Column:
+        s, r, n, m = p["s"], p["r"], F.length(p["s"]), F.length(p["r"])
+        return (
+            F.when((n == 0) | (m == 0), "empty")
+            .when((n < shortest) | (m < shortest), "too_short")
+            .when((n > longest) | (m > longest), "too_long")
+            .when(letter_share(s) < letters, "mostly_numbers")
+            .when(F.lower(s) == F.lower(r), "identical")
+            .when((n / m > ratio[1]) | (n / m < ratio[0]), "length_ratio")
+        )
+
+    return once(F.struct(strip(F.coalesce(src, F.lit(""))).alias("s"), strip(F.coalesce(ref, F.lit(""))).alias("r")), first)
 
 
 def clean_term(term: Column, shortest: int = 2, longest: int = 200, letters: float = 0.4) -> Column:

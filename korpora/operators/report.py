@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from korpora.functions.arrays import lengths_of, list_of, slices
 
 #: From mild to grave.
 SEVERITIES = ("minor", "major", "critical")
@@ -40,22 +45,45 @@ def report_summary(segments: DataFrame) -> DataFrame:
 def annotated_runs(segments: DataFrame, text: str, *keys: str) -> DataFrame:
     """keys, start, end, severity, run: the text cut into the longest runs of one severity; where spans overlap the gravest counts, null is no error. Runs follow each other without gaps and make up the text.
 
-    A sweep line: spans become events where a severity begins or ends, events at a place are added up, and running sums say what is open after each. The work is linear in the spans, and a segment's events are all that is sorted. Spans are cut at the
-    ends of the text, a missing start or end is 0; empty ones, and ones without a known severity, count as none. Columns: ``text`` and error_spans (structs with start, end, severity).
+    A sweep line: spans become events where a severity begins or ends, events at a place are added up, and running sums say what is open after each. A segment is a row throughout, and the events of many segments are sorted together in
+    columns, so nothing is shuffled. Spans are cut at the ends of the text, a missing start or end is 0; empty ones, and ones without a known severity, count as none. Columns: ``text`` and error_spans (structs with start, end, severity).
     """
-    size = F.length(text)
-    edge = lambda c: F.greatest(F.lit(0), F.least(F.coalesce(c, F.lit(0)), F.col("_n")))
-    spans = segments.filter(size > 0).select(*keys, size.alias("_n"), F.explode("error_spans").alias("s")).select(*keys, edge("s.start").alias("a"), edge("s.end").alias("b"), F.col("s.severity").alias("severity"))
-    counts = lambda by: [F.when((F.col("severity") == s) & (F.col("a") < F.col("b")), by).otherwise(0).alias(s) for s in SEVERITIES]
-    events = spans.select(*keys, F.col("a").alias("at"), *counts(1)).unionByName(spans.select(*keys, F.col("b").alias("at"), *counts(-1)))
-    edges = segments.filter(size > 0).select(*keys, F.explode(F.array(F.lit(0), size)).alias("at"), *[F.lit(0).alias(s) for s in SEVERITIES])
-    at = events.unionByName(edges).groupBy(*keys, "at").agg(*[F.sum(s).alias(s) for s in SEVERITIES])
-    w = Window.partitionBy(*keys).orderBy("at")
-    grave = F.lit(None).cast("string")
-    for s in SEVERITIES:
-        grave = F.when(F.sum(s).over(w) > 0, s).otherwise(grave)
-    runs = at.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), grave.alias("severity")).filter("end IS NOT NULL")
-    new = F.when(F.lag("start").over(Window.partitionBy(*keys).orderBy("start")).isNull(), 1).when(F.lag("severity").over(Window.partitionBy(*keys).orderBy("start")).eqNullSafe(F.col("severity")), 0).otherwise(1)
-    islands = runs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(Window.partitionBy(*keys).orderBy("start")))
-    whole = islands.groupBy(*keys, "_run", "severity").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
-    return whole.join(segments.select(*keys, F.col(text).alias("_text")), list(keys)).select(*keys, "start", "end", "severity", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("run"))
+    code = lambda s: sum((F.when(s["severity"] == name, k + 1).otherwise(0) for k, name in enumerate(SEVERITIES)), F.lit(0))
+    of = lambda f: F.coalesce(F.transform("error_spans", lambda s: F.coalesce(f(s).cast("int"), F.lit(0))), F.array().cast("array<int>"))
+    rows = segments.filter(F.length(text) > 0).select(*keys, F.col(text).alias("_text"), F.explode(sweep(F.length(text), of(lambda s: s["start"]), of(lambda s: s["end"]), of(code))).alias("r"))
+    named = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, SEVERITIES)), F.col("r.severity"))
+    return rows.select(*keys, "r.start", "r.end", named.alias("severity"), F.substring("_text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("run"))
+
+
+RUN_TYPE = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "severity")])
+
+
+@F.arrow_udf(T.ArrayType(RUN_TYPE))
+def sweep(sizes: pa.Array, starts: pa.Array, ends: pa.Array, severities: pa.Array) -> pa.Array:
+    """Runs (start, end, severity) of texts of so many characters with their spans; severities are numbers, the gravest greatest, 0 is none."""
+    made = []
+    for x, y in slices(starts):
+        size = sizes.slice(x, y - x).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lambda c: c.slice(x, y - x).flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        row = np.repeat(np.arange(len(size)), lengths_of(starts.slice(x, y - x)))
+        base = np.cumsum(size + 1) - size - 1  # places of all texts in one row of numbers
+        a, b, grave = np.clip(flat(starts), 0, size[row]), np.clip(flat(ends), 0, size[row]), flat(severities)
+        live = (a < b) & (grave > 0)
+        a, b, grave = a[live] + base[row[live]], b[live] + base[row[live]], grave[live]
+        places = np.unique(np.concatenate([base, base + size, a, b]))
+        worst = np.zeros(len(places), np.int64)
+        for k in range(1, len(SEVERITIES) + 1):
+            change = np.zeros(len(places), np.int64)
+            np.add.at(change, np.searchsorted(places, a[grave == k]), 1)
+            np.add.at(change, np.searchsorted(places, b[grave == k]), -1)
+            worst[np.cumsum(change) > 0] = k
+        text = np.searchsorted(base, places, "right") - 1
+        closing = places == (base + size)[text]
+        first = np.append(True, text[1:] != text[:-1])
+        turn = np.flatnonzero(first | closing | (worst != np.append(0, worst[:-1])))
+        begin, end = turn[:-1], turn[1:]
+        begin, end = begin[~closing[begin]], end[~closing[begin]]
+        own = text[begin]
+        rows = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (places[begin] - base[own], places[end] - base[own], worst[begin])], ["start", "end", "severity"])
+        made.append(list_of(np.bincount(own, minlength=len(size)), rows))
+    return pa.concat_arrays(made)

@@ -45,10 +45,15 @@ def annotated_runs(spark, d):
     return R.annotated_runs(segments(spark, d), "de", "doc_id", "idx")
 
 
+def neighbours(s):
+    """Each element of an array with the next one; the last has none."""
+    return F.when(F.size(s) > 1, F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("src"), F.slice(s, 2, F.size(s) - 1).alias("ref")))
+
+
 def corpora_concatenated(spark, d):
     """Each language is a corpus of a sentence and the next one; 300 usable pairs of each."""
-    s = table(spark, d, "documents").select("doc_id", F.col("lang").alias("corpus"), X.sentences(F.col("text")).alias("s")).filter("size(s) > 1")
-    pairs = s.select("corpus", "doc_id", F.posexplode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("src"), F.slice("s", 2, F.size("s") - 1).alias("ref"))).alias("idx", "p"))
+    s = table(spark, d, "documents").select("doc_id", F.col("lang").alias("corpus"), X.once(X.sentences(F.col("text")), neighbours).alias("s"))
+    pairs = s.select("corpus", "doc_id", F.posexplode("s").alias("idx", "p"))
     lines = pairs.select("corpus", (F.col("doc_id") * 1000000 + F.col("idx")).alias("line_no"), "p.src", "p.ref")
     return C.usable(lines, 300)
 

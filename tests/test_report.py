@@ -4,6 +4,7 @@ import random
 
 from korpora.operators import corpora as C
 from korpora.operators import report as R
+from korpora.operators.corpus import reject_reason
 
 SPANS = "array<struct<start: int, end: int, severity: string>>"
 
@@ -68,3 +69,26 @@ def test_the_cap_comes_after_the_filter(spark, tmp_path):
     got = {(r.corpus, r.line_no): (r.src, r.ref) for r in C.concatenated(spark, {"a": (left, right), "b": other}, 2).collect()}
     assert set(got) == {("a", 1), ("a", 4), ("b", 0), ("b", 1)} and got["a", 1] == ("ein guter Satz", "a good sentence one")
     assert C.concatenated(spark, {"a": (left, right)}, skip=2).count() == 2
+
+
+def test_runs_without_a_shuffle(spark):
+    span = "array<struct<start:int,end:int,severity:string>>"
+    rows = [(k, "x" * (k % 7), [(a, a + k % 4, ("minor", "major", "critical", "odd")[(a + k) % 4]) for a in range(-1, k % 9)] if k % 5 else None) for k in range(60)]
+    df = R.annotated_runs(spark.createDataFrame(rows, f"k int, t string, error_spans {span}"), "t", "k")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in df.orderBy("k", "start").collect():
+        got.setdefault(r.k, []).extend([r.severity] * (r.end - r.start))
+        assert r.run == "x" * (r.end - r.start)
+    grave = lambda own, i: max((("minor", "major", "critical").index(s) for a, b, s in own or () if s != "odd" and max(a, 0) <= i < b), default=None)
+    assert got == {k: [None if (g := grave(own, i)) is None else ("minor", "major", "critical")[g] for i in range(len(t))] for k, t, own in rows if t}
+
+
+def test_pairs_are_judged_once(spark):
+    good = ("Eine Welle dreht sich", "A shaft is turning round")
+    rows = [("a", 5, *good), ("a", 5, *good), ("a", 5, "x", "y"), ("a", 9, *good), ("a", 1, "1", "2"), ("a", 2, *good), (None, 3, *good), (None, 8, *good), ("b", 4, "x", "y"), ("a", None, *good)]
+    df = spark.createDataFrame(rows, "corpus string, line_no long, src string, ref string")
+    kept = lambda most: sorted(((r.corpus or "", r.line_no) for r in C.usable(df, most).collect()))
+    assert kept(1) == [("", 3), ("a", 2)] and kept(2) == [("", 3), ("", 8), ("a", 2), ("a", 5)] and kept(9) == [("", 3), ("", 8), ("a", 2), ("a", 5), ("a", 5), ("a", 9)]
+    reason = df.select(reject_reason(df.src, df.ref).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert reason.count("(coalesce(src") == reason.count("(coalesce(ref") == 1 and reason.count("regexp_replace") == 1
