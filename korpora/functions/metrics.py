@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -172,10 +173,14 @@ def ratio(a: str, b: str) -> float:
     return 2 * Blocks(a, b).matching() / (len(a) + len(b)) if a or b else 1.0
 
 
-@F.pandas_udf(DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters, by longest matching blocks (lower case); null if one is."""
-    return pd.Series([None if x is None or y is None else 1.0 if x == y else ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)], dtype="float64")
+@F.arrow_udf(DoubleType())
+def matching_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Twice the matching characters over all characters, by longest matching blocks (lower case); null if one is. Rows are taken out of their batch one by one."""
+
+    def of(x: str | None, y: str | None) -> float | None:
+        return None if x is None or y is None else 1.0 if x == y else ratio(x.lower(), y.lower())
+
+    return pa.array([of(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
 
 class Grams:

@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,8 @@ def json_object(text: str) -> dict | None:
     return None
 
 
+#: Answers that are objects of Python at a time.
+FEW = 64
 PROPOSAL = "rule_name string, target_prompt string, target_section string, rule_text string, severity string, rationale string, parsed boolean"
 
 
@@ -102,17 +105,20 @@ def parsed_proposals(rows: DataFrame, *keys: str) -> DataFrame:
     """One rule proposal for each answer (columns response, type); an answer that holds no object becomes the text of a rule for its pattern's type."""
     fields = [f.split()[0] for f in PROPOSAL.split(", ")][:-1]
 
-    def parse(answers: pd.Series, types: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, kind in zip(answers, types, strict=True):
-            o = json_object(text or "")
-            if o is None:
-                out.append(dict(zip(fields, (f"auto_{kind}", "qe", "UNKNOWN", (text or "").strip(), "minor", "failed to parse the answer"), strict=True)) | {"parsed": False})
-            else:
-                out.append({f: None if o.get(f) is None else str(o[f]) for f in fields} | {"parsed": True})
-        return pd.DataFrame(out, columns=[*fields, "parsed"])
+    kind = pa.struct([(f, pa.string()) for f in fields] + [("parsed", pa.bool_())])
+
+    def parse(text: str | None, kind: str | None) -> dict:
+        o = json_object(text or "")
+        if o is None:
+            return dict(zip(fields, (f"auto_{kind}", "qe", "UNKNOWN", (text or "").strip(), "minor", "failed to parse the answer"), strict=True)) | {"parsed": False}
+        return {f: None if o.get(f) is None else str(o[f]) for f in fields} | {"parsed": True}
+
+    def work(answers: pa.Array, types: pa.Array) -> pa.Array:
+        # A few answers at a time are objects of Python; the rest of a batch stays in Arrow.
+        parts = [(answers.slice(at, FEW), types.slice(at, FEW)) for at in range(0, len(answers), FEW)]
+        return pa.concat_arrays([pa.array([parse(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], kind) for a, b in parts] or [pa.array([], kind)])
 
-    return rows.select(*keys, F.pandas_udf(parse, PROPOSAL)("response", "type").alias("p")).select(*keys, "p.*")
+    return rows.select(*keys, F.arrow_udf(work, PROPOSAL)("response", "type").alias("p")).select(*keys, "p.*")
 
 
 def parsed_numbered(rows: DataFrame, *keys: str) -> DataFrame:
@@ -166,7 +172,8 @@ class StubProvider:
         import zlib
 
         names = ("good", "good", "minor", "major", "critical")
-        return [{"rating": names[zlib.crc32(s.encode()) % 5], "error_category": "none" if zlib.crc32(s.encode()) % 5 < 2 else "terminology", "confidence": ("high", "medium", "low")[zlib.crc32(m.encode()) % 3], "score": zlib.crc32(s.encode()) % 1000 / 1000} for s, m in pairs]
+        sums = [(zlib.crc32(s.encode()), zlib.crc32(m.encode())) for s, m in pairs]
+        return [{"rating": names[s % 5], "error_category": "none" if s % 5 < 2 else "terminology", "confidence": ("high", "medium", "low")[m % 3], "score": s % 1000 / 1000} for s, m in sums]
 
     def propose(self, terms: list[str]) -> list[str]:
         return [f"en:{t}" for t in terms]
@@ -177,14 +184,15 @@ def provided(rows: DataFrame, provider: StubProvider, size: int = 20) -> DataFra
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            sentences, translated, judged = pdf.sentence.tolist(), [], []
             for at in range(0, len(pdf), size):
-                part = pdf.iloc[at : at + size].copy()
-                texts = part.sentence.tolist()
-                part["translation"] = [x if x is not None else UNPARSED for x in with_halving(provider.translate, texts)]
-                judged = with_halving(provider.evaluate, list(zip(texts, part.translation, strict=True)))
-                part["rating"] = [q["rating"] if q else "minor" for q in judged]
-                part["confidence"] = [q["confidence"] if q else "low" for q in judged]
-                yield part
+                texts = sentences[at : at + size]
+                own = [x if x is not None else UNPARSED for x in with_halving(provider.translate, texts)]
+                translated += own
+                judged += with_halving(provider.evaluate, list(zip(texts, own, strict=True)))
+            # one table a batch of rows: one a call of the provider would cost more than the calls
+            rating, confidence = [q["rating"] if q else "minor" for q in judged], [q["confidence"] if q else "low" for q in judged]
+            yield pdf.assign(translation=translated, rating=rating, confidence=confidence)
 
     return rows.select("doc_id", "idx", "sentence").mapInPandas(work, "doc_id long, idx int, sentence string, translation string, rating string, confidence string")
 

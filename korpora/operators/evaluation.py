@@ -15,7 +15,8 @@ def confident_spans(spans: Column, least: float = 0.35) -> Column:
 
 def routed(segments: DataFrame, least: float = 0.35) -> DataFrame:
     """Adds real_errors and skipped: only segments with real errors or violations go on to correction. Columns error_spans, violations."""
-    out = segments.withColumn("real_errors", confident_spans(F.col("error_spans"), least))
+    # Exploding an array of one pins the spans: a filter on them would compute them again.
+    out = segments.select(*[c for c in segments.columns if c != "real_errors"], F.explode(F.array(confident_spans(F.col("error_spans"), least))).alias("real_errors"))
     return out.withColumn("skipped", (F.size("real_errors") == 0) & (F.size("violations") == 0))
 
 

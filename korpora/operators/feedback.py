@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -31,11 +32,14 @@ PASSIVE = r"(?i)\b(is|are|was|were|been|being) \w+ed\b"
 CALQUES = tuple(f"(?i){p}" for p in CALQUE_PATTERNS)
 
 
-@F.pandas_udf(IntegerType())
-def inversions(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of pairs of common words that stand in another order; positions are last occurrences. Built-in functions would need all pairs of words."""
+@F.arrow_udf(IntegerType())
+def inversions(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Number of pairs of common words that stand in another order in two texts; positions are last occurrences. Built-in functions would need all pairs of words. A row's words exist only while it is worked on."""
 
-    def count(x, y) -> int:
+    def split(text: str) -> list[str]:
+        return [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+
+    def count(x: list[str], y: list[str]) -> int:
         at, seen, n = {w: i for i, w in enumerate(y)}, [], 0
         last = {w: i for i, w in enumerate(x) if w in at}
         for w in sorted(last, key=last.get):
@@ -44,7 +48,7 @@ def inversions(a: pd.Series, b: pd.Series) -> pd.Series:
             seen.insert(k, at[w])
         return n
 
-    return pd.Series([count(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pa.array([count(split(x.as_py()), split(y.as_py())) if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.int32())
 
 
 def edit_types(rows: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def edit_types(rows: DataFrame) -> DataFrame:
     calque = F.lit(False)
     for p in CALQUES:
         calque = calque | (F.col("mt").rlike(p) & ~F.col("corrected").rlike(p))
-    order = (F.size(seq("mt")) >= 5) & (F.size(seq("corrected")) >= 5) & (F.size(F.array_intersect(seq("mt"), seq("corrected"))) >= 4) & (inversions(seq("mt"), seq("corrected")) >= 3)
+    order = (F.size(seq("mt")) >= 5) & (F.size(seq("corrected")) >= 5) & (F.size(F.array_intersect(seq("mt"), seq("corrected"))) >= 4) & (inversions(F.lower("mt"), F.lower("corrected")) >= 3)
     checks = [
         ("terminology_swap", added.between(1, 3) & removed.between(1, 3) & (F.col("_ratio") > 0.75)),
         ("nominalization_to_verb", F.col("mt").rlike(NOMINAL) & ~F.col("corrected").rlike(NOMINAL)),

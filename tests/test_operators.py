@@ -10,6 +10,7 @@ from korpora.functions import metrics as M
 from korpora.functions import text as X
 from korpora.operators import batching as B
 from korpora.operators import corpus as C
+from korpora.operators import evaluation as V
 from korpora.operators import feedback as E
 from korpora.operators import structure as S
 from korpora.operators import terms as T
@@ -212,3 +213,17 @@ def test_provider(spark):
 
     out = B.provided(s, Broken()).select("rating", "confidence").distinct().collect()
     assert [tuple(r) for r in out] == [("minor", "low")]
+
+
+def test_answers_in_small_parts(spark):
+    rows = [(k, ('{"rule_name": "r%d"}' % k) if k % 3 else "none", "t") for k in range(3 * B.FEW + 5)]
+    got = B.parsed_proposals(spark.createDataFrame(rows, "k int, response string, type string").coalesce(1), "k").collect()
+    assert {r.k: (r.rule_name, r.parsed) for r in got} == {k: (f"r{k}", True) if k % 3 else ("auto_t", False) for k, _, _ in rows}
+
+
+def test_spans_are_routed_once(spark):
+    span = "array<struct<confidence:double>>"
+    s = spark.createDataFrame([(1, "e", [(0.9,)], []), (2, "e", [(0.1,)], []), (3, "e", [(None,)], ["v"])], f"k int, translation string, error_spans {span}, violations array<string>")
+    df = V.corrected_where_needed(s, lambda x: x.withColumn("ape", F.replace("translation", F.lit("e"), F.lit("E"))))
+    assert sorted((r.k, r.ape, r.skipped, len(r.real_errors)) for r in df.collect()) == [(1, "E", False, 1), (2, "e", True, 0), (3, "E", False, 0)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("filter(error_spans") == 2
