@@ -44,3 +44,11 @@ def test_report(spark):
     assert got[4].endswith("edited): 3") and got[5].endswith("as-is): 1")
     assert got[6:] == ["  order: 4", "  terms: 1", "  order: 4 occurrences — QE catches 25.0% [NEEDS RULE]"]
     assert B.report(df.limit(0), "id").filter("part > 0").count() == 0
+
+
+def test_conditions_are_asked_once_a_word(spark):
+    tokens = spark.createDataFrame([("tragfähig",), ("tragfähige",), ("tragfähig",), ("tragfähige",)], "token string")
+    for df in (T.technical_adjectives(tokens, ("fähig",)), T.suffix_terms(tokens, ("fähig",))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert max(plan.rfind("EndsWith"), plan.rfind("RLIKE")) < plan.rfind("Aggregate [token")
+        assert [r.frequency for r in df.collect()] == [4]
