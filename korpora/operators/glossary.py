@@ -1,52 +1,59 @@
 """Glossaries as tables: terms found in sentences through an inverted index, at any size of the glossary.
 
-A term fits a sentence if it is a substring of it (both in lower case), so it may start and end inside a word. The index has one character gram a term: of its grams of ``Q`` characters the one that fewest terms share (a shorter
-term is its own gram). The grams of a sentence are looked up in it, and candidates are verified by containment. The index has some bytes a term: it is sent to the sentences, so that only matches are shuffled, and above a number
-of bytes it is dealt into shards, each sent in a pass of its own.
+A term fits a sentence if it is a substring of it (both in lower case), so it may start and end inside a word. The index has one code a term, eight of its bytes (all of a shorter term): of
+those at its first places the ones that fewest terms share. Each place of a sentence is tried against a small table of bits, so that only places where a code may begin become rows; these are looked up in the index, and candidates are
+verified by containment. The index has some bytes a term: it is sent to the sentences, so that only matches are shuffled, and above a number of bytes it is dealt into shards, each sent in a pass of its own.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from korpora.functions.places import BITS_A_CODE, MOST, coded, marks, placed
 from korpora.functions.text import words
 from korpora.operators.terms import compound_parts, lemma
 from korpora.session import BROADCAST_BYTES, octets, written
 
 KEYS = ["doc_id", "idx"]
-#: Characters of a gram.
-Q = 8
 
 
-def grams(text: Column, n: int) -> Column:
-    """All substrings of ``n`` characters, in order: a look-ahead matches at each place, so the work is linear in the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def index_of(terms: DataFrame) -> DataFrame:
+    """(key, code, n): the code by which each term is looked up, and its bytes."""
+    spelt = terms.select("key").filter("key <> ''").distinct().mapInArrow(coded, "key string, code long, n int").distinct()
+    weight = spelt.groupBy("code", "n").agg(F.count("*").alias("weight"))
+    return spelt.join(weight, ["code", "n"]).groupBy("key").agg(F.min(F.struct("weight", "code", "n")).alias("r")).select("key", "r.code", "r.n")
 
 
-def index_of(terms: DataFrame) -> DataFrame:
-    """(gram, key): the gram by which each term is looked up."""
-    own = terms.select("key").filter("key <> ''").distinct()
-    spelt = own.filter(F.length("key") >= Q).select("key", F.explode(F.array_distinct(grams(F.col("key"), Q))).alias("gram"))
-    weight = spelt.groupBy("gram").agg(F.count("*").alias("weight"))
-    rarest = spelt.join(weight, "gram").groupBy("key").agg(F.min(F.struct("weight", "gram")).getField("gram").alias("gram"))
-    return rarest.select("gram", "key").unionByName(own.filter(F.length("key") < Q).select(F.col("key").alias("gram"), "key"))
+def table_of(index: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+    """A table of bits with those of all codes set, and the power of two that its size is: bits are joined where the codes are, and at most 2 ** (``MOST`` - 6) numbers are collected."""
+    bits = min(MOST, max(10, (BITS_A_CODE * rows - 1).bit_length()))
+    joined = index.select("code").mapInArrow(marks(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = np.zeros(1 << bits - 6, np.int64)
+    for r in joined.toLocalIterator():
+        table[r.word] = r.bits
+    return table, bits
 
 
 def matches(sentences: DataFrame, terms: DataFrame, text: str = "sentence", limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, idx, key): every term that is part of a sentence, once. ``terms`` has a column key, in lower case; blank keys fit nothing. Null sentences have no terms."""
     index = written(index_of(terms), "glossary-index")
-    lengths = sorted(r.n for r in index.select(F.length("gram").alias("n")).distinct().collect())  # 1 to Q
+    sizes = index.groupBy("n").agg(F.count("*").alias("rows")).collect()  # 1 to 8 bytes
     low = sentences.select(*KEYS, F.lower(text).alias("_low"))
-    if not lengths:
+    if not sizes:
         return low.select(*KEYS, F.col("_low").alias("key")).limit(0)
-    shards = -(-octets(index, "gram", "key") // limit)
-    spelt = low.select("*", F.explode(F.concat(*[grams(F.col("_low"), n) for n in lengths])).alias("gram"))
-    dealt = [index] if shards <= 1 else [index.filter(F.pmod(F.xxhash64("gram"), F.lit(shards)) == k) for k in range(shards)]
-    found = [spelt.join(F.broadcast(part), "gram").filter(F.col("_low").contains(F.col("key"))).select(*KEYS, "key") for part in dealt]
-    return reduce(DataFrame.unionAll, found).distinct()
+    shards = -(-octets(index, "key") // limit)
+    table, bits = table_of(index, sum(r.rows for r in sizes))
+    kept = StructType([*low.schema.fields, StructField("codes", ArrayType(LongType()))])
+    spelt = low.filter("_low IS NOT NULL").mapInArrow(placed(sorted(r.n for r in sizes), table, bits), kept).select(*KEYS, "_low", F.explode("codes").alias("code"))
+    own = index.select("code", "key")
+    dealt = [own] if shards <= 1 else [own.filter(F.pmod(F.xxhash64("code"), F.lit(shards)) == k) for k in range(shards)]
+    fit = [spelt.join(F.broadcast(part), "code").filter(F.col("_low").contains(F.col("key"))).select(*KEYS, "key") for part in dealt]
+    return reduce(DataFrame.unionAll, fit).distinct()
 
 
 def keyed(terms: DataFrame) -> DataFrame:
@@ -82,17 +89,18 @@ def lookup(sentences: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
     whose lemma some term has. Each step takes the first of its entries whose target is still free, so a sentence's steps are folded in order; they are at most as many as the sentence has substrings.
     """
     own = keyed(terms).distinct()
+    sentences = written(sentences.select(*KEYS, "sentence"), "glossary-sentences")  # read three times; splitting texts takes longer
     entries = F.array_sort(F.collect_list(F.struct("de", "en"))).alias("options")
     exact = own.groupBy("key").agg(entries)
     by_lemma = sent_if_small(own.filter(~F.col("key").contains(" ")).withColumn("lemma", lemma(F.col("key"))).groupBy("lemma").agg(entries), "lemma")
     first = matches(sentences, exact).join(exact, "key").select(*KEYS, F.struct(F.lit(1).alias("stage"), (-F.length("key")).alias("a"), F.col("key").alias("b"), "options").alias("step"))
+    # What a word calls for doesn't depend on its place: it is looked up once a distinct word, by the word's own lemma and by those of its parts.
     used = sentences.select(*KEYS, F.posexplode(words(F.lower("sentence"))).alias("pos", "word"))
-    second = used.withColumn("lemma", lemma(F.col("word"))).join(by_lemma, "lemma").select(*KEYS, F.struct(F.lit(2).alias("stage"), F.col("pos").alias("a"), F.lit("").alias("b"), "options").alias("step"))
-    # A word's parts don't depend on its place: they are looked up once a distinct word.
-    split = used.filter("length(word) >= 8").select("word").distinct().select("word", F.explode(compound_parts(F.col("word"))).alias("part"))
-    whole = sent_if_small(split.withColumn("lemma", lemma(F.col("part"))).join(by_lemma, "lemma").groupBy("word").agg(F.min(F.struct("part", "options")).getField("options").alias("options")), "word")
-    third = used.join(whole, "word").select(*KEYS, F.struct(F.lit(3).alias("stage"), F.col("pos").alias("a"), F.lit("").alias("b"), "options").alias("step"))
-    steps = first.unionByName(second).unionByName(third).groupBy(*KEYS).agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    parts = F.when(F.length("word") >= 8, F.transform(compound_parts(F.col("word")), lambda p: F.struct(F.lit(3).alias("stage"), p.alias("part")))).otherwise(F.array())
+    spelt = used.select("word").distinct().select("word", F.explode(F.concat(F.array(F.struct(F.lit(2).alias("stage"), F.col("word").alias("part"))), parts)).alias("p")).select("word", "p.*")
+    calls = spelt.withColumn("lemma", lemma(F.col("part"))).join(by_lemma, "lemma").groupBy("word", "stage").agg(F.min(F.struct("part", "options")).getField("options").alias("options"))
+    later = used.join(sent_if_small(calls, "word"), "word").select(*KEYS, F.struct("stage", F.col("pos").alias("a"), F.lit("").alias("b"), "options").alias("step"))
+    steps = first.unionByName(later).groupBy(*KEYS).agg(F.array_sort(F.collect_list("step")).alias("steps"))
     taken = "array<struct<stage:int,de:string,en:string>>"
 
     def take(done: Column, step: Column) -> Column:

@@ -4,8 +4,11 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from korpora.functions import places as P
 from korpora.operators import glossary as G
 from korpora.operators.terms import LEMMA_ENDINGS, LINKS
 
@@ -119,3 +122,29 @@ def test_three_stages_as_a_loop(spark):
         for r in G.lookup(df, spark.createDataFrame(terms, "de string, en string"), most).orderBy("rank").collect():
             got.setdefault(r.doc_id, []).append((r.stage, r.de, r.en))
         assert got == {i: s for i, _, text in rows if (s := stages(text, terms, most))}
+
+
+def test_only_places_of_terms_become_rows():
+    texts = pa.array(["", "die nutmutter", "nutm", "é nutmutter nutmutter", "zz"])
+    codes, n, row = P.codes_of(pa.array(["nutmutte", "zz"]))
+    assert (n.tolist(), row.tolist()) == ([8, 2], [0, 1])
+    bits = 12
+    table = np.zeros(1 << bits - 6, np.int64)
+    for b in P.marks(bits)([pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64))], ["code"])]):
+        table[b.column("word").to_numpy()] |= b.column("bits").to_numpy()
+    out = list(P.placed([2, 8], table, bits)([pa.RecordBatch.from_arrays([pa.array(range(5)), texts], ["id", "_low"])]))
+    got = {r["id"]: set(r["codes"]) for b in out for r in b.to_pylist()}
+    assert {i: c & set(codes.view(np.int64).tolist()) for i, c in got.items()} == {1: {int(codes.view(np.int64)[0])}, 3: {int(codes.view(np.int64)[0])}, 4: {int(codes.view(np.int64)[1])}}
+
+
+def test_texts_are_not_spelt_out(sentences, terms):
+    df = G.matches(sentences, G.keyed(terms))
+    assert "regexp_extract_all" not in df._jdf.queryExecution().analyzed().toString()  # before, each place of each text became a row
+
+
+def test_sentences_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "Die Nut ist in der Nutmutter. Die Welle dreht sich im Lager.")], "doc_id long, text string")
+    sentences = docs.selectExpr("doc_id", "posexplode(split(text, '(?<=[.]) ')) AS (idx, sentence)")
+    df = G.lookup(sentences, spark.createDataFrame([("Nutmutter", "slot nut"), ("Lager", "bearing")], "de string, en string"))
+    assert "split(" not in df._jdf.queryExecution().analyzed().toString()  # before, each of the three stages split the texts anew
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 1, 1, "Nutmutter", "slot nut"), (1, 1, 1, 1, "Lager", "bearing")]
