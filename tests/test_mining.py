@@ -82,6 +82,22 @@ def test_term_pairs(pairs):
     assert sorted(map(tuple, M.term_pairs(pairs, min_consistency=0.5, sizes=(2, 5)).collect())) == sorted(want) != []
 
 
+def test_shares_of_term_pairs_are_counted_as_one(pairs):
+    args = {"min_frequency": 10, "min_consistency": 0.3, "sizes": (2, 5)}
+    want = sorted(map(tuple, M.term_pairs(pairs, **args).collect()))
+    assert len(want) > 1
+    for share, products in ((1, 100), (7, 50), (40, 1000)):
+        assert sorted(map(tuple, M.term_pairs(pairs, **args, share=share, products=products).collect())) == want
+    assert M.term_pairs(pairs.limit(0)).count() == 0
+
+
+def test_a_term_pair_of_uneven_shares(spark):
+    rows = [(i, "welle neben lager", f"shaft word{i} thing{i}" if i % 2 else f"other{i} word{i} thing{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, src string, ref string")
+    got = M.term_pairs(df, (), (), 5, 0.5, (1, 9), share=3, products=10).collect()
+    assert sorted(map(tuple, got)) == [(w, "shaft", 40, 0.5) for w in ("lager", "neben", "welle")]  # at the limit to the row
+
+
 def test_bigrams(pairs):
     total, beside = Counter(), defaultdict(Counter)
     for r in pairs.collect():
