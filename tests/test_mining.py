@@ -122,3 +122,36 @@ def test_words_of_bigrams_are_found_once_a_text(spark):
     df = T.corrections(spark.createDataFrame([(" ".join(f"w{i}" for i in range(9)), "w0 w1")] * 2 + [("a b", "a c"), ("a b", "a c"), (None, "x y")], "mt string, ref string"), grams=True, min_total=2, min_together=2)
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 4  # two texts, read for totals and for counts
     assert sorted(map(tuple, df.collect())) == [("a b", 2, "a c", 2, 1.0)]
+
+
+def corrected(rows, unit, min_total, min_together, min_consistency):
+    total, beside = Counter(), defaultdict(Counter)
+    for mt, ref in rows:
+        if mt is not None and ref is not None:
+            m, r = unit(mt), unit(ref)
+            for g in [g for g in m if g not in r]:
+                total[g] += 1
+                beside[g].update(x for x in r if x not in m)
+    best = [(g, n, *max(beside[g].items(), key=lambda i: (i[1], i[0]))) for g, n in total.items() if beside[g]]
+    return sorted((g, n, x, k, k / n) for g, n, x, k in best if n >= min_total and k >= min_together and k / n >= min_consistency)
+
+
+def test_whole_corrections(spark, pairs):
+    rows = [(r.mt, r.ref) for r in pairs.collect()]
+    many = " ".join(f"w{i}" for i in range(40))
+    rows += [(f"{many} alone{i}", f"v0 {many.replace('w', 'v')} v0") for i in range(3)] + [("only here", ""), ("picture", ""), ("", "nothing"), ("a from", "a of"), ("a from", "a of an")]
+    df = spark.createDataFrame(rows, "mt string, ref string")
+    grams = lambda x: list(dict.fromkeys(map(" ".join, itertools.pairwise(re.findall(r"\w+", x.lower())))))
+    for of_grams, unit in ((False, words), (True, grams)):
+        for limits in ((5, 3, 0.4), (2, 2, 0.4), (1, 1, 0.01), (1, 1, 1.0)):
+            got = sorted(map(tuple, T.whole_corrections(df, of_grams, *limits).collect()))
+            assert got == corrected(rows, unit, *limits) != []
+            assert ("w1 w2" if of_grams else "w1") in {g[0] for g in got} or limits[0] == 5
+    assert T.whole_corrections(df.limit(0)).count() == 0
+
+
+def test_long_pairs_are_not_multiplied_out(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text("a"), text("b"))] * 2 + [(text("c"), text("d"))], "mt string, ref string")
+    got = T.whole_corrections(df, True, 2, 2).select("right", "total", "together").distinct().collect()
+    assert list(map(tuple, got)) == [(max(f"b{i} b{i + 1}" for i in range(19_999)), 2, 2)]
